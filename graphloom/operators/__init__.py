@@ -1,0 +1 @@
+"""Operators of the code and document graph."""

@@ -1,0 +1 @@
+"""Plans of the code and document graph."""

@@ -1,0 +1 @@
+"""Sources of the code and document graph."""

@@ -1,0 +1 @@
+"""Streaming of the code and document graph."""
