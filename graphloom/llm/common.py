@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ class Stage:
 
 def text_blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows with about `most` bytes: first row, row after the last, UTF-8 texts (null: empty)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at, rows = 0, len(texts)
     while at < rows:
         total = np.cumsum(lengths[at:])

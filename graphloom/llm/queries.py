@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
-from .common import table
+from . import packing, toxicity, warc
+from .common import shared_dir, table
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(table(sf_dir, "documents")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_path(shared_dir(spark))
+    warc.write(spark.read.parquet(table(sf_dir, "pages")), path)
+    captures = warc.assemble(warc.read(spark, path, blocks=False))
+    targets = captures.where("response.type = 'response'").select(F.col("response.record_id").alias("refers"), F.col("metadata.fields")["page-id"].cast("long").alias("refers_to"))
+    rows = captures.select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        F.col("metadata.fields")["payload-bytes"].cast("long").alias("payload_bytes"),
+        F.substring_index("response.payload_digest", ":", -1).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers"),
+    )
+    own = rows.where("record_type = 'response'").select("*", F.lit(None).cast("long").alias("refers_to"))
+    again = rows.where("record_type = 'revisit'").join(targets, "refers", "left").select(*own.columns)
+    return own.unionByName(again).drop("refers")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": op5_toxicity,
+        "op7_packing": op7_packing,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc": OP9_SQL,
+    }
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
