@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, toxicity, warc
+from . import ann, embedding_dedup, packing, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -23,6 +23,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(table(sf_dir, "embeddings")))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(table(sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(table(sf_dir, "documents")))
 
@@ -46,7 +55,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_toxicity": op5_toxicity,
+        "op8_ann": op8_ann,
         "op7_packing": op7_packing,
         "op9_warc": op9_warc,
     }

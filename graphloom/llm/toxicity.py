@@ -78,23 +78,31 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int
     """
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(np.zeros(buckets, np.float32), 9.0 if labels.any() else -9.0, words)
-    parts = [_grams(t, buckets) for t in _runs(texts)]
-    counts = np.concatenate([p[4] for p in parts])
-    hashes = np.concatenate([p[3] for p in parts])
+    counts, hashes, kept = [], [], []
+    for block in _runs(texts):
+        where, which, _, own, many = _grams(block, buckets)
+        once = np.zeros(len(own), bool)
+        once[np.unique(own, return_index=True)[1]] = True
+        kept.append((where[once[which]].astype(np.int32), own[which[once[which]]]))
+        counts.append(many)
+        hashes.append(own)
+    counts, hashes = np.concatenate(counts), np.concatenate(hashes)
     passage, text = _passages(counts, words)
-    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    slot = np.full(len(hashes), -1, np.int64)
-    slot[first] = np.arange(len(first))
-    base, found = 0, []
-    for where, which, _, own, _ in parts:
-        owner = slot[which + base]
-        found.append((where[owner >= 0], owner[owner >= 0]))
-        base += len(own)
-    grams, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-    texts_of = np.bincount(np.unique(kind * np.int64(len(counts)) + text[passage]) // len(counts), minlength=len(first))
+    names, kind = np.unique(hashes, return_inverse=True)
+    del hashes
+    grams, owner, met = [], [], np.zeros(len(names), bool)
+    for where, own in kept:
+        slot = np.searchsorted(names, own)
+        new = ~met[slot]
+        grams.append(where[new])
+        owner.append(slot[new])
+        met[slot] = True
+    del kept
+    grams, owner = np.concatenate(grams), np.concatenate(owner)
+    texts_of = np.bincount(np.unique(kind * np.int64(len(counts)) + text[passage]) // len(counts), minlength=len(names))
     usual = np.bincount(grams, texts_of[owner], minlength=buckets) >= 3
     grams, owner = grams[order := np.argsort(owner, kind="stable")], owner[order]
-    share = np.bincount(owner, minlength=len(first)).astype(np.float32)
+    share = np.bincount(owner, minlength=len(names)).astype(np.float32)
     cut = np.cumsum(share.astype(np.int64)) - share.astype(np.int64)
     size = np.bincount(passage, minlength=len(text)).astype(np.float32)
     rng = np.random.default_rng(seed)
@@ -112,7 +120,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int
             y = (toxic & (p >= np.minimum(best[text], 0.5))).astype(np.float32)
             weight = np.where(toxic, y, np.maximum(p, 0.05))
         error = (p - y) * weight / max(1.0, y.sum())
-        toward = np.bincount(kind, (error / size)[passage], minlength=len(first)) * SCALE
+        toward = np.bincount(kind, (error / size)[passage], minlength=len(names)) * SCALE
         down = np.bincount(grams, (toward / share)[owner], minlength=buckets).astype(np.float32) * usual
         grads = [down[:, None] * params[1][None, :], (toward / SCALE @ kinds).astype(np.float32), np.float32([error.sum()])]
         for k, (value, grad) in enumerate(zip(params, grads, strict=True)):
@@ -171,7 +179,7 @@ def calibrated(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> ToxicityModel:
     """Train on at most `sample` labelled rows, those of the smallest hash of doc_id; held-out rows never take part.
 
     Labels that are null are left out; of several labels of one document the largest counts.
