@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, packing, toxicity, warc
+from . import ann, embedding_dedup, html, packing, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -27,6 +27,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(table(sf_dir, "embeddings")))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(table(sf_dir, "pages")))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(table(sf_dir, "embeddings"))
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -57,8 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_toxicity": op5_toxicity,
-        "op8_ann": op8_ann,
+        "op6_html": op6_html,
         "op7_packing": op7_packing,
+        "op8_ann": op8_ann,
         "op9_warc": op9_warc,
     }
 

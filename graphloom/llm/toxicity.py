@@ -67,7 +67,7 @@ def _passages(counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return first[text] + (np.arange(len(text)) - begin[text]) // words, np.repeat(np.arange(len(counts)), per)
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 4, words: int = 4, steps: int = 60, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 4, words: int = 2, steps: int = 60, seed: int = 7) -> ToxicityModel:
     """Fit bucket vectors and class weights jointly by full-batch descent with momentum.
 
     Passages of `words` words are the examples. In the first third of the steps each has its
