@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html, packing, toxicity, warc
+from . import ann, embedding_dedup, html, langid, packing, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -57,6 +57,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(again).drop("refers")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = langid.of_pages(spark.read.parquet(table(sf_dir, "pages")))
+    return langid.identify(pages, langid.fit(pages), ["page_id", "url"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_embedding_dedup": op4_embedding_dedup,
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_ann": op8_ann,
         "op9_warc": op9_warc,
+        "op10_langid": op10_langid,
     }
 
 
