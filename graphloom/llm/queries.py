@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html, langid, minhash, packing, toxicity, warc
+from . import ann, embedding_dedup, html, langid, minhash, packing, suffix, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -27,6 +27,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(table(sf_dir, "embeddings")))
 
@@ -69,6 +73,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_suffix": op2_suffix,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_html": op6_html,
