@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm import langid, minhash, packing, suffix
 from graphloom.llm import toxicity as toxic
-from graphloom.llm.common import Stage, table
+from graphloom.llm.common import Stage, few, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,8 +21,42 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.toxicity(docs.select(COLUMNS), model).where("toxicity_label = 0").select(COLUMNS)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents without letters, and those of which no language is likelier than all others together.
+
+    The declared language takes the place of markup, the source that of the host. Where no
+    document declares one, nothing is known of languages and nothing is dropped for it.
+    """
+    carried = [F.col(c).alias(f"own_{c}") for c in COLUMNS]
+    rows = docs.select("text", langid.declared("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), *carried)
+    known = langid.identify(rows, langid.fit(rows), [f"own_{c}" for c in COLUMNS])
+    known = known.where("language is null or (evidence > 0 and posterior >= 0.5)")
+    return known.select(*(F.col(f"own_{c}").alias(c) for c in COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of near-duplicates."""
+    gone = Stage(spark, "near").keep(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove strings of 100 bytes that occur earlier; documents stay, if only with an empty text."""
+    left = suffix.remove_repeats(docs, with_text=True, carry=("lang", "source"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1,024 tokens."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("packing", pack),
 ]
 
 #: SQL cannot express the classifiers, the sketches or the packing.

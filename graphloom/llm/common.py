@@ -52,6 +52,11 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Narrow ids for a semi or anti join: sent to all executors if there are at most `most` (16 MB of longs), else left for a join that shuffles."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def text_blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows with about `most` bytes: first row, row after the last, UTF-8 texts (null: empty)."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

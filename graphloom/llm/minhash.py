@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, components, mix, span_hashes, text_blocks
+from .common import Stage, components, few, mix, span_hashes, text_blocks
 
 #: Values that a sketch retains, and of those how many smallest ones have inverted lists.
 RETAINED, LISTED = 64, 24
@@ -130,8 +130,7 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
     hot = stage.keep(tagged.where(f"c > {SHORT}").join(many.select("id", "central"), "id").select("v", "id", "n", "central", F.lit(False).alias("ring"), F.lit(False).alias("debt")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     wanted = stage.keep(wanted)
-    small = wanted.count() <= 2_000_000  # 16 MB; else Spark joins by id
-    texts = rows.join(F.broadcast(wanted) if small else wanted, rows["doc_id"] == wanted["id"], "left_semi")
+    texts = rows.join(few(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = stage.keep(_full_sets(texts, words).dropDuplicates(["id"]))
     links = [_confirmed(pairs, sets).where(f"{den} * i >= {num} * u").select("a", "b")]
     far, most, joins = 1 - num / den, 12, None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, powers, text_blocks
+from .common import Stage, few, mix, powers, text_blocks
 
 #: Bytes of the gram that decides which positions are sampled.
 GRAM = 24
@@ -195,18 +195,13 @@ def _compared(near: DataFrame, length: int) -> DataFrame:
     return near.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(work, "doc long, start long, end long")
 
 
-def _few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Ids of documents, sent to all executors if they are at most `most` (16 MB)."""
-    return F.broadcast(ids) if ids.count() <= most else ids
-
-
 def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 100_000) -> DataFrame:
     """(doc, start, end): byte runs of (doc_id, text) that earlier strings of `length` bytes cover; they may overlap."""
     before = length - GRAM
     found = stage.keep(_named(_sampled(docs, length), length))
     spans, reps = found.where("not more").select("doc", "start", "end"), found.where("more").select("doc", "h", "at")
     by_doc = stage.keep(reps.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("reps")))
-    texts = docs.join(_few(by_doc.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").join(by_doc.withColumnRenamed("doc", "doc_id"), "doc_id")
+    texts = docs.join(few(by_doc.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").join(by_doc.withColumnRenamed("doc", "doc_id"), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +228,8 @@ def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 100_0
     return spans.union(rest).union(stage.keep(late))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and `text`, what is left, if asked for.
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and, if asked for, `text`, what is left, and the columns `carry`.
 
     Of the whole UTF-8 text (null: empty) each byte goes that lies in a string of `length` bytes
     (GRAM + 1 to 127) which also starts earlier: in a smaller doc_id, or before in the same
@@ -248,14 +243,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     differ near a common gram are their bytes read again.
     """
     stage = Stage(docs.sparkSession, "suffix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = stage.keep(rows.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")))
+    names = [f"carried_{k}" for k in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    marks = stage.keep(rows.select("doc_id", *names, F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")))
     first = marks.where(f"n >= {length} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stage.keep(marks.join(first, "sha").where("doc_id > first").select("doc_id").distinct())
-    fresh = rows.where(f"octet_length(text) >= {length} and doc_id is not null").join(_few(copies), "doc_id", "left_anti")
+    fresh = rows.where(f"octet_length(text) >= {length} and doc_id is not null").join(few(copies), "doc_id", "left_anti")
     spans = repeated_spans(stage, fresh, length)
     by_doc = stage.keep(spans.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnRenamed("doc", "doc_id"))
-    touched = rows.join(_few(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
+    touched = rows.join(few(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
+
+    columns_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,16 +273,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
                 out.append((len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *batch.columns[3:]], [*columns_out, *names])
 
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    changed = touched.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", *(f"{n} {kinds_of[n]}" for n in names)])
+    changed = touched.select("doc_id", "text", "spans", *names).mapInArrow(work, schema)
     zero = F.lit(0).cast("long")
     same = [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256")]
     gone = [F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")]
-    known = by_doc.select("doc_id").union(copies)
-    copied = marks.join(_few(copies), "doc_id", "left_semi").select("doc_id", *gone)
-    if not with_text:
-        return changed.select(columns).unionByName(copied).unionByName(marks.join(_few(known), "doc_id", "left_anti").select("doc_id", *same))
-    whole = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")).join(_few(known), "doc_id", "left_anti")
-    return changed.unionByName(copied.withColumn("text", F.lit(""))).unionByName(whole.select("doc_id", *same, "text"))
+    known = few(stage.keep(by_doc.select("doc_id").union(copies)))
+    copied = marks.join(few(copies), "doc_id", "left_semi").select("doc_id", *gone, F.lit("").alias("text"), *names)
+    if with_text:
+        untouched = rows.withColumn("n", F.octet_length("text").cast("long")).withColumn("sha", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+    else:
+        untouched = marks.withColumn("text", F.lit(None).cast("string"))
+    untouched = untouched.join(known, "doc_id", "left_anti").select("doc_id", *same, "text", *names)
+    whole = changed.unionByName(copied).unionByName(untouched)
+    return whole.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else []), *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
