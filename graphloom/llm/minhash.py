@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, components, few, mix, span_hashes, text_blocks
@@ -172,8 +172,9 @@ def _pivots(hot: DataFrame, most: int | None) -> DataFrame:
     open_ = hot.where("not ring")
     if most is None:
         return open_.select("v", F.col("id").alias("pivot"), F.col("n").alias("pn"))
-    top = open_.groupBy("v").agg(F.expr(f"max_by(struct(id, n), struct(central, id), {most})").alias("p"))
-    return top.select("v", F.explode("p").alias("p")).select("v", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+    order = Window.partitionBy("v").orderBy(F.desc("central"), "id")
+    top = open_.withColumn("_n", F.row_number().over(order)).where(f"_n <= {most}")
+    return top.select("v", F.col("id").alias("pivot"), F.col("n").alias("pn"))
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, level: float, least: float | None = None) -> DataFrame:
