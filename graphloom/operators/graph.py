@@ -166,11 +166,12 @@ def repository_counts(nodes: DataFrame) -> DataFrame:
 def repository_samples(nodes: DataFrame, most: int = 3) -> DataFrame:
     """(repository, files): up to `most` least files of each repository.
 
-    Files are made distinct before they are gathered, and ranked in partial aggregates, so that a
-    repository's files never meet in one array.
+    Files are made distinct and ranked, and a limit on the rank is taken in each task before rows
+    are shuffled, so that a repository's files never meet in one array.
     """
     files = nodes.where("repository is not null and file is not null").select("repository", "file").distinct()
-    return files.groupBy("repository").agg(F.expr(f"array_sort(min_by(file, file, {most}))").alias("files"))
+    ranked = files.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy("file"))).where(F.col("n") <= most)
+    return ranked.groupBy("repository").agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
 def prefix_count(nodes: DataFrame, repository: str, prefix: str) -> DataFrame:

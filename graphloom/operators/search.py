@@ -80,8 +80,8 @@ def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = 10, id_col:
     """(query_id, rank, id, score) for a stated set of queries (query_id, vector) against all rows; each keeps its best `k`."""
     score = cosine(F.col("embedding"), F.col("vector"))
     met = rows.join(traverse.sized(queries, 10_000), F.lit(True)).select("query_id", id_col, score.alias("score")).where("score is not null")
-    best = met.groupBy("query_id").agg(F.expr(f"max_by(struct({id_col}, score), struct(score, -{id_col}), {k})").alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col(f"x.{id_col}").alias(id_col), "x.score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
 def semantic_search(nodes: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 10, labels: tuple[str, ...] = VECTOR_LABELS) -> DataFrame:
