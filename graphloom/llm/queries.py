@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html, langid, minhash, packing, suffix, toxicity, warc
+from . import ann, embedding_dedup, html, langid, minhash, packing, sampling, suffix, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -31,6 +31,10 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(spark.read.parquet(table(sf_dir, "documents")), with_ids=False).drop("ids")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(table(sf_dir, "embeddings")))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_suffix": op2_suffix,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_html": op6_html,
