@@ -69,7 +69,7 @@ _WORDS = {"if", "for", "while", "switch", "catch", "return", "new", "else", "try
 _FORMS = {
     "java": (rf"(?:[\w<>\[\],.?@]+\s+)+({_NAME})\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:throws\s+[\w\s,.]+)?\{{", rf"\bclass\s+({_NAME})([^{{;]*)\{{", r"^[ \t]*import\s+(?:static\s+)?([\w.*]+)\s*;"),
     "go": (rf"^func\s+({_NAME})\s*(?:\[[^\]]*\])?\([^{{]*\{{", rf"^type\s+({_NAME})\s+(?:struct|interface)()\s*\{{", None),
-    "javascript": (rf"(?:\bfunction\s*\*?\s*({_NAME})\s*\([^{{]*\)|^[ \t]*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*({_NAME})\s*\([^;{{}}]*\))[^;{{}}()=]*\{{", rf"\bclass\s+({_NAME})([^{{]*)\{{", r"^[ \t]*import\b[^\n;]*?[\"']([^\"'\n]+)[\"']"),
+    "javascript": (rf"(?:\bfunction\s*\*?\s*({_NAME})\s*\([^{{]*\)|(?:^|(?<=[{{}};]))[ \t]*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*({_NAME})\s*\([^;{{}}]*\))[^;{{}}()=]*\{{", rf"\bclass\s+({_NAME})([^{{]*)\{{", r"^[ \t]*import\b[^\n;]*?[\"']([^\"'\n]+)[\"']"),
 }
 _FORMS["typescript"] = _FORMS["javascript"]
 
