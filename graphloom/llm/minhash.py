@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import Stage, components, few, mix, span_hashes, text_blocks
 
 #: Values that a sketch retains, and of those how many smallest ones have inverted lists.
-RETAINED, LISTED = 64, 24
+RETAINED, LISTED = 64, 40
+#: Of LISTED values of a union, pairs at the threshold share this many or more, but for 1 in 10 million; in smaller sets, this share.
+NEEDED = 15
 #: Rows up to which all pairs of a list are made.
 SHORT = 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,15 +93,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, words: int =
     those of white space only, link with nothing. Rows that repeat a doc_id with one set are given
     each; an empty table gives no rows. doc_id must not be null: such rows have null components.
 
-    Equal sets are one from the first step. A pair at the threshold holds none of the LISTED
-    smallest values in common with probability 0.25**24. Lists of up to SHORT sets give all their
-    pairs. A set with few values in longer lists shares one of the others with each partner (as
-    probably), so only sets with many of them enter the long lists; there each round compares
-    central sets with all others; by the triangle inequality of the Jaccard distance only sets
-    within twice the link distance of a central one can be linked to what it has joined, and
-    only these, unless joined already, stay to become central themselves. What twelve rounds
-    leave is compared with all that is left of its lists. Estimates from union sketches only discard
-    pairs (from 64 values, more than five deviations under the threshold), links are confirmed.
+    Equal sets are one from the first step. Of a set's LISTED smallest values a partner shares
+    NEEDED, so of these, in order of how many sets hold them, the last NEEDED - 1 need no list: the
+    rarest shared value is among the others of both. Lists of up to SHORT sets give all their
+    pairs. In longer ones each round compares central sets with all others; by the triangle
+    inequality of the Jaccard distance only sets within twice the link distance of a central one
+    can be linked to what it has joined, and only these, unless joined already, stay to become
+    central themselves. A list that has few such sets left compares them all; what eight rounds
+    leave is compared with all that is left of its lists. Estimates from union sketches only
+    discard pairs (64 values, more than five deviations under the threshold); links are confirmed.
     """
     stage = Stage(docs.sparkSession, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -117,27 +119,37 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, words: int =
 
 def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """Pairs (a, b) of linked sets: of short lists all, of long lists enough for the same components."""
-    postings = stage.keep(sketches.where("n > 1").select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v")))
+    postings = sketches.where("n > 1").select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     held = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    tagged = stage.keep(postings.join(held, "v"))
+    shared = postings.join(held, "v")
+    by_set = Window.partitionBy("id")
+    listed = F.least("n", F.lit(LISTED))
+    ranked = shared.withColumn("rank", F.row_number().over(by_set.orderBy("c", "v"))).withColumn("m", F.count(F.lit(1)).over(by_set))
+    first = ranked.where(listed - F.col("m") + F.col("rank") <= listed - F.greatest(F.lit(1), F.floor(listed * (NEEDED / LISTED))) + 1)
+    first = stage.keep(first.select("v", "id", "n"))
+    sizes = first.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    tagged = stage.keep(first.join(sizes, "v"))
     # short lists: the partners are close in size
     close = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["id"] < y["id"])
     lists = tagged.where(f"c <= {SHORT}").groupBy("v").agg(F.collect_list(F.struct("id", "n")).alias("l"))
     pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: close(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p"))
     pairs = stage.keep(_likely(pairs.select("p.a", "p.b").distinct(), sketches, num / den))
-    # long lists: sets that may share nothing else with a partner
-    many = tagged.where(f"c > {SHORT}").groupBy("id", "n").agg(F.count(F.lit(1)).alias("h"), F.sum("c").alias("central")).where(f"h > least({LISTED}, n) / 4")
-    hot = stage.keep(tagged.where(f"c > {SHORT}").join(many.select("id", "central"), "id").select("v", "id", "n", "central", F.lit(False).alias("ring"), F.lit(False).alias("debt")))
+    hot = stage.keep(
+        tagged.where(f"c > {SHORT}").withColumn("central", F.sum("c").over(by_set)).select("v", "id", "n", "central", F.lit(False).alias("ring"), F.lit(False).alias("debt"))
+    )
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     wanted = stage.keep(wanted)
     texts = rows.join(few(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = stage.keep(_full_sets(texts, words).dropDuplicates(["id"]))
     links = [_confirmed(pairs, sets).where(f"{den} * i >= {num} * u").select("a", "b")]
-    far, most, joins = 1 - num / den, 12, None
+    far, most, joins = 1 - num / den, 8, None
+    if not hot.isEmpty():
+        few_ids = few(stage.keep(hot.select("id").distinct()))
+        sketches, sets = (stage.keep(x.join(few_ids, "id", "left_semi")) for x in (sketches, sets))
     for turn in range(most + 1):
         if hot.isEmpty():
             break
-        ask = _pivots(hot, 8 if turn < most else None)
+        ask = _pivots(hot, 16 if turn < most else None)
         met = hot.join(ask, "v").where("id <> pivot")
         tries = stage.keep(met.where(F.least("n", "pn") * den >= F.greatest("n", "pn") * F.lit(num / 2)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         likely = stage.keep(_confirmed(_likely(tries, sketches, num / den, 0.2), sets).withColumn("d", 1 - F.col("i") / F.col("u")))
@@ -172,8 +184,10 @@ def _pivots(hot: DataFrame, most: int | None) -> DataFrame:
     open_ = hot.where("not ring")
     if most is None:
         return open_.select("v", F.col("id").alias("pivot"), F.col("n").alias("pn"))
+    few_left = open_.groupBy("v").agg(F.count(F.lit(1)).alias("left")).where(f"left <= {SHORT}")
     order = Window.partitionBy("v").orderBy(F.desc("central"), "id")
-    top = open_.withColumn("_n", F.row_number().over(order)).where(f"_n <= {most}")
+    top = open_.withColumn("_n", F.row_number().over(order)).where(f"_n <= {max(most, SHORT)}")
+    top = top.join(few_left, "v", "left").where(f"_n <= {most} or left is not null")
     return top.select("v", F.col("id").alias("pivot"), F.col("n").alias("pn"))
 
 
