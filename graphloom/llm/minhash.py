@@ -142,7 +142,7 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
     texts = rows.join(few(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = stage.keep(_full_sets(texts, words).dropDuplicates(["id"]))
     links = [_confirmed(pairs, sets).where(f"{den} * i >= {num} * u").select("a", "b")]
-    far, most, joins = 1 - num / den, 8, None
+    far, most = 1 - num / den, 8
     if not hot.isEmpty():
         few_ids = few(stage.keep(hot.select("id").distinct()))
         sketches, sets = (stage.keep(x.join(few_ids, "id", "left_semi")) for x in (sketches, sets))
@@ -154,12 +154,14 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
         tries = stage.keep(met.where(F.least("n", "pn") * den >= F.greatest("n", "pn") * F.lit(num / 2)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         likely = stage.keep(_confirmed(_likely(tries, sketches, num / den, 0.2), sets).withColumn("d", 1 - F.col("i") / F.col("u")))
         links.append(likely.where(f"{den} * i >= {num} * u").select("a", "b"))
-        joins = links[-1] if joins is None else joins.union(links[-1])
-        group = components(stage, joins)
-        # of each list: who is linked to a pivot, and who may be linked to one that is and has not been joined to that pivot
+        # of each list: who is linked to a pivot, and who may be linked to one that is and is not known to be joined to that pivot
         ends = likely.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d").union(likely.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "d"))
-        ends = ends.where(f"d <= {2 * far}").join(group, "id", "left").join(group.select(F.col("id").alias("pivot"), F.col("component").alias("cp")), "pivot", "left")
-        ends = ends.select("id", "pivot", "d", (F.coalesce("component", "id") != F.coalesce("cp", "pivot")).alias("apart"))
+        ends = stage.keep(ends.where(f"d <= {2 * far}").join(few(stage.keep(ask.select("pivot").distinct())), "pivot", "left_semi"))
+        linked = ends.where(f"d <= {far}")
+        lead = linked.groupBy("pivot").agg(F.min("id").alias("low")).select("pivot", F.least("pivot", "low").alias("lead"))
+        group = linked.join(lead, "pivot").groupBy("id").agg(F.min("lead").alias("own"))
+        ends = ends.join(group, "id", "left").join(lead, "pivot", "left")
+        ends = ends.select("id", "pivot", "d", F.coalesce(F.col("own") != F.col("lead"), F.lit(True)).alias("apart"))
         near = stage.keep(met.join(ends, ["id", "pivot"]).select("v", "id", "pivot", "ring", "d", "apart"))
         unsure = near.where(f"d > {far} and apart and not ring").groupBy("v", "pivot").agg(F.min("d").alias("least"))
         mine = near.join(unsure, ["v", "pivot"], "left").groupBy("v", "id").agg(
