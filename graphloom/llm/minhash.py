@@ -96,10 +96,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, words: int =
     Equal sets are one from the first step. Of a set's LISTED smallest values a partner shares
     NEEDED, so of these, in order of how many sets hold them, the last NEEDED - 1 need no list: the
     rarest shared value is among the others of both. Lists of up to SHORT sets give all their
-    pairs. In longer ones each round compares central sets with all others; by the triangle
+    pairs. In longer ones each round compares central sets, twice as many as before, with all others; by the triangle
     inequality of the Jaccard distance only sets within twice the link distance of a central one
     can be linked to what it has joined, and only these, unless joined already, stay to become
-    central themselves. A list that has few such sets left compares them all; what eight rounds
+    central themselves. A list that has few such sets left compares them all; what six rounds
     leave is compared with all that is left of its lists. Estimates from union sketches only
     discard pairs (64 values, more than five deviations under the threshold); links are confirmed.
     """
@@ -142,21 +142,21 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
     texts = rows.join(few(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = stage.keep(_full_sets(texts, words).dropDuplicates(["id"]))
     links = [_confirmed(pairs, sets).where(f"{den} * i >= {num} * u").select("a", "b")]
-    far, most = 1 - num / den, 8
+    far, most = 1 - num / den, 6
     if not hot.isEmpty():
         few_ids = few(stage.keep(hot.select("id").distinct()))
         sketches, sets = (stage.keep(x.join(few_ids, "id", "left_semi")) for x in (sketches, sets))
     for turn in range(most + 1):
         if hot.isEmpty():
             break
-        ask = _pivots(hot, 16 if turn < most else None)
+        ask = _pivots(hot, 2 << turn if turn < most else None)
         met = hot.join(ask, "v").where("id <> pivot")
-        tries = stage.keep(met.where(F.least("n", "pn") * den >= F.greatest("n", "pn") * F.lit(num / 2)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+        tries = met.where(F.least("n", "pn") * den >= F.greatest("n", "pn") * F.lit(num / 2)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         likely = stage.keep(_confirmed(_likely(tries, sketches, num / den, 0.2), sets).withColumn("d", 1 - F.col("i") / F.col("u")))
         links.append(likely.where(f"{den} * i >= {num} * u").select("a", "b"))
         # of each list: who is linked to a pivot, and who may be linked to one that is and is not known to be joined to that pivot
         ends = likely.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d").union(likely.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "d"))
-        ends = stage.keep(ends.where(f"d <= {2 * far}").join(few(stage.keep(ask.select("pivot").distinct())), "pivot", "left_semi"))
+        ends = ends.where(f"d <= {2 * far}").join(ask.select("pivot").distinct(), "pivot", "left_semi")
         linked = ends.where(f"d <= {far}")
         lead = linked.groupBy("pivot").agg(F.min("id").alias("low")).select("pivot", F.least("pivot", "low").alias("lead"))
         group = linked.join(lead, "pivot").groupBy("id").agg(F.min("lead").alias("own"))
