@@ -15,8 +15,10 @@ from .common import Stage, components, few, mix, span_hashes, text_blocks
 RETAINED, LISTED = 64, 40
 #: Of LISTED values of a union, pairs at the threshold share this many or more, but for 1 in 10 million; in smaller sets, this share.
 NEEDED = 15
-#: Rows up to which all pairs of a list are made.
-SHORT = 32
+#: Sets up to which all pairs of a list are made, and over which a list is thinned out before its blocks are compared.
+SHORT, LONG = 32, 16384
+#: Sets and values in a block of a list, about.
+TILE, WEIGHT = 2048, 1 << 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -96,12 +98,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, words: int =
     Equal sets are one from the first step. Of a set's LISTED smallest values a partner shares
     NEEDED, so of these, in order of how many sets hold them, the last NEEDED - 1 need no list: the
     rarest shared value is among the others of both. Lists of up to SHORT sets give all their
-    pairs. In longer ones each round compares central sets, twice as many as before, with all others; by the triangle
-    inequality of the Jaccard distance only sets within twice the link distance of a central one
-    can be linked to what it has joined, and only these, unless joined already, stay to become
-    central themselves. A list that has few such sets left compares them all; what six rounds
-    leave is compared with all that is left of its lists. Estimates from union sketches only
-    discard pairs (64 values, more than five deviations under the threshold); links are confirmed.
+    pairs. Longer ones are cut into blocks, compared two by two in tasks of bounded size that
+    return a forest of the links. Lists of over LONG sets are thinned out first: each round
+    compares central sets, twice as many as before, with all others; by the triangle inequality of
+    the Jaccard distance only sets within twice the link distance of a central one can be linked
+    to what it has joined, and only these, unless joined already, stay. Estimates from union
+    sketches only discard pairs (64 values, more than five deviations under the threshold); links
+    are confirmed on full sets.
     """
     stage = Stage(docs.sparkSession, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -134,22 +137,131 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
     lists = tagged.where(f"c <= {SHORT}").groupBy("v").agg(F.collect_list(F.struct("id", "n")).alias("l"))
     pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: close(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p"))
     pairs = stage.keep(_likely(pairs.select("p.a", "p.b").distinct(), sketches, num / den))
-    hot = stage.keep(
-        tagged.where(f"c > {SHORT}").withColumn("central", F.sum("c").over(by_set)).select("v", "id", "n", "central", F.lit(False).alias("ring"), F.lit(False).alias("debt"))
-    )
+    hot = tagged.where(f"c > {SHORT}")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     wanted = stage.keep(wanted)
     texts = rows.join(few(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = stage.keep(_full_sets(texts, words).dropDuplicates(["id"]))
     links = [_confirmed(pairs, sets).where(f"{den} * i >= {num} * u").select("a", "b")]
-    far, most = 1 - num / den, 6
-    if not hot.isEmpty():
-        few_ids = few(stage.keep(hot.select("id").distinct()))
-        sketches, sets = (stage.keep(x.join(few_ids, "id", "left_semi")) for x in (sketches, sets))
-    for turn in range(most + 1):
+    very_long = hot.where(f"c > {LONG}").withColumn("central", F.sum("c").over(by_set)).select("v", "id", "n", "central", F.lit(False).alias("ring"), F.lit(False).alias("debt"))
+    left = hot.where(f"c <= {LONG}").select("v", "id", "n")
+    if not hot.where(f"c > {LONG}").isEmpty():
+        thinned, rest = _thinned(stage, stage.keep(very_long), sketches, sets, num, den)
+        links.append(thinned)
+        left = left.union(rest)
+    links.append(_tiled(left, sets, num, den))
+    whole = links[0]
+    for x in links[1:]:
+        whole = whole.union(x)
+    return stage.keep(whole.distinct())
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None, groups: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """How many values each of `a` shares with each of `b` (None: with `a` itself), by products of incidence matrices.
+
+    With `groups`, sorted bounds, the counts of the values up to each bound, one after the other
+    in one array that changes; else the counts of all values.
+    """
+    both = a if b is None else a + b
+    at = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    values, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    dense = np.cumsum(times > 1) - 1
+    at, column, values = at[keep], dense[column[keep]], values[times > 1]
+    order = np.argsort(column, kind="stable")
+    at, column = at[order], column[order]
+    out = np.zeros((len(a), len(both) - (len(a) if b is not None else 0)), np.float64)
+    first = 0
+    for last in [len(values)] if groups is None else np.searchsorted(values, groups, side="right"):
+        for low in range(first, last, 2048):
+            high = min(low + 2048, last)
+            i, j = np.searchsorted(column, [low, high])
+            held = np.zeros((len(both), high - low), np.float32)
+            held[at[i:j], column[i:j] - low] = 1
+            out += held[: len(a)] @ (held if b is None else held[len(a) :]).T
+        first = max(first, last)
+        yield out
+
+
+def likely_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, level: float) -> np.ndarray:
+    """Which pairs of `a` with `b` (None: with `a` itself) the sketches of their union do not rule out.
+
+    The union sketch of a pair is taken up to the last of nine bounds up to which both sketches are complete.
+    """
+    low = [[s[:RETAINED] for s in x] for x in (a, a if b is None else b)]
+    most = [np.array([s[RETAINED - 1] if len(s) > RETAINED else 2**64 - 1 for s in x], np.uint64) for x in (a, a if b is None else b)]
+    ends = np.sort(np.concatenate(most))
+    bounds = np.unique(ends[np.linspace(0, len(ends) - 1, 9).astype(int)])
+    complete = np.minimum.outer(*(np.searchsorted(bounds, x, side="right") for x in most))
+    out = np.zeros(complete.shape, bool)
+    for k, shared in enumerate(shared_counts(low[0], None if b is None else low[1], bounds)):
+        held = [np.array([np.searchsorted(s, bounds[k], side="right") for s in x]) for x in low]
+        union = np.add.outer(*held) - shared
+        out |= (complete == k + 1) & (shared >= level * union - 5.2 * np.sqrt(level * (1 - level) * union))
+    return out
+
+
+def tile_forest(ids: list[np.ndarray], sets: list[list[np.ndarray]], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block of sets, or of two against each other, every set that is linked and the smallest id that its links within the tile reach."""
+    a, b = sets[0], sets[1] if len(sets) > 1 else None
+    sizes = [np.array([len(s) for s in x]) for x in (a, a if b is None else b)]
+    maybe = likely_pairs(a, b, num / den)
+    maybe &= np.minimum.outer(*sizes) * den >= np.maximum.outer(*sizes) * num
+    if b is None:
+        np.fill_diagonal(maybe, False)
+    rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = [a[k] for k in rows], None if b is None else [b[k] for k in columns]  # of one block both are the same
+    shared = next(shared_counts(*own))
+    union = np.add.outer(sizes[0][rows], sizes[1][columns]) - shared
+    linked = maybe[np.ix_(rows, columns)] & (den * shared >= num * union)
+    names = [ids[0][rows], (ids[0] if b is None else ids[1])[columns]]
+    label = [names[0].copy(), names[1].copy()]
+    while True:  # the smallest id goes along the links until nothing changes
+        x = np.minimum(label[0], np.where(linked, label[1][None, :], np.iinfo(np.int64).max).min(axis=1))
+        y = np.minimum(label[1], np.where(linked, x[:, None], np.iinfo(np.int64).max).min(axis=0))
+        if b is None:
+            x = y = np.minimum(x, y)
+        if (x == label[0]).all() and (y == label[1]).all():
+            break
+        label = [x, y]
+    members, roots = (names[0], label[0]) if b is None else (np.concatenate(names), np.concatenate(label))
+    other = members != roots
+    return roots[other], members[other]
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that connect what the links within each list of `rows` (v, id, n) connect.
+
+    A list is cut into blocks by the hash of the id, of about TILE sets or WEIGHT values; each two
+    blocks are compared in one task, which returns at most one pair for each of its sets.
+    """
+
+    def work(group: pa.Table) -> pa.Table:
+        first = group.column("first").to_numpy()
+        ids, found = group.column("id").to_numpy(), [np.sort(np.asarray(s, np.int64).view(np.uint64)) for s in group.column("s").combine_chunks().to_numpy(zero_copy_only=False)]
+        sides = [np.flatnonzero(first), np.flatnonzero(~first)]
+        if group.column("i")[0] == group.column("j")[0]:
+            sides = sides[:1]
+        a, b = tile_forest([ids[x] for x in sides], [[found[k] for k in x] for x in sides], num, den) if all(map(len, sides)) else (ids[:0], ids[:0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = rows.groupBy("v").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
+    cut = rows.join(blocks, "v").withColumn("k", F.pmod(F.xxhash64("id"), "blocks")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select("v", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") <= F.col("x")).alias("first"), "id")
+    return cut.join(sets, "id").select("v", "i", "j", "first", "id", "s").groupBy("v", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def _thinned(stage: Stage, hot: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the central sets of very long lists, and the rows (v, id, n) that can have links besides these."""
+    far, links = 1 - num / den, []
+    few_ids = few(stage.keep(hot.select("id").distinct()))
+    sketches, sets = (stage.keep(x.join(few_ids, "id", "left_semi")) for x in (sketches, sets))
+    for turn in range(6):
         if hot.isEmpty():
             break
-        ask = _pivots(hot, 2 << turn if turn < most else None)
+        ask = _pivots(hot, 2 << turn)
         met = hot.join(ask, "v").where("id <> pivot")
         tries = met.where(F.least("n", "pn") * den >= F.greatest("n", "pn") * F.lit(num / 2)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         likely = stage.keep(_confirmed(_likely(tries, sketches, num / den, 0.2), sets).withColumn("d", 1 - F.col("i") / F.col("u")))
@@ -178,14 +290,12 @@ def _links(stage: Stage, rows: DataFrame, sketches: DataFrame, num: int, den: in
     whole = links[0]
     for x in links[1:]:
         whole = whole.union(x)
-    return stage.keep(whole.distinct())
+    return whole, hot.select("v", "id", "n")
 
 
-def _pivots(hot: DataFrame, most: int | None) -> DataFrame:
+def _pivots(hot: DataFrame, most: int) -> DataFrame:
     """(v, pivot, pn): of each list the sets to compare with all others now, those that share most with others first."""
     open_ = hot.where("not ring")
-    if most is None:
-        return open_.select("v", F.col("id").alias("pivot"), F.col("n").alias("pn"))
     few_left = open_.groupBy("v").agg(F.count(F.lit(1)).alias("left")).where(f"left <= {SHORT}")
     order = Window.partitionBy("v").orderBy(F.desc("central"), "id")
     top = open_.withColumn("_n", F.row_number().over(order)).where(f"_n <= {max(most, SHORT)}")

@@ -57,14 +57,38 @@ def brute_components(texts):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("short", [2, 32])
-def test_minhash_matches_brute_force(spark, monkeypatch, short):
+@pytest.mark.parametrize("short, long, tile", [(2, 4, 3), (2, 100, 3), (2, 100, 2048), (32, 100, 2048)])
+def test_minhash_matches_brute_force(spark, monkeypatch, short, long, tile):
+    """Short lists by pairs, longer ones by blocks, very long ones thinned out first."""
     monkeypatch.setattr(minhash, "SHORT", short)
+    monkeypatch.setattr(minhash, "LONG", long)
+    monkeypatch.setattr(minhash, "TILE", tile)
     rows = list(enumerate(near_texts(3)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cut", [0, 70])
+def test_minhash_tiles_match_brute_force(cut):
+    rnd = np.random.default_rng(1)
+    base = [rnd.integers(0, 2**63, size, dtype=np.uint64) for size in (30, 90, 400)]
+    sets = []
+    for k in range(150):
+        own = base[k % 3].copy()
+        own[: rnd.integers(0, len(own) // 3)] = rnd.integers(0, 2**63)
+        sets.append(np.unique(own))
+    ids = np.arange(150)
+    cuts = [ids] if not cut else [ids[:cut], ids[cut:]]
+    root, member = minhash.tile_forest(cuts, [[sets[k] for k in x] for x in cuts], 75, 100)
+    label = dict(zip(ids.tolist(), ids.tolist())) | dict(zip(member.tolist(), root.tolist()))
+    parent = ids.copy()
+    for a, b in itertools.combinations(range(150), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and (not cut or a < cut <= b):
+            parent[parent == max(parent[a], parent[b])] = min(parent[a], parent[b])
+    assert label == dict(enumerate(parent.tolist()))
+
+
 def test_minhash_edge_cases(spark):
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(ODD, DOCS).withColumn("kept", F.lit(1))).collect())
     assert got[(1, 0, 1, True)] == got[(2, 0, 2, True)] == got[(3, 0, 3, True)] == 1
