@@ -56,7 +56,10 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, k1, k2, sketch) of every row; equal sets have equal keys k1 and k2."""
+    """(doc_id, n, k1, k2, sketch) of every row; equal sets have equal keys k1 and k2.
+
+    The top bit of a sketch's values is flipped, so that they sort as signed numbers as the hashes do as unsigned ones.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +69,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     n.append(len(s))
                     k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     k2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)) if len(s) else 0)
-                    low.append(s[:RETAINED].view(np.int64))
+                    low.append((s[:RETAINED] ^ np.uint64(1 << 63)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k1 long, k2 long, sketch array<long>")

@@ -89,6 +89,18 @@ def test_minhash_tiles_match_brute_force(cut):
     assert label == dict(enumerate(parent.tolist()))
 
 
+def test_minhash_links_subsets_at_the_threshold(spark):
+    """Texts cut by a quarter: sets of more values than a sketch retains lose no link of Jaccard similarity 0.75 in their short lists."""
+    rnd, rows, expected = random.Random(17), [], {}
+    for small, large in [(66, 88), (75, 98), (84, 112), (90, 120), (99, 132)] * 250:
+        words, first = [f"{rnd.getrandbits(40):x}" for _ in range(large + 4)], len(rows)
+        rows += [(first, " ".join(words)), (first + 1, " ".join(words[: small + 4]))]
+        expected |= {first: (large, first), first + 1: (small, first)}
+    assert brute_components(rows[:10]) == {d: expected[d] for d in range(10)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == expected
+
+
 def test_minhash_edge_cases(spark):
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(ODD, DOCS).withColumn("kept", F.lit(1))).collect())
     assert got[(1, 0, 1, True)] == got[(2, 0, 2, True)] == got[(3, 0, 3, True)] == 1
