@@ -18,14 +18,46 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 BUCKETS, ORDER = 1 << 15, 3
 
 
+#: Languages up to which a worker holds the whole table of likelihoods; beyond it holds the trigrams that were counted.
+DENSE = 256
+
+
 @dataclass
 class LanguageModel:
-    """`logs`: log likelihood of each hashed byte trigram (languages, buckets); `prior`: of the languages."""
+    """Log likelihoods of hashed byte trigrams by language, as far as they differ from an unseen one's.
+
+    `unseen`: log likelihood of a trigram that the language was not seen with; `begins`, `which`,
+    `gains`: of bucket b the languages that hold it are which[begins[b]:begins[b + 1]], and gains
+    what it adds to `unseen` in them; `prior`: of the languages.
+    """
 
     languages: list[str]
-    logs: np.ndarray
+    unseen: np.ndarray
+    begins: np.ndarray
+    which: np.ndarray
+    gains: np.ndarray
     prior: np.ndarray
 
+    def table(self) -> np.ndarray | None:
+        """(buckets, languages), if there are few languages."""
+        if len(self.languages) > DENSE:
+            return None
+        out = np.zeros((BUCKETS, len(self.languages)), np.float32)
+        out[np.repeat(np.arange(BUCKETS), np.diff(self.begins)), self.which] = self.gains
+        return out
+
+    def score(self, at: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+        """Per language the mean log likelihood of a text's trigrams, which are not none."""
+        if len(at) > BUCKETS or table is None:
+            count = np.bincount(at, minlength=BUCKETS)
+            held = np.flatnonzero(count)
+            if table is not None:
+                return self.unseen + count[held] @ table[held] / len(at)
+            sizes = self.begins[held + 1] - self.begins[held]
+            place = np.repeat(self.begins[held] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            return self.unseen + np.bincount(self.which[place], self.gains[place] * np.repeat(count[held], sizes), len(self.languages)) / len(at)
+        return self.unseen + table[at].mean(axis=0, dtype=np.float64)
+
 
 def _trigrams(data: bytes) -> np.ndarray:
     """Buckets of the byte trigrams of a lower-cased text without digits and marks, word borders included."""
@@ -45,63 +77,34 @@ def declared(column: str) -> Column:
     return F.when(tag != "", tag)
 
 
-def fit(texts: DataFrame, least: float = 0.001, smoothing: float = 0.5) -> LanguageModel:
-    """Count the trigrams of all rows (text, declared) by declared language; languages of less than `least` of the rows are left out.
+def fit(texts: DataFrame, smoothing: float = 0.5) -> LanguageModel:
+    """Count the trigrams of all rows (text, declared) by declared language; every language that any row declares is known.
 
-    Each task adds up its own counts and sends BUCKETS numbers for each language, so a language
-    of most rows is no hot key. The model's size is set by its parameters. Rows without a
-    declared language teach nothing; where no row has one the model knows no language.
+    A language of little text stays near the even likelihoods of the smoothing, so it takes no
+    others' texts. Each block of texts adds up its own counts, so a language of most rows is no
+    hot key. The model holds the counts that are not zero. Rows without a declared language teach
+    nothing; where no row has one the model knows no language.
     """
-    usual = texts.where("declared is not null").groupBy("declared").count()
-    rows = usual.orderBy(F.desc("count"), "declared").limit(200).collect()
-    total = sum(r["count"] for r in rows)
-    languages = sorted(r["declared"] for r in rows if r["count"] >= least * total)
-    if not languages:
-        return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    rows = texts.where("declared is not null").groupBy("declared").count().collect()
+    usual = {r["declared"]: r["count"] for r in rows}
+    languages = sorted(usual)
     place = {x: k for k, x in enumerate(languages)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             own = batch.column(1).to_pylist()
             for first, _, block in text_blocks(batch.column(0)):
-                for k, text in enumerate(block):
-                    if own[first + k] in place:
-                        counts[place[own[first + k]]] += np.bincount(_trigrams(text), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], ["at", "n"])
-
-    found = texts.select("text", "declared").mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(languages) * BUCKETS)
-    counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS) + smoothing
-    prior = np.array([next(r["count"] for r in rows if r["declared"] == x) for x in languages], float)
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
+                found = [place[own[first + k]] * BUCKETS + _trigrams(text) for k, text in enumerate(block) if own[first + k] is not None]
+                at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
 
-
-def _text_scores(model: LanguageModel, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys` and `says`: per language the mean log likelihood of a trigram, null for a text without letters; `grams`: how many."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.ascontiguousarray(model.logs.T)
-        for batch in batches:
-            says, grams = [], []
-            for _, _, block in text_blocks(batch.column(0)):
-                for text in block:
-                    at = _trigrams(text)
-                    grams.append(len(at))
-                    # the rows of a long text are summed from counts, which are as long as the table at most
-                    if len(at) > BUCKETS:
-                        count = np.bincount(at, minlength=BUCKETS)
-                        says.append((count @ logs / len(at)).tolist())
-                    else:
-                        says.append(logs[at].mean(axis=0, dtype=np.float64).tolist() if len(at) else None)
-            columns = [pa.array(says, pa.list_(pa.float64())), pa.array(grams, pa.int64()), *batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays(columns, ["says", "grams", *batch.schema.names[1:]])
-
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    schema = ", ".join(["says array<double>", "grams long", *(f"`{k}` {kinds[k]}" for k in keys)])
-    return texts.select("text", *keys).mapInArrow(work, schema)
+    found = texts.select("text", "declared").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    at, n = found["at"].to_numpy(np.int64), found["n"].to_numpy(float)
+    order = np.lexsort((at // BUCKETS, at % BUCKETS))
+    which, bucket, n = at[order] // BUCKETS, at[order] % BUCKETS, n[order]
+    totals = np.bincount(which, n, len(languages)) + smoothing * BUCKETS
+    prior = np.array([usual[x] for x in languages], float)
+    return LanguageModel(languages, np.log(smoothing / totals), np.searchsorted(bucket, np.arange(BUCKETS + 1)), which.astype(np.int32), np.log1p(n / smoothing).astype(np.float32), np.log(prior / prior.sum()))
 
 
 def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: float = 0.9, strength: float = 20.0, effective: float = 40.0) -> DataFrame:
@@ -115,44 +118,71 @@ def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: floa
     A host's prior is its counts of languages that the other evidence finds likeliest, smoothed
     with `strength` rows of its parent domain's shares, those with `strength` rows of all rows'
     shares. The counts are grouped by host and language, so partial aggregation takes a host of
-    any size. Null and empty texts and those without letters have only the other evidence;
-    where the model knows no language, language and posterior are null. Rows are kept whole,
-    repeated ones too.
+    any size. Texts are read twice, for the counts and with them, so that no row's scores are
+    stored, whose length is the number of languages. Null and empty texts and those without
+    letters have only the other evidence; where the model knows no language, language and
+    posterior are null. Rows are kept whole, repeated ones too.
     """
     stage = Stage(rows.sparkSession, "language")
     names = model.languages
     if not names:
         return rows.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("evidence"), "declared")
-    extra = [c for c in ("declared", "suffix", "host") if c not in keep]
-    said = _text_scores(model, rows, [*keep, *extra])
+    place = {x: k for k, x in enumerate(names)}
     other = max(1, len(names) - 1)
 
-    def votes(column: str, right: float) -> Column:
-        """Log probability of each language given a declared one that is known."""
-        known = F.col(column).isin(names)
-        return F.array(*(F.when(known, F.when(F.col(column) == x, float(np.log(right))).otherwise(float(np.log((1 - right) / other)))).otherwise(0.0) for x in names))
-
-    grams = F.least(F.col("grams").cast("double"), F.lit(effective))
-    text = F.coalesce(F.transform("says", lambda x: x * grams), F.array(*[F.lit(0.0)] * len(names)))
-    total = F.zip_with(F.zip_with(text, votes("declared", trust), lambda a, b: a + b), votes("suffix", 0.7), lambda a, b: a + b)
-    said = stage.keep(said.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("likely", total))
-    first = F.array_position(F.zip_with("likely", F.array(*map(F.lit, model.prior.tolist())), lambda a, b: a + b), F.array_max(F.zip_with("likely", F.array(*map(F.lit, model.prior.tolist())), lambda a, b: a + b))).cast("int") - 1
-    parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    counts = said.groupBy("host", first.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    hosts = counts.groupBy("host").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(names)))).withColumn("parent", parent)
-    parents = hosts.groupBy("parent").agg(*(F.sum(f"n{k}").alias(f"p{k}") for k in range(len(names))))
+    def likely(batch: pa.RecordBatch, table: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Trigrams and log likelihood by language of each row, whose first columns are text, declared and suffix."""
+        said = [(batch.column(k).to_pylist(), right) for k, right in ((1, trust), (2, 0.7))]
+        for first, _, block in text_blocks(batch.column(0)):
+            for k, text in enumerate(block):
+                at = _trigrams(text)
+                out = model.score(at, table) * min(len(at), effective) if len(at) else np.zeros(len(names))
+                for tags, right in said:
+                    own = place.get(tags[first + k])
+                    if own is not None:
+                        out += np.log((1 - right) / other)
+                        out[own] += np.log(right) - np.log((1 - right) / other)
+                yield len(at), out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            first = [int((x + model.prior).argmax()) for _, x in likely(batch, table)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(first, pa.int32())], ["host", "k"])
+
+    rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
+    counts = rows.select("text", "declared", "suffix", "host").mapInArrow(count, "host string, k int").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage.keep(counts.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
+    hosts = counts.groupBy("host", "parent").agg(F.collect_list("k").alias("hk"), F.collect_list("n").alias("hn"))
+    parents = counts.groupBy("parent", "k").agg(F.sum("n").alias("n")).groupBy("parent").agg(F.collect_list("k").alias("pk"), F.collect_list("n").alias("pn"))
+    hosts, parents = stage.keep(hosts), stage.keep(parents)
+    # else joined by host and parent, where Spark splits a hot one
+    hosts, parents = (F.broadcast(x) if x.agg(F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0] <= 800_000 else x for x, c in ((hosts, "hk"), (parents, "pk")))
+    carried = [c for c in keep if c not in ("declared", "text")]
     share = np.exp(model.prior)
-    up = sum((F.col(f"p{k}") for k in range(1, len(names))), F.col("p0"))
-    here = sum((F.col(f"n{k}") for k in range(1, len(names))), F.col("n0"))
-    above = [(F.col(f"p{k}") + strength * float(share[k])) / (up + strength) for k in range(len(names))]
-    prior = F.array(*(F.log((F.col(f"n{k}") + strength * above[k]) / (here + strength)) for k in range(len(names)))).alias("prior")
-    table = stage.keep(hosts.join(parents, "parent").select("host", prior))
-    small = table.count() <= 200_000  # else joined by host, where Spark splits a hot one
-    fused = said.join(F.broadcast(table) if small else table, "host").withColumn("sum", F.zip_with("likely", "prior", lambda a, b: a + b))
-    best = F.array_max("sum")
-    spread = F.aggregate(F.transform("sum", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
-    pick = F.element_at(F.array(*map(F.lit, names)), F.array_position("sum", best).cast("int"))
-    return fused.select(*keep, pick.alias("language"), (1 / spread).alias("posterior"), F.col("grams").alias("evidence"), *([] if "declared" in keep else ["declared"]))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            lists = [batch.column(k).to_pylist() for k in (3, 4, 5, 6)]
+            language, posterior, grams = [], [], []
+            for (n, x), hk, hn, pk, pn in zip(likely(batch, table), *lists, strict=True):
+                above = strength * share
+                above[pk] += pn
+                prior = above * (strength / (sum(pn) + strength))
+                prior[hk] += hn
+                x += np.log(prior / (sum(hn) + strength))
+                best = int(x.argmax())
+                language.append(names[best])
+                posterior.append(float(1 / np.exp(x - x[best]).sum()))
+                grams.append(n)
+            columns = [pa.array(language, pa.string()), pa.array(posterior, pa.float64()), pa.array(grams, pa.int64()), batch.column(1), *([batch.column(0)] if "text" in keep else []), *batch.columns[7:]]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "posterior", "evidence", "declared", *(["text"] if "text" in keep else []), *carried])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(["language string, posterior double, evidence long, declared string", *(["text string"] if "text" in keep else []), *(f"`{k}` {kinds[k]}" for k in carried)])
+    met = rows.join(hosts, "host").join(parents, "parent").select("text", "declared", "suffix", "hk", "hn", "pk", "pn", *carried)
+    return met.mapInArrow(fuse, schema).select(*keep, "language", "posterior", "evidence", *([] if "declared" in keep else ["declared"]))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

@@ -362,6 +362,21 @@ def test_language_evidence_is_fused(spark):
     assert langid.identify(df.limit(0), langid.fit(df), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("dense", [256, 0])
+def test_language_of_few_rows_is_known(spark, monkeypatch, dense):
+    """A language on less than one row in a thousand, and more languages than 200, are found in texts that declare none."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rnd = random.Random(23)
+    tags = ["".join(x) for x in itertools.product("abcdefghijkl", repeat=2)][:120] + ["".join(x) for x in itertools.product("mnopqr", repeat=3)][:100]
+    words = {t: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 9))) for _ in range(25)] for t in tags}
+    text = lambda t: " ".join(rnd.choice(words[t]) for _ in range(60))
+    rows = [(tags[0], text(tags[0])) for _ in range(7000)] + [(t, text(t)) for t in tags[1:] for _ in range(6)] + [(None, text(t)) for t in tags]
+    df = spark.createDataFrame([(k, x, t, None, f"h{k % 3}.example.org") for k, (t, x) in enumerate(rows)], "doc_id long, text string, declared string, suffix string, host string")
+    got = {r["doc_id"]: r["language"] for r in langid.identify(df, langid.fit(df), ["doc_id"]).collect()}
+    assert [got[k] for k in range(len(rows) - len(tags), len(rows))] == tags
+    assert all(got[k] == t for k, (t, _) in enumerate(rows) if t)
+
+
 def test_pipeline_of_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
