@@ -40,33 +40,50 @@ def cost(length: int, linear: float = 1.0, quadratic: float = 1 / 512) -> float:
     return linear * length + quadratic * length * length
 
 
-def assign(lengths: np.ndarray, room: int, tries: int = 8) -> Iterator[tuple[int, int, int, int, int]]:
+def assign(lengths: np.ndarray, room: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Yield (piece, begin in it, length, sequence, offset there).
 
-    Pieces in descending length go to the sequence of least cost that has room for them, among
-    the `tries` of least cost; where none has, the piece is cut at what the first can hold. There
-    are just enough sequences for all tokens, so that together they lack less than one `room`.
+    Pieces in descending length go to the sequence of least cost that has room for them; only
+    where none has, the piece is cut at what the sequence of least cost can hold. There are just
+    enough sequences for all tokens, so that together they lack less than one `room`. Sequences
+    lie in a heap for each number of free tokens; a tree over these has the least of each range.
     """
-    total = int(lengths.sum())
-    open_ = [(0.0, k, 0) for k in range(-(-total // room))]  # (cost, sequence, used)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(room + 1)]
+    heaps[room] = [(0.0, k) for k in range(-(-int(lengths.sum()) // room))]
+    size = 1 << room.bit_length()
+    tree = [(float("inf"), -1, 0)] * (2 * size)  # (cost, sequence, free)
+
+    def renew(free: int) -> None:
+        at = size + free
+        tree[at] = (*heaps[free][0], free) if heaps[free] else (float("inf"), -1, 0)
+        while at > 1:
+            at //= 2
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    def least(free: int) -> tuple[float, int, int]:
+        at = size + free
+        best = tree[at]
+        while at > 1:
+            if at % 2 == 0:
+                best = min(best, tree[at + 1])
+            at //= 2
+        return best
+
+    renew(room)
     for piece in np.argsort(-lengths, kind="stable").tolist():
         begin, left = 0, int(lengths[piece])
         while left:
-            passed = []
-            while open_ and len(passed) < tries and room - open_[0][2] < left:
-                passed.append(heapq.heappop(open_))
-            if not open_ or room - open_[0][2] < left:
-                for x in passed:
-                    heapq.heappush(open_, x)
-                passed = []
-            spent, sequence, used = heapq.heappop(open_)
-            for x in passed:
-                heapq.heappush(open_, x)
-            put = min(left, room - used)
-            yield piece, begin, put, sequence, used
-            begin, left, used = begin + put, left - put, used + put
-            if used < room:
-                heapq.heappush(open_, (spent + cost(put), sequence, used))
+            spent, sequence, free = least(left) if left <= room else tree[1]
+            if sequence < 0:
+                spent, sequence, free = tree[1]
+            heapq.heappop(heaps[free])
+            renew(free)
+            put = min(left, free)
+            yield piece, begin, put, sequence, room - free
+            begin, left, free = begin + put, left - put, free - put
+            if free:
+                heapq.heappush(heaps[free], (spent + cost(put), sequence))
+                renew(free)
 
 
 def pack(docs: DataFrame, room: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:

@@ -325,6 +325,22 @@ def test_packing_covers_every_token_once(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "uniform"])
+def test_pieces_are_cut_only_where_none_fits(kind):
+    rng, room = np.random.default_rng(4), 1024
+    lengths = rng.integers(1, room, 1500) if kind == "uniform" else np.clip(rng.lognormal(5.5, 1, 1500).astype(np.int64), 1, room - 1)
+    open_, expected = [[0.0, k, room] for k in range(-(-int(lengths.sum()) // room))], []
+    for piece in np.argsort(-lengths, kind="stable").tolist():
+        begin, left = 0, int(lengths[piece])
+        while left:
+            best = min([x for x in open_ if x[2] >= left] or [x for x in open_ if x[2]])
+            put = min(left, best[2])
+            expected.append((piece, begin, put, best[1], room - best[2]))
+            best[0], best[2] = best[0] + packing.cost(put), best[2] - put
+            begin, left = begin + put, left - put
+    assert list(packing.assign(lengths, room)) == expected
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "same " * 40 + "</p>"
     rows = [(3, "http://a/x y", big), (1, "http://b/", big), (2, None, "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", "WARC/1.1\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\né" * 9)]
