@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .vectors import matrix, usable
 
-#: Vectors of a shard, which one task holds.
-SHARD_ROWS = 8192
+#: Vectors of a shard and queries of a block, about, which one task holds.
+SHARD_ROWS, QUERY_ROWS = 8192, 8192
 
 
 @dataclass
@@ -96,6 +96,15 @@ def search_shard(index: Index, ids: np.ndarray, base: np.ndarray, query_ids: np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (empty, empty, np.zeros(0))
 
 
+def dealt(base: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with shard and block: every row of `base` in its shard meets every one of `queries` in its block exactly once."""
+    shards, blocks = max(1, -(-base.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
+    own = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = base.select(own(shards, 0).alias("shard"), each(blocks).alias("block"), "vec_id", "embedding")
+    return held, queries.select(each(shards).alias("shard"), own(blocks, 1).alias("block"), "vec_id", "embedding")
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20000, lists: int = 64, probes: int = 44, rerank: int = 200, margin: float = 0.01) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `base` of largest inner product found.
 
@@ -105,8 +114,9 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20000
 
     The index is fitted on at most `sample` vectors, those of the smallest hash of vec_id, and
     holds every base row. Base rows are dealt to shards of about 8,192 by a hash, so that a list
-    with very many rows is spread over all of them; a shard sees all queries and returns k rows
-    for each, of which a window keeps the first k.
+    with very many rows is spread over all of them. Queries are dealt to blocks of about 8,192 in
+    the same way; each shard meets each block in one task, whose size does not grow with the
+    tables, and which returns k rows for each query; of a query's rows the first k are kept.
     """
     spark = base.sparkSession
     base, queries = usable(base), usable(queries)
@@ -116,9 +126,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20000
     dim = int(taken["embedding"].map(len).mode().iloc[0])
     index = fit(matrix(taken["embedding"][taken["embedding"].map(len) == dim], dim), min(lists, len(taken)))
     base, queries = base.where(F.size("embedding") == dim), queries.where(F.size("embedding") == dim)
-    shards = max(1, -(-base.count() // SHARD_ROWS))
-    held = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), "vec_id", "embedding")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "vec_id", "embedding")
+    held, asked = dealt(base, queries)
 
     def find(rows: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(ask):
@@ -127,6 +135,6 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20000
         who, which, score = search_shard(index, rows["vec_id"].to_numpy(), matrix(rows["embedding"], dim), ask["vec_id"].to_numpy(), matrix(ask["embedding"], dim), k, probes, rerank, margin)
         return pd.DataFrame({"query_id": who, "vec_id": which, "score": score})
 
-    found = held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(find, "query_id long, vec_id long, score double")
+    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
     return best.select("query_id", F.posexplode("top").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -247,6 +247,19 @@ def test_neighbours_reach_their_recall(spark):
     assert ann.search(df.limit(0), df).count() == 0
 
 
+def test_neighbours_of_many_queries_are_found_in_blocks(spark, monkeypatch):
+    """No task holds more than a block of queries, and the blocks give what one gives."""
+    df = spark.createDataFrame(vectors(8, n=300)[0], "vec_id long, embedding array<double>")
+    ask = lambda: {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in ann.search(df, df, k=5, probes=64, rerank=300).collect()}
+    whole = ask()
+    monkeypatch.setattr(ann, "QUERY_ROWS", 50)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    held, asked = ann.dealt(df, df)
+    assert max(r["count"] for r in asked.groupBy("shard", "block").count().collect()) <= 100
+    assert held.alias("a").join(asked.alias("b"), ["shard", "block"]).count() == df.count() ** 2
+    assert ask() == whole
+
+
 def toxic_texts(seed, n=600):
     rnd = random.Random(seed)
     words = vocabulary(rnd, 300)
