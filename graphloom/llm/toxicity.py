@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, powers, text_blocks
+from .common import Stage, arrow_map, mix, span_hashes, text_blocks
 
 GRAMS = (3, 4, 5)
 #: Everything but ASCII letters and digits and non-ASCII bytes becomes a space.
@@ -27,109 +27,123 @@ class ToxicityModel:
 
     weight: np.ndarray
     bias: float
-    words: int
     shift: float = 0.0
 
 
-def _grams(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a block of texts: bucket and word of every n-gram; of each word its text and its hash; words of each text."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cleaned bytes of a block of texts, begin and end of every word in them, and the number of words of each text."""
     clean = [b" " + t.decode("utf-8", "replace").lower().encode().translate(_CLEAN) for t in texts]
     sizes = np.array([len(c) for c in clean], np.int64)
     data = np.frombuffer(b"".join(clean) + b" " * 8, np.uint8)
     space = data == 32
-    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    text_of = np.searchsorted(np.cumsum(sizes), start, side="right")
-    counts = np.bincount(text_of, minlength=len(texts))
-    total = np.zeros(len(data) + 1, np.uint64)
-    up, down = powers(len(data) + 1)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start])
-    where, which = [], []
+    start = (np.flatnonzero(space[:-1] & ~space[1:]) + 1).astype(np.int32 if len(data) < 2**31 else np.int64)
+    end = (np.flatnonzero(~space[:-1] & space[1:]) + 1).astype(start.dtype)
+    return data, start, end, np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), minlength=len(texts))
+
+
+def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and word of the words' n-grams, one length at a time, and of the words themselves, whose hashes are `own`."""
     for n in GRAMS:
         # a gram starts at a word's byte or the space before it and ends at most with the space after it
         many = np.maximum(end - start + 3 - n, 0)
-        at = np.repeat(start - 1 - np.cumsum(many) + many, many) + np.arange(many.sum())
-        value = mix((total[at + n] - total[at]) * down[at] + np.uint64(n))
-        where.append((value % np.uint64(buckets)).astype(np.int64))
-        which.append(np.repeat(np.arange(len(start)), many))
-    where.append((hashes % np.uint64(buckets)).astype(np.int64))
-    which.append(np.arange(len(start)))
-    return np.concatenate(where), np.concatenate(which), text_of, hashes, counts
+        at = np.repeat(start - 1 - np.cumsum(many, dtype=start.dtype) + many, many) + np.arange(many.sum(), dtype=start.dtype)
+        value = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            value = value << np.uint64(8) | data[at + k]
+        yield (mix(value) % np.uint64(buckets)).astype(np.int32), np.repeat(np.arange(len(start), dtype=np.int32), many)
+    yield (own % np.uint64(buckets)).astype(np.int32), np.arange(len(start), dtype=np.int32)
 
 
-def _passages(counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passage of each word, and the text of each passage; every text's words are cut into runs of `words`."""
-    per = -(-counts // words)
-    first = np.concatenate(([0], np.cumsum(per)[:-1]))
-    begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    text = np.repeat(np.arange(len(counts)), counts)
-    return first[text] + (np.arange(len(text)) - begin[text]) // words, np.repeat(np.arange(len(counts)), per)
+def _pairs(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each word the mean of its value and the next word's; the last word of a text has none, unless it is the only one."""
+    out = value.copy()
+    out[:-1] += value[1:]
+    out /= 2
+    last = np.cumsum(counts)[counts > 0] - 1
+    out[last] = np.where(counts[counts > 0] == 1, value[last], -np.inf)
+    return out
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 4, words: int = 2, steps: int = 60, seed: int = 7) -> ToxicityModel:
+def train(texts: list[bytes], labels: np.ndarray, buckets: int = 1 << 16, dim: int = 4, steps: int = 60, seed: int = 7) -> ToxicityModel:
     """Fit bucket vectors and class weights jointly by full-batch descent with momentum.
 
-    Passages of `words` words are the examples. In the first third of the steps each has its
-    text's label. Then those of toxic texts count as toxic where scored 0.5 or more, and the
-    highest of each always, and no others of theirs are used; of other texts each passage is
-    clean, and those of high scores weigh most. N-grams met in fewer than 3 texts stay at zero.
-    Without both classes among the labels the model gives all texts one score.
+    Every two neighbouring words, and a word that is alone in its text, are an example. In the
+    first third of the steps each has its text's label. Then those of toxic texts count as toxic
+    where scored 0.5 or more, and the highest of each always, and no others of theirs are used; of
+    other texts each is clean, and those of high scores weigh most. N-grams met in fewer than 3
+    texts stay at zero. Without both classes among the labels the model gives all texts one score.
     """
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros(buckets, np.float32), 9.0 if labels.any() else -9.0, words)
-    counts, hashes, kept = [], [], []
+        return ToxicityModel(np.zeros(buckets, np.float32), 9.0 if labels.any() else -9.0)
+    counts, words, grams, share, names = [], [], [], [], np.zeros(0, np.uint64)
+    known = names
     for block in _runs(texts):
-        where, which, _, own, many = _grams(block, buckets)
-        once = np.zeros(len(own), bool)
-        once[np.unique(own, return_index=True)[1]] = True
-        kept.append((where[once[which]].astype(np.int32), own[which[once[which]]]))
+        data, start, end, many = _words(block)
+        own = span_hashes(data, start, end)
         counts.append(many)
-        hashes.append(own)
-    counts, hashes = np.concatenate(counts), np.concatenate(hashes)
-    passage, text = _passages(counts, words)
-    names, kind = np.unique(hashes, return_inverse=True)
-    del hashes
-    grams, owner, met = [], [], np.zeros(len(names), bool)
-    for where, own in kept:
-        slot = np.searchsorted(names, own)
-        new = ~met[slot]
-        grams.append(where[new])
-        owner.append(slot[new])
-        met[slot] = True
-    del kept
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    texts_of = np.bincount(np.unique(kind * np.int64(len(counts)) + text[passage]) // len(counts), minlength=len(names))
+        words.append(own)
+        new, at = np.unique(own, return_index=True)
+        slot = np.searchsorted(known, new)
+        at = at[~((slot < len(known)) & (known[np.minimum(slot, len(known) - 1)] == new))] if len(known) else at
+        names = np.concatenate((names, own[at]))
+        known = np.sort(names)
+        where, which = (np.concatenate(x) for x in zip(*_grams(data, start[at], end[at], own[at], buckets), strict=True))
+        grams.append(where[np.argsort(which, kind="stable")])
+        share.append(np.bincount(which, minlength=len(at)))
+    counts, words, grams, share = (np.concatenate(x) for x in (counts, words, grams, share))
+    order = np.argsort(names)
+    kind = order[np.searchsorted(names[order], words)].astype(np.int32)
+    del words
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    met = np.sort(kind * np.int64(len(counts)) + text)
+    texts_of = np.bincount(met[np.flatnonzero(np.diff(met, prepend=-1))] // len(counts), minlength=len(names))
+    del met
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), share)
     usual = np.bincount(grams, texts_of[owner], minlength=buckets) >= 3
-    grams, owner = grams[order := np.argsort(owner, kind="stable")], owner[order]
-    share = np.bincount(owner, minlength=len(names)).astype(np.float32)
-    cut = np.cumsum(share.astype(np.int64)) - share.astype(np.int64)
-    size = np.bincount(passage, minlength=len(text)).astype(np.float32)
+    held = usual[grams]
+    grams, owner = grams[held], owner[held]
+    live, cut = np.unique(owner, return_index=True)  # words with n-grams that are learnt, and where theirs begin
+    ends = np.append(cut[1:], len(owner))
+    share = share.astype(np.float32)
+    lots = [slice(k, k + 32768) for k in range(0, len(live), 32768)]
+    used = np.isfinite(_pairs(np.zeros(len(kind)), counts))
+    text = text[used]
+    partner = np.minimum(np.flatnonzero(used) + 1, len(kind) - 1)
+    partner = np.where(counts[text] == 1, np.flatnonzero(used), partner)
+    left, right = kind[used], kind[partner]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (buckets, dim)).astype(np.float32) * usual[:, None], rng.normal(0, 1, dim).astype(np.float32), np.float32([-2.0])]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     y, weight = labels[text].astype(np.float32), np.ones(len(text), np.float32)
     toxic = labels[text] == 1
+    kinds = np.zeros((len(names), dim), np.float32)
     for step in range(1, steps + 1):
-        kinds = np.add.reduceat(params[0][grams], cut, axis=0) / share[:, None] * SCALE
-        p = np.bincount(passage, (kinds @ params[1])[kind], minlength=len(text)) / size + params[2][0]
+        for lot in lots:
+            a, b = cut[lot][0], ends[lot][-1]
+            kinds[live[lot]] = np.add.reduceat(params[0][grams[a:b]], cut[lot] - a, axis=0) / share[live[lot], None] * SCALE
+        value = kinds @ params[1]
+        p = (value[left] + value[right]) / 2 + params[2][0]
         p = 1 / (1 + np.exp(-np.clip(p, -30, 30)))
         if step > steps // 3:
-            best = np.zeros(len(counts))
+            best = np.zeros(len(counts), np.float32)
             np.maximum.at(best, text, p)
             y = (toxic & (p >= np.minimum(best[text], 0.5))).astype(np.float32)
             weight = np.where(toxic, y, np.maximum(p, 0.05))
-        error = (p - y) * weight / max(1.0, y.sum())
-        toward = np.bincount(kind, (error / size)[passage], minlength=len(names)) * SCALE
-        down = np.bincount(grams, (toward / share)[owner], minlength=buckets).astype(np.float32) * usual
-        grads = [down[:, None] * params[1][None, :], (toward / SCALE @ kinds).astype(np.float32), np.float32([error.sum()])]
-        for k, (value, grad) in enumerate(zip(params, grads, strict=True)):
+        error = (p - y) * weight / max(1.0, y.sum()) / 2
+        toward = (np.bincount(left, error, minlength=len(names)) + np.bincount(right, error, minlength=len(names))) * SCALE
+        each, down = toward / share, np.zeros(buckets)
+        for lot in lots:
+            a, b = cut[lot][0], ends[lot][-1]
+            down += np.bincount(grams[a:b], each[owner[a:b]], minlength=buckets)
+        down = down.astype(np.float32)
+        grads = [down[:, None] * params[1][None, :], (toward / SCALE @ kinds).astype(np.float32), np.float32([2 * error.sum()])]
+        for k, (x, grad) in enumerate(zip(params, grads, strict=True)):
             moments[k][0] += 0.2 * (grad - moments[k][0])
             moments[k][1] += 0.05 * (grad * grad - moments[k][1])
             size_of = np.sqrt(moments[k][1] / (1 - 0.95**step))
-            value -= RATE[k] * moments[k][0] / (1 - 0.8**step) / (size_of + FLOOR * size_of.max() + 1e-12)
+            x -= RATE[k] * moments[k][0] / (1 - 0.8**step) / (size_of + FLOOR * size_of.max() + 1e-12)
         params[0] *= DECAY
-    return ToxicityModel((params[0] @ params[1] * SCALE).astype(np.float32), float(params[2][0]), words)
+    return ToxicityModel((params[0] @ params[1] * SCALE).astype(np.float32), float(params[2][0]))
 
 
 #: Step sizes of the vectors, the class weights and the bias.
@@ -138,57 +152,70 @@ RATE = (0.5, 0.1, 0.2)
 FLOOR = 0.03
 #: What a step leaves of the vectors, against what few texts taught.
 DECAY = np.float32(0.97)
-#: Times the averaged vector, as averages over a passage are small.
+#: Times the averaged vector, as averages over n-grams are small.
 SCALE = np.float32(4.0)
 
 
-def _runs(texts: list[str]) -> Iterator[list[bytes]]:
-    for _, _, block in text_blocks(pa.array(texts, pa.string())):
+def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
+    for _, _, block in text_blocks(pa.array(texts, pa.binary())):
         yield block
 
 
 def score_texts(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
-    """The probability of the toxic class in the passage of each text that is highest."""
+    """The probability of the toxic class in the two neighbouring words of each text where it is highest."""
     out = []
     for _, _, block in text_blocks(texts):
-        where, which, _, _, counts = _grams(block, len(model.weight))
+        data, start, end, counts = _words(block)
         logit = np.full(len(block), min(model.bias, -4.0))
-        if counts.sum():
-            per = np.bincount(which)
-            word = np.bincount(which, model.weight[where]) / per
-            passage, text = _passages(counts, model.words)
-            np.maximum.at(logit, text, np.bincount(passage, word) / np.bincount(passage) + model.bias)
+        if len(start):
+            own = span_hashes(data, start, end)
+            names, at, kind = np.unique(own, return_index=True, return_inverse=True)
+            total, many = np.zeros(len(names)), np.zeros(len(names))
+            for where, which in _grams(data, start[at], end[at], names, len(model.weight)):
+                total += np.bincount(which, model.weight[where], minlength=len(names))
+                many += np.bincount(which, minlength=len(names))
+            some = np.flatnonzero(counts)
+            begins = (np.cumsum(counts) - counts)[some]
+            logit[some] = np.maximum(logit[some], np.maximum.reduceat(_pairs((total / many)[kind], counts), begins) + model.bias)
         out.append(1 / (1 + np.exp(-np.clip(logit - model.shift, -30, 30))))
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def calibrated(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Train on four texts of five; set the shift so that 0 parts the classes of the fifth best."""
+def calibrated(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
+    """Train on four texts of five; set the shift so that 0 parts the classes of the fifth well.
+
+    The shift is the mean of all cuts between its scores, those that part it best weighing most.
+    """
     rest = np.arange(len(texts)) % 5 == 4
     model = train([t for t, r in zip(texts, rest, strict=True) if not r], labels[~rest])
     y = labels[rest]
     if len(set(y.tolist())) < 2 or not model.weight.any():
         return model
-    p = np.clip(score_texts(model, pa.array([t for t, r in zip(texts, rest, strict=True) if r], pa.string())), 1e-12, 1 - 1e-12)
+    p = np.clip(score_texts(model, pa.array([t for t, r in zip(texts, rest, strict=True) if r], pa.binary())), 1e-12, 1 - 1e-12)
     logit = np.log(p / (1 - p))
     order = np.argsort(logit)
     logit, y = logit[order], y[order]
     right = np.cumsum(y == 0)[:-1] + (y == 1).sum() - np.cumsum(y == 1)[:-1]
-    gap = np.where(right == right.max(), np.diff(logit), -1)
-    model.shift = float((logit[gap.argmax()] + logit[gap.argmax() + 1]) / 2)
+    share = np.diff(logit) * np.exp(right - right.max())
+    model.shift = float((share * (logit[1:] + logit[:-1]) / 2).sum() / share.sum()) if share.sum() > 0 else float(logit.mean())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> ToxicityModel:
-    """Train on at most `sample` labelled rows, those of the smallest hash of doc_id; held-out rows never take part.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: int = 16 << 20) -> ToxicityModel:
+    """Train on at most `sample` labelled rows of together at most `sample_bytes` of text, those of the smallest hash of doc_id.
 
-    Labels that are null are left out; of several labels of one document the largest counts.
+    Held-out rows never take part. Labels that are null are left out; of several labels of one
+    document the largest counts. Only the bounded sample reaches the driver, where it is trained.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    return calibrated([x if isinstance(x, str) else "" for x in rows["text"]], rows["toxic"].to_numpy(np.int64))
+    marks = marks.where(~held_out("doc_id")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(sample)
+    text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    rows = Stage(docs.sparkSession, "labelled").keep(docs.select("doc_id", text.alias("text")).join(F.broadcast(marks), "doc_id"))
+    order = ["place", "doc_id", "toxic", F.sha2("text", 256)]
+    total = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    reach = rows.select("doc_id", "toxic", "place", "text", total.alias("total")).where(F.col("total") <= sample_bytes)
+    found = reach.orderBy(*order).select("text", "toxic").toArrow()
+    return calibrated(found.column("text").to_pylist(), found.column("toxic").to_numpy().astype(np.int64))
 
 
 def held_out(column: str) -> F.Column:
@@ -198,8 +225,9 @@ def held_out(column: str) -> F.Column:
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """`docs` and the columns toxicity_score (0 to 1) and toxicity_label (1 from 0.5 on).
 
-    Whole texts count. Null and empty texts get the score of a text without words, which is
-    low. Rows are neither dropped nor merged; other columns pass through, and columns that
+    Whole texts count: a text scores as its two neighbouring words of the highest average, so a
+    word more changes nothing but the one or two averages it takes part in. Null and empty texts
+    get the score of a text without words, which is low. An empty table gives no rows. Rows are neither dropped nor merged; other columns pass through, and columns that
     already have the two names are replaced.
     """
     docs = docs.drop("toxicity_score", "toxicity_label")
