@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, few, mix, powers, text_blocks
+from .common import Stage, few, mix, text_blocks
 
 #: Bytes of the gram that decides which positions are sampled.
 GRAM = 24
@@ -132,12 +132,18 @@ def _named(sampled: DataFrame, length: int) -> DataFrame:
 
 
 def _window_hashes(near: np.ndarray, length: int) -> np.ndarray:
-    """Of each context the hashes of the strings of `length` bytes that hold its gram: one column for each number of bytes before it, descending."""
-    up, down = powers(near.shape[1] + 1)
-    total = np.zeros((len(near), near.shape[1] + 1), np.uint64)
-    np.cumsum((near.astype(np.uint64) + np.uint64(1)) * up[:-1], axis=1, out=total[:, 1:])
-    n = near.shape[1] - length + 1
-    return mix((total[:, length : length + n] - total[:, :n]) * down[:n])
+    """Of each context the hashes of the strings of `length` bytes that hold its gram: one column for each number of bytes before it, descending.
+
+    Hashes of 8 bytes are mixed to those of 16, 32 and so on; two that overlap cover `length` bytes.
+    """
+    size, wide = 8, near.shape[1]
+    h = np.lib.stride_tricks.as_strided(near, (len(near), wide - 7, 8), (near.strides[0], 1, 1))
+    h = mix(np.ascontiguousarray(h).view(np.uint64)[:, :, 0])
+    while 2 * size <= length:
+        h = mix(h[:, :-size] * np.uint64(0x9E3779B97F4A7C15) + h[:, size:])
+        size *= 2
+    n, over = wide - length + 1, length - size
+    return mix(h[:, :n] * np.uint64(0x9E3779B97F4A7C15) + h[:, over : over + n])
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
