@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; one longer text is taken alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def table(sf_dir: str, name: str) -> str:
@@ -79,27 +80,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]), BLOCK + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Bytes of a span that are hashed eight at a time in numpy; longer ones are hashed one by one.
+SPAN = 64
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans data[start:end]; equal bytes have equal hashes."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the byte spans data[start:end] (int or long arrays); equal bytes have equal hashes.
+
+    Eight bytes at a time are mixed into the state, which is not linear in them, so no pattern of
+    bytes collides with another by construction, as it would in a polynomial modulo 2**64.
+    """
+    size = (end - start).astype(np.int64)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    live = np.flatnonzero((size > 0) & (size <= SPAN))
+    at = 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        chunk = np.ascontiguousarray(words[start[live] + at]).view(np.uint64).ravel()
+        chunk &= np.uint64(2**64 - 1) >> ((8 - left).astype(np.uint64) * np.uint64(8))
+        out[live] = mix(out[live] ^ mix(chunk + np.uint64(at)))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > SPAN).tolist():
+        out[k] ^= np.uint64(xxhash.xxh3_64_intdigest(data[start[k] : end[k]]))
+    return mix(out)
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
