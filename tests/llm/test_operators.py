@@ -101,6 +101,25 @@ def test_minhash_links_subsets_at_the_threshold(spark):
     assert got == expected
 
 
+def test_minhash_tells_patterned_words_apart(spark):
+    """A Thue-Morse word and its complement, which collide in every polynomial modulo a power of two."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("ba"[b] for b in bits[:64])), (4, "".join("ab"[b] for b in bits[:64]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    rnd = np.random.default_rng(3)
+    spans = [rnd.integers(97, 99, n, dtype=np.uint8).tobytes() for n in [*range(0, 40), 63, 64, 65, 200] * 3]
+    data = np.frombuffer(b"".join(s + b" " for s in spans), np.uint8)
+    size = np.array([len(s) for s in spans])
+    end = np.cumsum(size + 1) - 1
+    one = common.span_hashes(data, end - size, end)
+    two = common.span_hashes(np.concatenate(([7], data)).astype(np.uint8), end - size + 1, end + 1)
+    assert (one == two).all() and len(set(one.tolist())) == len(set(spans))
+
+
 def test_minhash_edge_cases(spark):
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(ODD, DOCS).withColumn("kept", F.lit(1))).collect())
     assert got[(1, 0, 1, True)] == got[(2, 0, 2, True)] == got[(3, 0, 3, True)] == 1
@@ -279,6 +298,10 @@ def test_toxicity_held_out_accuracy(spark):
     got = {r["doc_id"]: r["toxicity_label"] for r in toxicity.toxicity(docs, model).collect()}
     held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(a == b for a, b in held) / len(held) >= 0.95
+    texts = [t for _, t, _ in rows]
+    bare, more = (toxicity.score_texts(model, pa.array([p + t for t in texts])) for p in ("", f"{texts[0].split()[0]} "))
+    assert ((bare >= 0.5) == (more >= 0.5)).mean() > 0.99  # a word in front flips no labels
+    assert np.allclose(bare[:60], [brute_toxicity(model, t) for t in texts[:60]])
     assert toxicity.score_texts(model, pa.array(["you wretchlinng"]))[0] > toxicity.score_texts(model, pa.array([""]))[0]
     odd = toxicity.toxicity(spark.createDataFrame(ODD, DOCS), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r["toxicity_score"] <= 1 for r in odd)
@@ -286,6 +309,23 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.toxicity(docs, empty).where("toxicity_label = 1").count() == 0
 
 
+def brute_toxicity(model, text):
+    """The score word by word and n-gram by n-gram."""
+    values = []
+    for w in re.findall(r"[a-z0-9]+", text.lower()):
+        whole = f" {w} ".encode()
+        own = common.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+        held = [model.weight[int(own) % len(model.weight)]]
+        for n in (3, 4, 5):
+            for k in range(len(whole) - n + 1):
+                packed = np.array([int.from_bytes(bytes([0, 0, 0, *[0] * (5 - n)]) + whole[k : k + n], "big") | n << 8 * n], np.uint64)
+                held.append(model.weight[int(common.mix(packed)[0]) % len(model.weight)])
+        values.append(np.mean(np.array(held, float)))
+    pairs = [(a + b) / 2 for a, b in zip(values, values[1:])] or values
+    logit = max([min(model.bias, -4.0), *(p + model.bias for p in pairs)]) - model.shift
+    return 1 / (1 + math.exp(-logit))
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a>menu</a></nav><div class="ad">buy</div>
 <article><h1>Head &amp; line</h1><p>One <b>bold</b>\n text<br>more<p>Two &lt;x&gt;<div class="comments">nice</div><script>var a="<p>no</p>"</script></article><aside>side</aside><footer>&copy;</footer></body></html>"""
 
@@ -313,10 +353,9 @@ def test_packing_covers_every_token_once(spark):
     from tokenizers import Tokenizer
 
     rnd = random.Random(1)
-    rows = [*ODD, *((100 + i, " ".join(rnd.choice(["the", "quick", "<|endoftext|>", "éa", "\n"]) for _ in range(rnd.randint(0, 3000)))) for i in range(40))]
+    rows = [*ODD, (50, "a<|endoftext|>b"), (51, "<|endoftext|>"), (52, " <|endoftext|> <|endoftext|"), (53, "é<|endoftext|>" * 40000), *((100 + i, " ".join(rnd.choice(["the", "quick", "<|endoftext|>", "éa", "\n"]) for _ in range(rnd.randint(0, 3000)))) for i in range(40))]
     pieces = packing.pack(spark.createDataFrame(rows, DOCS).coalesce(2)).collect()
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     ids = {d: [*own.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
     copies = collections.Counter(d for d, _ in rows)
     sequences, covered = collections.defaultdict(list), collections.defaultdict(list)
