@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, few, mix, text_blocks
+from .common import Stage, few, mix, text_blocks, tidy
 
 #: Bytes of the gram that decides which positions are sampled.
 GRAM = 24
@@ -65,70 +65,117 @@ def context_hashes(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
     return mix(out)
 
 
-def _sampled(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, at) of every sampled position: hashes of its gram and its context, and 128 * position + bytes from it on."""
+def _first(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in an order that has equal keys together: whether each is the first of its keys, and the place in the order of that first one."""
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        x = k[order]
+        new[1:] |= x[1:] != x[:-1]
+    return new, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+
+def _sampled(docs: DataFrame, length: int, often: int = 8) -> DataFrame:
+    """(r, h, c, doc, at) of the sampled positions: where the row goes, hashes of its gram and its context, and place.
+
+    `at` is 256 * position + 128 if the gram is common here + the bytes from the position on, of
+    which there are GRAM at least. Each block of texts sends one row for each context: the other
+    rows that hold it are later, and go on as spans, (doc, c to at >> 8), marked by a 1 there. A
+    gram of `often` contexts in the block goes by gram and context, so that no task gets all of a
+    gram that is common everywhere; a row marked by a 0 tells those that go by the gram alone.
+    """
+    before = length - GRAM
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, block in text_blocks(batch.column(1)):
+            for first, _, block in text_blocks(batch.column(1), 4 << 20):
                 out: list[tuple[np.ndarray, ...]] = []
                 for k, text in enumerate(block):
                     data = np.frombuffer(text, np.uint8)
                     at, h = samples(data, length)
                     if len(at):
                         near, left, right = contexts(data, at, length)
-                        out.append((h.view(np.int64), context_hashes(near, left, right).view(np.int64), np.full(len(at), ids[first + k]), at * 128 + right))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "c", "doc", "at"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "h long, c long, doc long, at long")
+                        out.append((h.view(np.int64), context_hashes(near, left, right).view(np.int64), np.full(len(at), ids[first + k]), at * 256 + right))
+                if not out:
+                    continue
+                h, c, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                order = np.lexsort((at, doc, c, h))
+                new, lead = _first(order, h, c)
+                h, c, doc, at = h[order], c[order], doc[order], at[order]
+                again = np.flatnonzero(~new & ((doc != doc[lead]) | (at != at[lead])))  # not a row that stands twice
+                start = at[again] >> 8
+                begin, end = start - np.minimum(start, before), start + (at[again] & 127)
+                spans = end - begin >= length
+                again, begin, end = again[spans], begin[spans], end[spans]
+                h1, c1, d1, a1 = h[new], c[new], doc[new], at[new]
+                gram = np.flatnonzero(np.concatenate(([True], h1[1:] != h1[:-1])))
+                many = np.diff(np.append(gram, len(h1)))
+                common = np.repeat(many >= often, many)
+                apart = mix((mix(h1.view(np.uint64).copy()) ^ c1.view(np.uint64))).view(np.int64)
+                told = h1[gram[many >= often]]
+                zero, one = np.zeros(len(told), np.int64), np.ones(len(again), np.int64)
+                columns = [
+                    (np.where(common, apart, h1), told, mix(doc[again].astype(np.uint64)).view(np.int64)), (h1, told, one), (c1, zero, begin),
+                    (d1, zero, doc[again]), (a1 + 128 * common, zero, end * 256 + 1),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["r", "h", "c", "doc", "at"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), "r long, h long, c long, doc long, at long")
 
 
 def _named(sampled: DataFrame, length: int) -> DataFrame:
-    """From positions sorted by gram and context: (doc, start, end) where the whole context occurs earlier, and (doc, h, at) of first contexts that share a gram with others.
+    """(doc, start, end) where a whole context occurs earlier, and (doc, h, at) of first contexts whose gram has others, or is told to.
 
-    A task reads its sorted rows as a stream and keeps one row of the one before.
+    A task reads its rows, sorted by gram and context, as a stream and keeps one row of the one before.
     """
     before = length - GRAM
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = held = None  # the first row of the context at hand; that of its gram, until a second context is seen
+        last = held = None  # the first row of the context at hand; that of its gram, until a second context or a mark is seen
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, doc, at = (batch.column(k).to_numpy() for k in range(4))
+            r, h, c, doc, at = (batch.column(k).to_numpy() for k in range(5))
+            known = np.flatnonzero(at & 255 == 1)
+            known_spans = doc[known], c[known], at[known] >> 8
+            own = at & 255 != 1
+            r, h, c, doc, at = (x[own] for x in (r, h, c, doc, at))
+            mark = at & 255 == 0
             if last is None:
-                last = (h[0] ^ 1, 0, 0, 0)
-            ph, pc = np.concatenate(([last[0]], h[:-1])), np.concatenate(([last[1]], c[:-1]))
-            new_gram = h != ph
-            first = new_gram | (c != pc)
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), -1))
-            ld, la = np.where(lead >= 0, doc[lead], last[2]), np.where(lead >= 0, at[lead], last[3])
-            covered = ~first & ((doc != ld) | (at != la))
-            start = at >> 7
-            spans = np.flatnonzero(covered & (np.minimum(start, before) + (at & 127) >= length))
-            # a first context counts if another one of its gram stands before or behind it
-            firsts = np.flatnonzero(first)
-            second = ~new_gram[firsts]
-            behind = np.concatenate((second[1:], [False]))
-            reps = firsts[second | behind]
-            rd, rh, ra = doc[reps], h[reps], at[reps]
-            if held is not None and len(firsts) and second[0]:
-                rd, rh, ra = (np.concatenate(([x], y)) for x, y in zip(held, (rd, rh, ra), strict=True))
-            if len(firsts):
-                end = firsts[-1]
-                held = (doc[end], h[end], at[end]) if new_gram[end] else None
-                last = (h[-1], c[-1], doc[end], at[end])
-            n = len(spans)
-            none = np.zeros(len(rd), np.int64)
-            columns = [np.concatenate(x) for x in (
-                (doc[spans], rd), (start[spans] - np.minimum(start[spans], before), none), (start[spans] + (at[spans] & 127), none),
-                (np.zeros(n, np.int64), rh), (np.zeros(n, np.int64), ra), (np.zeros(n, bool), np.ones(len(rd), bool)),
-            )]
+                last = (0, 0, 0, 0, 0, False)
+            if len(h):
+                pr, ph, pc = (np.concatenate(([last[k]], x[:-1])) for k, x in enumerate((r, h, c)))
+                pm = np.concatenate(([last[5]], mark[:-1]))
+                new_gram = (r != pr) | (h != ph)
+                new_gram[0] |= last[4] == 0
+                first = new_gram | (c != pc) | pm | mark
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), -1))
+                ld, la = np.where(lead >= 0, doc[lead], last[3]), np.where(lead >= 0, at[lead], last[4])
+                covered = ~first & ((doc != ld) | (at != la))
+                start = at >> 8
+                spans = np.flatnonzero(covered & (np.minimum(start, before) + (at & 127) >= length))
+                # a first context goes on if another one of its gram, or a mark, stands before or behind it, or if its gram is common
+                firsts = np.flatnonzero(first)
+                second = ~new_gram[firsts]
+                behind = np.concatenate((second[1:], [False]))
+                reps = firsts[(second | behind | (at[firsts] & 128 > 0)) & ~mark[firsts]]
+                rd, rh, ra = doc[reps], h[reps], at[reps]
+                if held is not None and len(firsts) and second[0]:
+                    rd, rh, ra = (np.concatenate(([x], y)) for x, y in zip(held, (rd, rh, ra), strict=True))
+                if len(firsts):
+                    end = firsts[-1]
+                    held = (doc[end], h[end], at[end]) if new_gram[end] and not mark[end] and not at[end] & 128 else None
+                    last = (r[-1], h[-1], c[-1], doc[end], at[end] or 256, mark[end] and end == len(h) - 1)
+                sd, ss, se = doc[spans], start[spans] - np.minimum(start[spans], before), start[spans] + (at[spans] & 127)
+            else:
+                sd, ss, se, rd, rh, ra = (np.zeros(0, np.int64),) * 6
+            sd, ss, se = (np.concatenate(x) for x in zip((sd, ss, se), known_spans, strict=True))
+            none, n = np.zeros(len(rd), np.int64), np.zeros(len(sd), np.int64)
+            columns = [np.concatenate(x) for x in ((sd, rd), (ss, none), (se, none), (n, rh), (n, ra & ~128), (n > 0, none == 0))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "start", "end", "h", "at", "more"])
 
-    return sampled.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(work, "doc long, start long, end long, h long, at long, more boolean")
+    return sampled.repartition("r").sortWithinPartitions("r", "h", "c", "doc", "at").mapInArrow(tidy(work), "doc long, start long, end long, h long, at long, more boolean")
 
 
 def _window_hashes(near: np.ndarray, length: int) -> np.ndarray:
@@ -153,6 +200,16 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, begin, np.nonzero(edge == -1)[1] - 1
 
 
+def _strings(h: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings of `length` bytes around grams, by bytes before the gram, descending, and which of them lie within the document."""
+    before = length - GRAM
+    value = _window_hashes(text, length)
+    shift = np.arange(value.shape[1])
+    start, right = at >> 8, at & 127
+    fits = (before - shift <= np.minimum(start, before)[:, None]) & (length - before + shift <= right[:, None])
+    return mix((value + mix(h.astype(np.uint64))[:, None]) * np.uint64(0x9E3779B97F4A7C15) + shift.astype(np.uint64)), fits
+
+
 def _compared(near: DataFrame, length: int) -> DataFrame:
     """(doc, start, end) of what the strings around a gram repeat of earlier ones, for contexts (h, doc, at, near) grouped by gram.
 
@@ -162,19 +219,15 @@ def _compared(near: DataFrame, length: int) -> DataFrame:
     before = length - GRAM
 
     def compare(h: np.ndarray, doc: np.ndarray, at: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-        value = _window_hashes(text, length)
-        shift = np.arange(value.shape[1])
-        start, right = at >> 7, at & 127
-        fits = (before - shift <= np.minimum(start, before)[:, None]) & (length - before + shift <= right[:, None])
-        value = mix((value + mix(h.astype(np.uint64))[:, None]) * np.uint64(0x9E3779B97F4A7C15) + shift.astype(np.uint64))
+        value, fits = _strings(h, at, text, length)
+        start = at >> 8
         rows, columns = np.nonzero(fits)
         keys = value[rows, columns]
         order = np.argsort(keys, kind="stable")
-        same = np.concatenate(([False], keys[order[1:]] == keys[order[:-1]]))
-        lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+        new, lead = _first(order, keys)
         later = np.zeros(len(order), bool)
-        own, first = rows[order], rows[lead]
-        later[order] = same & ((doc[own] != doc[first]) | (start[own] != start[first]))
+        own, first = rows[order], rows[order[lead]]
+        later[order] = ~new & ((doc[own] != doc[first]) | (start[own] != start[first]))
         mask = np.zeros(fits.shape, bool)
         mask[rows, columns] = later
         row, begin, end = _runs(mask)
@@ -198,40 +251,84 @@ def _compared(near: DataFrame, length: int) -> DataFrame:
         if kept:
             yield compare(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
-    return near.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(work, "doc long, start long, end long")
+    return near.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(tidy(work), "doc long, start long, end long")
 
 
-def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 100_000) -> DataFrame:
-    """(doc, start, end): byte runs of (doc_id, text) that earlier strings of `length` bytes cover; they may overlap."""
+def _compared_apart(near: DataFrame, length: int) -> DataFrame:
+    """The same for grams of very many contexts, whose strings are dealt out by their hashes.
+
+    Each batch sends the first of equal strings only, and (h, s, doc, start) of the others as
+    what they are, repeats; so a string that all documents hold is a row for each batch.
+    """
     before = length - GRAM
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                text = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, length + before)
+                h, doc, place = (part.column(k).to_numpy() for k in range(3))
+                value, fits = _strings(h, place, text, length)
+                rows, columns = np.nonzero(fits)
+                s, h, doc, start = value[rows, columns].view(np.int64), h[rows], doc[rows], (place[rows] >> 8) - before + columns
+                order = np.lexsort((start, doc, h, s))
+                new, lead = _first(order, s, h)
+                s, h, doc, start = s[order], h[order], doc[order], start[order]
+                again = ~new & ((doc != doc[lead]) | (start != start[lead]))
+                held = new | again
+                where = np.where(again, mix(doc.astype(np.uint64)).view(np.int64), s)
+                yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (where, h, doc, start, again)], ["s", "h", "doc", "start", "again"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None,) * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            again = batch.column(4).to_numpy(zero_copy_only=False)
+            s, h, doc, start = (batch.column(k).to_numpy() for k in range(4))
+            found = [(doc[again], start[again])]
+            s, h, doc, start = (x[~again] for x in (s, h, doc, start))
+            if len(s):
+                new = np.concatenate(([(s[0], h[0]) != last[:2]], (s[1:] != s[:-1]) | (h[1:] != h[:-1])))
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+                ld, ls = np.where(lead >= 0, doc[lead], last[2] or 0), np.where(lead >= 0, start[lead], last[3] or 0)
+                repeats = ~new & ((doc != ld) | (start != ls))
+                found.append((doc[repeats], start[repeats]))
+                last = (s[-1], h[-1], ld[-1], ls[-1])
+            doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(start + length)], ["doc", "start", "end"])
+
+    parts = near.mapInArrow(tidy(strings), "s long, h long, doc long, start long, again boolean")
+    return parts.repartition("s").sortWithinPartitions("again", "s", "h", "doc", "start").mapInArrow(tidy(later), "doc long, start long, end long")
+
+
+def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 20_000) -> DataFrame:
+    """(doc, start, end): byte runs of (doc_id, text) that earlier strings of `length` bytes cover; they may overlap."""
     found = stage.keep(_named(_sampled(docs, length), length))
     spans, reps = found.where("not more").select("doc", "start", "end"), found.where("more").select("doc", "h", "at")
-    by_doc = stage.keep(reps.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("reps")))
-    texts = docs.join(few(by_doc.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").join(by_doc.withColumnRenamed("doc", "doc_id"), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
                 own = batch.column(2)[k].values.flatten()
-                h, at = own[0].to_numpy(), own[1].to_numpy()
-                near, _, _ = contexts(data, at >> 7, length)
-                text = pa.array([x.tobytes() for x in near], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), batch.column(0)[k].as_py())), pa.array(at), text], ["h", "doc", "at", "near"])
+                for first in range(0, len(own[0]), 16384):
+                    h, at = (x.to_numpy()[first : first + 16384] for x in own)
+                    near, _, _ = contexts(data, at >> 8, length)
+                    text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near.shape[1]), len(near), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), batch.column(0)[k].as_py())), pa.array(at), text], ["h", "doc", "at", "near"])
+
+    def near(own: DataFrame) -> DataFrame:
+        by_doc = stage.keep(own.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("reps")).withColumnRenamed("doc", "doc_id"))
+        texts = docs.join(few(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
+        return texts.select("doc_id", "text", "reps").mapInArrow(tidy(cut), "h long, doc long, at long, near binary")
 
-    near = texts.select("doc_id", "text", "reps").mapInArrow(cut, "h long, doc long, at long, near binary")
     hot = stage.keep(reps.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {wide}").select("h"))
     if hot.isEmpty():
-        return spans.union(stage.keep(_compared(near, length)))
-    # a gram of very many contexts: its strings one by one, the earliest found by partial aggregates
-    near = stage.keep(near)
-    parts = near.join(hot, "h", "left_semi").select("h", "doc", F.expr("at div 128").alias("at"), (F.col("at") % 128).alias("right"), "near", F.explode(F.sequence(F.lit(0), F.lit(before))).alias("k"))
-    parts = parts.where(f"least(at, {before}) >= {before} - k and right >= {length - before} + k")
-    parts = stage.keep(parts.select("k", "doc", F.sha2(F.substring("near", F.col("k") + 1, F.lit(length)), 256).alias("s"), (F.col("at") - before + F.col("k")).alias("start"), "h"))
-    least = parts.groupBy("h", "k", "s").agg(F.min(F.struct("doc", "start")).alias("least"))
-    late = parts.join(least, ["h", "k", "s"]).where("struct(doc, start) <> least").select("doc", "start", (F.col("start") + length).alias("end"))
-    rest = stage.keep(_compared(near.join(hot, "h", "left_anti"), length))
-    return spans.union(rest).union(stage.keep(late))
+        return spans.union(stage.keep(_compared(near(reps), length)))
+    apart = stage.keep(_compared_apart(near(reps.join(few(hot), "h", "left_semi").select("doc", "h", "at")), length))
+    rest = stage.keep(_compared(near(reps.join(few(hot), "h", "left_anti").select("doc", "h", "at")), length))
+    return spans.union(rest).union(apart)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -242,7 +339,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     document. Strings are judged on the input and never cross documents. n_spans counts the
     maximal runs removed. `text` leaves out bytes of characters that a run cut. A doc_id names one
     text: rows that repeat it with the same text are given each with the same result, and are no
-    earlier documents to one another. Rows with a null doc_id stay whole. An empty table gives no rows.
+    earlier documents to one another. Rows with a null doc_id stay whole. Columns that are not
+    carried are not read, and carried ones may have any name but those of the result. An empty
+    table gives no rows.
 
     Copies of a whole text are found by digest. Of all other texts one position in about 35 is
     sampled, sorted by what stands around it and compared with its neighbours; only where contexts
@@ -283,7 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
 
     kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", *(f"{n} {kinds_of[n]}" for n in names)])
-    changed = touched.select("doc_id", "text", "spans", *names).mapInArrow(work, schema)
+    changed = touched.select("doc_id", "text", "spans", *names).mapInArrow(tidy(work), schema)
     zero = F.lit(0).cast("long")
     same = [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256")]
     gone = [F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")]
