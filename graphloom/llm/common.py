@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,17 @@ def table(sf_dir: str, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, as in tests, and everything runs on one machine, a new one is made; on a
+    cluster there is no folder that all machines could read, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -37,8 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs no more than one step."""
 
+    #: Folders written since the last `forget`, in this driver.
+    written: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Stage.written.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.path()
@@ -51,8 +63,19 @@ class Stage:
 
     def drop(self, number: int) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{number}")
+
+    @staticmethod
+    def forget(spark: SparkSession, since: int) -> None:
+        """Delete the folders that were begun after the first `since` ones, whose tables no later step reads."""
+        for root in Stage.written[since:]:
+            delete(spark, root)
+        del Stage.written[since:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, text_blocks
+from .common import Stage, mix, text_blocks, tidy
 from .html import host
 
 #: Country endings of addresses that mostly one language uses.
@@ -98,7 +98,7 @@ def fit(texts: DataFrame, smoothing: float = 0.5) -> LanguageModel:
                 at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
 
-    found = texts.select("text", "declared").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text", "declared").mapInArrow(tidy(work), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     at, n = found["at"].to_numpy(np.int64), found["n"].to_numpy(float)
     order = np.lexsort((at // BUCKETS, at % BUCKETS))
     which, bucket, n = at[order] // BUCKETS, at[order] % BUCKETS, n[order]
@@ -108,7 +108,12 @@ def fit(texts: DataFrame, smoothing: float = 0.5) -> LanguageModel:
 
 
 def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: float = 0.9, strength: float = 20.0, effective: float = 40.0) -> DataFrame:
-    """`keep`, language, posterior (of it), evidence (trigrams read) and declared of every row.
+    """`keep`, language, posterior (of it), evidence (trigrams read), likelihood and declared of every row.
+
+    `likelihood` is the mean log likelihood of the text's trigrams in that language, null where
+    the text has none: what the text alone says, beside the relative posterior. Kept columns may
+    have any name; one that is named like a result is left out, the result takes its place. An
+    empty table gives no rows.
 
     `rows` has text, declared, suffix (a language or null) and host. Per language the log
     posterior is the sum of: the host's prior; the text's mean log likelihood times its trigrams,
@@ -125,48 +130,52 @@ def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: floa
     """
     stage = Stage(rows.sparkSession, "language")
     names = model.languages
+    keep = [c for c in keep if c not in RESULTS]
     if not names:
-        return rows.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("evidence"), "declared")
+        nothing = [F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("evidence"), F.lit(None).cast("double").alias("likelihood")]
+        return rows.select(*keep, *nothing, "declared")
     place = {x: k for k, x in enumerate(names)}
     other = max(1, len(names) - 1)
 
-    def likely(batch: pa.RecordBatch, table: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-        """Trigrams and log likelihood by language of each row, whose first columns are text, declared and suffix."""
+    def likely(batch: pa.RecordBatch, table: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Trigrams, their mean log likelihood by language and all evidence's of each row, whose first columns are text, declared and suffix."""
         said = [(batch.column(k).to_pylist(), right) for k, right in ((1, trust), (2, 0.7))]
         for first, _, block in text_blocks(batch.column(0)):
             for k, text in enumerate(block):
                 at = _trigrams(text)
-                out = model.score(at, table) * min(len(at), effective) if len(at) else np.zeros(len(names))
+                mean = model.score(at, table) if len(at) else np.zeros(len(names))
+                out = mean * min(len(at), effective)
                 for tags, right in said:
                     own = place.get(tags[first + k])
                     if own is not None:
                         out += np.log((1 - right) / other)
                         out[own] += np.log(right) - np.log((1 - right) / other)
-                yield len(at), out
+                yield len(at), mean, out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            first = [int((x + model.prior).argmax()) for _, x in likely(batch, table)]
+            first = [int((x + model.prior).argmax()) for _, _, x in likely(batch, table)]
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(first, pa.int32())], ["host", "k"])
 
     rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
-    counts = rows.select("text", "declared", "suffix", "host").mapInArrow(count, "host string, k int").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select("text", "declared", "suffix", "host").mapInArrow(tidy(count), "host string, k int").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
     counts = stage.keep(counts.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     hosts = counts.groupBy("host", "parent").agg(F.collect_list("k").alias("hk"), F.collect_list("n").alias("hn"))
     parents = counts.groupBy("parent", "k").agg(F.sum("n").alias("n")).groupBy("parent").agg(F.collect_list("k").alias("pk"), F.collect_list("n").alias("pn"))
     hosts, parents = stage.keep(hosts), stage.keep(parents)
     # else joined by host and parent, where Spark splits a hot one
     hosts, parents = (F.broadcast(x) if x.agg(F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0] <= 800_000 else x for x, c in ((hosts, "hk"), (parents, "pk")))
-    carried = [c for c in keep if c not in ("declared", "text")]
+    carried = [c for c in keep if c != "text"]
+    inner = [f"_kept_{k}" for k in range(len(carried))]
     share = np.exp(model.prior)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
             lists = [batch.column(k).to_pylist() for k in (3, 4, 5, 6)]
-            language, posterior, grams = [], [], []
-            for (n, x), hk, hn, pk, pn in zip(likely(batch, table), *lists, strict=True):
+            language, posterior, grams, likelihood = [], [], [], []
+            for (n, mean, x), hk, hn, pk, pn in zip(likely(batch, table), *lists, strict=True):
                 above = strength * share
                 above[pk] += pn
                 prior = above * (strength / (sum(pn) + strength))
@@ -176,13 +185,20 @@ def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: floa
                 language.append(names[best])
                 posterior.append(float(1 / np.exp(x - x[best]).sum()))
                 grams.append(n)
-            columns = [pa.array(language, pa.string()), pa.array(posterior, pa.float64()), pa.array(grams, pa.int64()), batch.column(1), *([batch.column(0)] if "text" in keep else []), *batch.columns[7:]]
-            yield pa.RecordBatch.from_arrays(columns, ["language", "posterior", "evidence", "declared", *(["text"] if "text" in keep else []), *carried])
+                likelihood.append(float(mean[best]) if n else None)
+            columns = [pa.array(language, pa.string()), pa.array(posterior, pa.float64()), pa.array(grams, pa.int64()), pa.array(likelihood, pa.float64()), batch.column(1), *([batch.column(0)] if "text" in keep else []), *batch.columns[7:]]
+            yield pa.RecordBatch.from_arrays(columns, [*RESULTS, *(["text"] if "text" in keep else []), *inner])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(["language string, posterior double, evidence long, declared string", *(["text string"] if "text" in keep else []), *(f"`{k}` {kinds[k]}" for k in carried)])
-    met = rows.join(hosts, "host").join(parents, "parent").select("text", "declared", "suffix", "hk", "hn", "pk", "pn", *carried)
-    return met.mapInArrow(fuse, schema).select(*keep, "language", "posterior", "evidence", *([] if "declared" in keep else ["declared"]))
+    schema = ", ".join(["language string, posterior double, evidence long, likelihood double, declared string", *(["text string"] if "text" in keep else []), *(f"`{n}` {kinds[c]}" for n, c in zip(inner, carried, strict=True))])
+    bare = rows.select("text", "declared", "suffix", "host", *(F.col(f"`{c}`").alias(n) for n, c in zip(inner, carried, strict=True)))
+    met = bare.join(hosts, "host").join(parents, "parent").select("text", "declared", "suffix", "hk", "hn", "pk", "pn", *inner)
+    held = dict(zip(carried, inner, strict=True)) | {"text": "text"}
+    return met.mapInArrow(tidy(fuse), schema).select(*(F.col(held[c]).alias(c) for c in keep), *RESULTS)
+
+
+#: What `identify` adds.
+RESULTS = ["language", "posterior", "evidence", "likelihood", "declared"]
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

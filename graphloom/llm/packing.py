@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_blocks
+from .common import text_blocks, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int"
 
@@ -31,7 +31,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.whole = Tokenizer.from_file(path)
+        self.load, self.held = lambda: Tokenizer.from_file(path), None
         with open(path, encoding="utf-8") as lines:
             held = json.load(lines)
         self.added = [x["content"].encode() for x in held["added_tokens"]]
@@ -46,7 +46,8 @@ class Tokens:
     def ids(self, text: bytes) -> list[int]:
         own = text.decode("utf-8", "replace")
         if self.fast is None or any(x in text for x in self.added):
-            return self.whole.encode(own, add_special_tokens=False).ids
+            self.held = self.held or self.load()
+            return self.held.encode(own, add_special_tokens=False).ids
         return self.fast.encode_ordinary(own)
 
 
@@ -153,4 +154,4 @@ def pack(docs: DataFrame, room: int = 1024, end_id: int = 0, tokenizer: str | No
             base += -(-int(lengths.sum()) // room)
             yield out(ids_of, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), SCHEMA)
