@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,31 +12,40 @@ from graphloom.llm import langid, minhash, packing, suffix
 from graphloom.llm import toxicity as toxic
 from graphloom.llm.common import Stage, few, table
 
+#: Trigrams and probability from which on a text is held to be in another language than it declares.
+EVIDENCE, SURE = 40, 0.99
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier, trained on `labels`, calls toxic."""
+    """Drop the documents that the classifier, trained on `labels`, calls toxic; repeated rows are judged alike, null and empty texts stay."""
     raw = spark.read.parquet(table(sf_dir, "documents"))
     model = toxic.fit(raw, spark.read.parquet(table(sf_dir, "labels")))
     return toxic.toxicity(docs.select(COLUMNS), model).where("toxicity_label = 0").select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without letters, and those of which no language is likelier than all others together.
-
-    The declared language takes the place of markup, the source that of the host. Where no
-    document declares one, nothing is known of languages and nothing is dropped for it.
+    """Drop documents by what their text says of its language; `lang` is what the model is fitted on, and no evidence.
+
+    Gone are documents without letters (null and empty texts too), those that no language explains
+    better than even chance does (foreign scripts, random characters), and those of at least
+    EVIDENCE trigrams whose text and source give another language than the declared one with a
+    probability of SURE or more. Where no document declares a language, nothing is known of
+    languages, and only documents without letters go. The source takes the place of the host.
+    Repeated rows are judged alike.
     """
-    carried = [F.col(c).alias(f"own_{c}") for c in COLUMNS]
+    carried = [F.col(c).alias(f"own_{c}") for c in COLUMNS if c != "text"]
     rows = docs.select("text", langid.declared("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), *carried)
-    known = langid.identify(rows, langid.fit(rows), [f"own_{c}" for c in COLUMNS])
-    known = known.where("language is null or (evidence > 0 and posterior >= 0.5)")
-    return known.select(*(F.col(f"own_{c}").alias(c) for c in COLUMNS))
+    unsaid = rows.withColumn("said", F.col("declared")).withColumn("declared", F.lit(None).cast("string"))
+    known = langid.identify(unsaid, langid.fit(rows), ["said", "text", *(f"own_{c}" for c in COLUMNS if c != "text")])
+    lettered = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    explained = F.col("language").isNull() | (F.col("likelihood") >= -math.log(langid.BUCKETS))
+    other = F.coalesce((F.col("language") != F.col("said")) & (F.col("posterior") >= SURE) & (F.col("evidence") >= EVIDENCE), F.lit(False))
+    return known.where(lettered & explained & ~other).select(*(F.col(c if c == "text" else f"own_{c}").alias(c) for c in COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near-duplicates."""
+    """Keep the first document of each group of near-duplicates; those without words, and rows with a null doc_id, stay, and so do all rows of a doc_id that is kept."""
     gone = Stage(spark, "near").keep(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
     return docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
 
@@ -47,7 +57,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
+    """The pieces of all documents in sequences of 1,024 tokens; of empty texts and repeated rows too."""
     return packing.pack(docs)
 
 
@@ -64,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written and read again."""
+    """The last stage's rows; each stage's are written and read again, and what no later stage reads is deleted."""
     stage = Stage(spark, "pipeline")
     docs = spark.read.parquet(table(sf_dir, "documents"))
-    for _, step in STAGES:
+    for number, (_, step) in enumerate(STAGES, 1):
+        before = len(Stage.written)
         docs = stage.keep(step(spark, docs, sf_dir))
+        Stage.forget(spark, before)
+        if number > 1:
+            stage.drop(number - 1)
     return docs
