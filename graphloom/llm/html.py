@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, tidy
+from .common import Stage, arrow_map
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
 #: Elements whose content is not markup; it is skipped up to their end tag.
@@ -160,7 +160,7 @@ def templates(pages: DataFrame, least: int = 5, share: float = 0.05) -> DataFram
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], ["host", "hash", "body"])
 
-    seen = pages.select(host("url").alias("host"), "html").mapInArrow(tidy(work), "host string, hash long, body long").distinct()
+    seen = arrow_map(pages.select(host("url").alias("host"), "html"), work, "host string, hash long, body long").distinct()
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least)).join(whole, "host").where(F.col("n") >= share * F.col("pages"))
@@ -195,4 +195,4 @@ def extract(pages: DataFrame, hosts_in_memory: int = 200_000) -> DataFrame:
                 texts.append("\n".join(page.main if page.has_main else page.blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "drop").mapInArrow(tidy(work), "page_id long, url string, text string, n_chars long")
+    return arrow_map(rows.select("page_id", "url", "html", "drop"), work, "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, text_blocks, tidy
+from .common import Stage, arrow_map, mix, text_blocks
 from .html import host
 
 #: Country endings of addresses that mostly one language uses.
@@ -98,7 +98,7 @@ def fit(texts: DataFrame, smoothing: float = 0.5) -> LanguageModel:
                 at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
 
-    found = texts.select("text", "declared").mapInArrow(tidy(work), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(texts.select("text", "declared"), work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     at, n = found["at"].to_numpy(np.int64), found["n"].to_numpy(float)
     order = np.lexsort((at // BUCKETS, at % BUCKETS))
     which, bucket, n = at[order] // BUCKETS, at[order] % BUCKETS, n[order]
@@ -159,7 +159,7 @@ def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: floa
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(first, pa.int32())], ["host", "k"])
 
     rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
-    counts = rows.select("text", "declared", "suffix", "host").mapInArrow(tidy(count), "host string, k int").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
+    counts = arrow_map(rows.select("text", "declared", "suffix", "host"), count, "host string, k int").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
     counts = stage.keep(counts.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     hosts = counts.groupBy("host", "parent").agg(F.collect_list("k").alias("hk"), F.collect_list("n").alias("hn"))
     parents = counts.groupBy("parent", "k").agg(F.sum("n").alias("n")).groupBy("parent").agg(F.collect_list("k").alias("pk"), F.collect_list("n").alias("pn"))
@@ -194,7 +194,7 @@ def identify(rows: DataFrame, model: LanguageModel, keep: list[str], trust: floa
     bare = rows.select("text", "declared", "suffix", "host", *(F.col(f"`{c}`").alias(n) for n, c in zip(inner, carried, strict=True)))
     met = bare.join(hosts, "host").join(parents, "parent").select("text", "declared", "suffix", "hk", "hn", "pk", "pn", *inner)
     held = dict(zip(carried, inner, strict=True)) | {"text": "text"}
-    return met.mapInArrow(tidy(fuse), schema).select(*(F.col(held[c]).alias(c) for c in keep), *RESULTS)
+    return arrow_map(met, fuse, schema).select(*(F.col(held[c]).alias(c) for c in keep), *RESULTS)
 
 
 #: What `identify` adds.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, components, few, mix, span_hashes, text_blocks, tidy
+from .common import Stage, arrow_map, components, few, mix, span_hashes, text_blocks
 
 #: Values that a sketch retains, and of those how many smallest ones have inverted lists.
 RETAINED, LISTED = 64, 40
@@ -72,7 +72,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     low.append((s[:RETAINED] ^ np.uint64(1 << 63)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    return arrow_map(docs.select("doc_id", "text"), work, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -81,7 +81,7 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
             for first, last, block in text_blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.view(np.int64) for s in shingle_sets(block, words)], pa.list_(pa.int64()))], ["id", "s"])
 
-    return docs.mapInArrow(tidy(work), "id long, s array<long>")
+    return arrow_map(docs, work, "id long, s array<long>")
 
 
 def _overlap() -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_blocks, tidy
+from .common import arrow_map, text_blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int"
 
@@ -154,4 +154,4 @@ def pack(docs: DataFrame, room: int = 1024, end_id: int = 0, tokenizer: str | No
             base += -(-int(lengths.sum()) // room)
             yield out(ids_of, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(work), SCHEMA)
+    return arrow_map(docs.select("doc_id", "text"), work, SCHEMA)

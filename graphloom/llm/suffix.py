@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, few, mix, text_blocks, tidy
+from .common import Stage, arrow_map, few, mix, text_blocks
 
 #: Bytes of the gram that decides which positions are sampled.
 GRAM = 24
@@ -121,7 +121,7 @@ def _sampled(docs: DataFrame, length: int, often: int = 8) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["r", "h", "c", "doc", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(work), "r long, h long, c long, doc long, at long")
+    return arrow_map(docs.select("doc_id", "text"), work, "r long, h long, c long, doc long, at long")
 
 
 def _named(sampled: DataFrame, length: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _named(sampled: DataFrame, length: int) -> DataFrame:
             columns = [np.concatenate(x) for x in ((sd, rd), (ss, none), (se, none), (n, rh), (n, ra & ~128), (n > 0, none == 0))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "start", "end", "h", "at", "more"])
 
-    return sampled.repartition("r").sortWithinPartitions("r", "h", "c", "doc", "at").mapInArrow(tidy(work), "doc long, start long, end long, h long, at long, more boolean")
+    return arrow_map(sampled.repartition("r").sortWithinPartitions("r", "h", "c", "doc", "at"), work, "doc long, start long, end long, h long, at long, more boolean")
 
 
 def _window_hashes(near: np.ndarray, length: int) -> np.ndarray:
@@ -251,7 +251,7 @@ def _compared(near: DataFrame, length: int) -> DataFrame:
         if kept:
             yield compare(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
-    return near.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(tidy(work), "doc long, start long, end long")
+    return arrow_map(near.repartition("h").sortWithinPartitions("h", "doc", "at"), work, "doc long, start long, end long")
 
 
 def _compared_apart(near: DataFrame, length: int) -> DataFrame:
@@ -298,8 +298,8 @@ def _compared_apart(near: DataFrame, length: int) -> DataFrame:
             doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(start + length)], ["doc", "start", "end"])
 
-    parts = near.mapInArrow(tidy(strings), "s long, h long, doc long, start long, again boolean")
-    return parts.repartition("s").sortWithinPartitions("again", "s", "h", "doc", "start").mapInArrow(tidy(later), "doc long, start long, end long")
+    parts = arrow_map(near, strings, "s long, h long, doc long, start long, again boolean")
+    return arrow_map(parts.repartition("s").sortWithinPartitions("again", "s", "h", "doc", "start"), later, "doc long, start long, end long")
 
 
 def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 20_000) -> DataFrame:
@@ -321,7 +321,7 @@ def repeated_spans(stage: Stage, docs: DataFrame, length: int, wide: int = 20_00
     def near(own: DataFrame) -> DataFrame:
         by_doc = stage.keep(own.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("reps")).withColumnRenamed("doc", "doc_id"))
         texts = docs.join(few(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id")
-        return texts.select("doc_id", "text", "reps").mapInArrow(tidy(cut), "h long, doc long, at long, near binary")
+        return arrow_map(texts.select("doc_id", "text", "reps"), cut, "h long, doc long, at long, near binary")
 
     hot = stage.keep(reps.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {wide}").select("h"))
     if hot.isEmpty():
@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
 
     kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", *(f"{n} {kinds_of[n]}" for n in names)])
-    changed = touched.select("doc_id", "text", "spans", *names).mapInArrow(tidy(work), schema)
+    changed = arrow_map(touched.select("doc_id", "text", "spans", *names), work, schema)
     zero = F.lit(0).cast("long")
     same = [F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256")]
     gone = [F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")]

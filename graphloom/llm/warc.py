@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import arrow_map
 
 #: Between records, after the block; as a line separator it makes Spark's text writer write whole archives.
 END = "\r\n\r\n"
@@ -117,7 +117,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(tidy(work), RECORD)
+    return arrow_map(files.select("content"), work, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
