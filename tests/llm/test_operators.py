@@ -197,6 +197,53 @@ def test_samples_follow_the_lattice():
     assert all(len({i for _, i in v}) == len(v) and v == sorted(v, reverse=True) for v in values.values())
 
 
+def all_segmentations(own, word):
+    """Ids and weight of every way to cut a word into pieces, one after the other."""
+    held = {own.model.id_to_piece(i): i for i in range(own.model.get_piece_size()) if not (own.model.is_control(i) or own.model.is_unknown(i) or own.model.is_byte(i))}
+
+    def rest(at):
+        if at == len(word):
+            yield (), 0.0
+        for end in range(at + 1, len(word) + 1):
+            i = held.get(word[at:end])
+            if i is not None:
+                yield from (((i, *ids), own.weight[i] + w) for ids, w in rest(end))
+
+    return dict(rest(0))
+
+
+def test_samples_match_full_enumeration():
+    """All segmentations of two words with their probabilities, and inclusion scores that weigh two of them without bias."""
+    own = sampling.pieces(None)
+    one, two = all_segmentations(own, "▁cat"), all_segmentations(own, "▁oat")
+    whole = {a + b: x + y for a, x in one.items() for b, y in two.items()}
+    norm = math.log(sum(math.exp(x) for x in whole.values()))
+    assert 9 < len(whole) < 400
+    drawn = list(sampling.segmentations(own, ["cat oat", "", "cat oat"], np.array([5, 6, 7], np.uint64), len(whole) + 3))
+    for k in (0, 2):
+        got = {tuple(ids): lp for t, _, ids, lp, _, _ in drawn if t == k}
+        assert got.keys() == whole.keys() and all(abs(got[i] - whole[i] + norm) < 1e-9 for i in whole)
+        assert all(score == 0 for t, *_, score in drawn if t == k)
+        values = [v for t, *_, v, _ in drawn if t == k]
+        assert values == sorted(values, reverse=True)
+    assert [x for x in drawn if x[0] == 1] == [(1, 1, [], 0.0, 0.0, 0.0)]
+    n = 4000
+    for size in (1, 2, 3):
+        drawn = list(sampling.segmentations(own, ["cat oat"] * n, np.arange(n, dtype=np.uint64), size))
+        weighed = sum(math.exp(lp - score) for *_, lp, _, score in drawn) / n
+        assert abs(weighed - 1) < 0.05, size
+
+
+def test_samples_of_long_texts_spell_them(spark):
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("abcdeéß☃🙂日") for _ in range(rnd.randint(1, 12))) for _ in range(60000))
+    own = sampling.pieces(None)
+    rows = sampling.sample(spark.createDataFrame([(None, text, 1), (4, text, 2), (4, text, 3)], DOCS + ", rank int"), 2).collect()
+    assert len(rows) == 6 and all(own.model.decode(list(r["ids"])) == text and r["decoded_crc32"] == zlib.crc32(text.encode()) for r in rows)
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["n_pieces"] == len(r["ids"]) for r in rows)
+    assert len({r["ids_crc32"] for r in rows if r["doc_id"] == 4}) == 2
+
+
 def test_samples_round_trip(spark):
     rows = [(1, None), (2, ""), (3, "The cat  sat.\nÉté ☃ 日本 🙂"), (4, "a"), (5, " lead"), (6, "z" * 3000)]
     df = spark.createDataFrame(rows, DOCS)
