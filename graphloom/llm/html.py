@@ -15,17 +15,19 @@ from .common import Stage, arrow_map
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
 #: Elements whose content is not markup; it is skipped up to their end tag.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that are never part of the article, wherever they stand.
-OUTSIDE = {"nav", "aside", "form", "footer", "menu", "dialog", "button", "select", "head"}
-#: The same by class, id or role, as whole words.
+OUTSIDE = {"nav", "aside", "footer", "menu", "dialog", "button", "select", "head"}
+#: Words in a class, id or role that tell menus, notices and the like outside the article; "no-sidebar" and "has-sidebar" tell of the page.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsored|sponsor|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|"
+    r"(?:^|[\s_-])(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|adverts?|advertisement|banner|promo|sponsored|sponsor|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|"
     r"notices?|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|comments?|disqus|contentinfo|complementary|search|login|signup)(?:$|[\s_-])"
 )
+#: Whole classes, ids and roles that tell adverts and readers' comments within the article too.
+PROVED = set("ad ads advert adverts advertisement sponsored comment comments comment-list comments-list comments-area disqus disqus_thread".split())
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder svg g text tspan object".split())
 #: Blocks of running text; inside the article these stay, however often they recur.
 TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption"}
 #: An open one of these ends when another of the same group begins.
@@ -36,6 +38,9 @@ MAIN = {"article", "main"}
 class Page:
     """One pass over a page: its blocks, and the hash of every block element's subtree that has text.
 
+    Names never decide on what holds an article or main element. Within the article they do for
+    adverts and comments; other names there, such as notices, only for subtrees that also recur.
+
     `drop` has the subtree hashes that recur on the page's host. After the pass `blocks` is the
     article's text (all of the body's where there is no article or main element), `subtrees` the
     set of hashes, `body` a hash of the text outside elements that are never part of the article.
@@ -44,9 +49,10 @@ class Page:
     def __init__(self, html: str, drop: frozenset[int] = frozenset()):
         self.drop, self.subtrees, self.blocks, self.main = drop, set(), [], []
         self.text: list[str] = []
-        # of each open element: tag, blocks and main blocks at its start, what it holds, whether it is out, whether it is the article's
-        self.open: list[tuple[str, int, int, list[str], bool, bool]] = [("", 0, 0, [], False, False)]
-        self.has_main, at, raw = False, 0, ""
+        # of each open element: tag, blocks and main blocks at its start, what it holds, whether it is out, whether it is the
+        # article's, what its name says of it, and how many articles had begun at its start
+        self.open: list[tuple[str, int, int, list[str], bool, bool, str, int]] = [("", 0, 0, [], False, False, "", 0)]
+        self.begun, at, raw = 0, 0, ""
         for m in TAG.finditer(html):
             tag = (m[2] or "").lower()
             if raw:
@@ -62,7 +68,7 @@ class Page:
                 self.end(tag)
             elif tag in RAW:
                 self.text.append(" ")
-                raw = "" if m[3].endswith("/") and tag in ("svg", "math") else tag
+                raw = tag
             else:
                 self.start(tag, m[3])
         if not raw:
@@ -72,6 +78,7 @@ class Page:
         self.flush()
         while len(self.open) > 1:
             self.close()
+        self.has_main = self.begun > 0
         self.body = xxhash.xxh64_intdigest("\n".join(self.main if self.has_main else self.blocks))
 
     def flush(self) -> None:
@@ -81,7 +88,7 @@ class Page:
         block = " ".join(unescape("".join(self.text)).split())
         self.text = []
         if block:
-            *_, parts, out, main = self.open[-1]
+            parts, out, main = self.open[-1][3:6]
             parts.append(block)
             if not out:
                 self.blocks.append(block)
@@ -106,13 +113,21 @@ class Page:
                     break
         elif self.open[-1][0] == "p":
             self.close()
-        *_, out, main = self.open[-1]
+        out, main = self.open[-1][4:6]
         out = out or tag in OUTSIDE or (tag == "header" and not main)
+        name = "form" if tag == "form" else ""
         if not out and attributes and tag not in ("html", "body"):
-            out = any(NAMED.search((a or b or c).lower()) for _, a, b, c in ATTRIBUTE.findall(attributes))
-        main = main or (tag in MAIN and not out)
-        self.has_main |= main
-        self.open.append((tag, len(self.blocks), len(self.main), [], out, main))
+            told = [(a or b or c).lower() for _, a, b, c in ATTRIBUTE.findall(attributes)]
+            if main and any(PROVED & set(x.split()) for x in told):
+                name = "proved"
+            elif (tag not in MAIN or main) and any(NAMED.search(x) for x in told):
+                name = "named"
+        begun = self.begun
+        if tag in MAIN and not out and name != "proved":
+            main = True
+            self.begun += 1
+            begun += 1
+        self.open.append((tag, len(self.blocks), len(self.main), [], out, main, name, begun))
 
     def end(self, tag: str) -> None:
         if tag in INLINE:
@@ -125,15 +140,17 @@ class Page:
                 return
 
     def close(self) -> None:
-        tag, blocks, mains, parts, out, main = self.open.pop()
+        tag, blocks, mains, parts, out, main, name, begun = self.open.pop()
         if not parts:
             return
         value = xxhash.xxh64_intdigest("\x1f".join((tag, *parts))) >> 1
         self.open[-1][3].append(f"\x1e{value}")
-        if tag in ("html", "body") or tag in MAIN or (main and tag in TEXT):
-            return
-        self.subtrees.add(value)
-        if value in self.drop and not out:
+        held = self.begun > begun  # an article within: then this is no menu, form or advert, but around it
+        gone = not held and (name in ("form", "proved") or (name == "named" and not main))
+        if tag not in ("html", "body") and tag not in MAIN and (name or not main or tag not in TEXT):
+            self.subtrees.add(value)
+            gone |= value in self.drop
+        if gone and not out:
             del self.blocks[blocks:], self.main[mains:]
 
 
@@ -142,11 +159,12 @@ def host(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:
-    """(host, drop): of each host the hashes of subtrees on at least `least` pages and `share` of its pages.
+def templates(pages: DataFrame, least: int = 5, share: float = 0.05, enough: int = 1000) -> DataFrame:
+    """(host, drop): of each host the hashes of subtrees that recur on many of its pages.
 
-    Pages with the same text are one here, so copies of an article do not make it a template. As
-    a host's subtrees must each be on `share` of its pages, its list does not grow with it.
+    Those are on at least `least` pages and `share` of the host's; but on a large host `enough`
+    pages suffice, if they are one in a thousand. So a host's list does not grow with it. Pages
+    with the same text are one here, so copies of an article do not make it a template.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +179,11 @@ def templates(pages: DataFrame, least: int = 5, share: float = 0.05) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], ["host", "hash", "body"])
 
     seen = arrow_map(pages.select(host("url").alias("host"), "html"), work, "host string, hash long, body long").distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least))
+    counts = Stage(pages.sparkSession, "html").keep(counts)
     whole = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least)).join(whole, "host").where(F.col("n") >= share * F.col("pages"))
+    needed = F.greatest(F.least(share * F.col("pages"), F.lit(enough)), 0.001 * F.col("pages"))
+    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least)).join(whole, "host").where(F.col("n") >= needed)
     return often.groupBy("host").agg(F.collect_list("hash").alias("drop"))
 
 
@@ -171,8 +191,9 @@ def extract(pages: DataFrame, hosts_in_memory: int = 200_000) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, joined by newlines.
 
     Left out are scripts, styles, menus, forms, headers and footers outside the article, asides,
-    elements named as adverts, notices, comments and the like, and subtrees that recur on the
-    host. White space inside a block is one space; character references are decoded; broken
+    elements named as adverts, notices, comments and the like (see `Page`), and subtrees that recur
+    on the host; running text within an article stays, however often it recurs. Columns other
+    than the three are not read. White space inside a block is one space; character references are decoded; broken
     markup is read as far as it goes. Null and empty html give an empty text, repeated rows are
     extracted each, null urls count as one host; an empty table gives no rows. The lists of
     template hashes are sent to all executors where there are at most `hosts_in_memory` hosts
