@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, embedding_dedup, html, langid, minhash, packing, sampling, suffix, toxicity, warc
-from .common import shared_dir, table
+from .common import Stage, shared_dir, table
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +55,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.new_path(shared_dir(spark))
     warc.write(spark.read.parquet(table(sf_dir, "pages")), path)
-    captures = warc.assemble(warc.read(spark, path, blocks=False))
-    targets = captures.where("response.type = 'response'").select(F.col("response.record_id").alias("refers"), F.col("metadata.fields")["page-id"].cast("long").alias("refers_to"))
-    rows = captures.select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
-        F.col("metadata.fields")["payload-bytes"].cast("long").alias("payload_bytes"),
-        F.substring_index("response.payload_digest", ":", -1).alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("refers"),
-    )
-    own = rows.where("record_type = 'response'").select("*", F.lit(None).cast("long").alias("refers_to"))
-    again = rows.where("record_type = 'revisit'").join(targets, "refers", "left").select(*own.columns)
-    return own.unionByName(again).drop("refers")
+    captures = warc.assemble(warc.read(spark, path, blocks=False)).select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), "response.*",
+    )
+    captures = Stage(spark, "captures").keep(captures.select("page_id", "record_id", "type", "refers_to", "payload_digest", "payload_bytes", "payload_sha256"))
+    own = captures.where("type = 'response'").select("page_id", "payload_bytes", F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    held = captures.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("size"), F.col("payload_sha256").alias("sha"))
+    again = captures.where("type = 'revisit'").join(held, "refers_to", "left")
+    same = F.coalesce(F.lower(F.substring_index("payload_digest", ":", -1)) == F.col("sha"), F.lit(False))
+    digest = F.when(same, F.col("sha")).otherwise(F.raise_error(F.concat(F.lit("no such payload as revisited by "), F.col("record_id"))).cast("string"))
+    again = again.select("page_id", F.col("size").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    return own.unionByName(again)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
