@@ -1,6 +1,7 @@
 """The ten operators against brute force, and their edge cases."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import math
@@ -391,13 +392,64 @@ def test_html_main_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html_, expected",
+    [
+        ('<div class="layout no-sidebar"><article><p>kept</p></article></div>', "kept"),
+        ('<div class="sidebar-left page"><main id="search-results"><p>kept</p></main></div>', "kept"),
+        ('<article class="post has-comments"><p>kept</p><div class="comments"><p>nice</p></div></article>', "kept"),
+        ('<main><p>a</p><article class="comment"><p>me too</p></article><p>b</p></main>', "a\nb"),
+        ('<article><p>see <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p><div class="alert">mind the gap</div></article>', "see x+1 here\nmind the gap"),
+        ('<form action="/"><div class="menu">m</div><article><p>kept</p></article><input></form>', "kept"),
+        ('<article><p>a</p><form><p>sign</p></form><div class="ad">buy</div><aside>s</aside></article>', "a"),
+        ('<div class="has-sidebar"><p>kept</p></div><div id="sidebar"><p>gone</p></div><div class="cookie-notice">gone</div>', "kept"),
+        ("<body>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<article>" + "<p>long words </p>" * 100_000 + "</article>", "\n".join(["long words"] * 100_000)),
+    ],
+)
+def test_html_keeps_what_is_the_article(html_, expected):
+    page = html.Page(html_)
+    assert "\n".join(page.main if page.has_main else page.blocks) == expected
+
+
+def brute_templates(rows):
+    """Pages by host and subtree, counted one by one."""
+    pages = collections.defaultdict(dict)
+    for _, url, text in rows:
+        page = html.Page(text or "")
+        m = re.match(r"[A-Za-z][\w+.-]*://([^/?#:]*)", url or "")
+        pages[m[1].lower() if m else ""][page.body] = page.subtrees
+    out = {}
+    for name, bodies in pages.items():
+        counts = collections.Counter(x for own in bodies.values() for x in own)
+        drop = {x for x, n in counts.items() if n >= 5 and n >= 0.05 * len(bodies)}
+        if drop:
+            out[name] = drop
+    return out
+
+
 def test_html_templates_are_counted_per_host(spark):
     page = "<body><div><p>Our site says hello</p></div><div><p>Story {0}</p></div></body>"
     rows = [(i, f"http://a/{i}", page.format(i)) for i in range(8)] + [(100 + i, f"http://b{i}/", page.format(i)) for i in range(8)]
     rows += [(200 + i, f"http://c/{i}", page.format("same")) for i in range(8)]
-    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    note = '<article><p>Story {0}</p><div class="notice">Read our terms</div><p>A line that many quote</p></article>'
+    rows += [(300 + i, f"http://d/{i}", note.format(i)) for i in range(8)] + [(400, "http://e/", note.format(1))]
+    rows += rows[:8]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("other")).withColumn("drop", F.lit(1))
+    lists = {r["host"]: set(r["drop"]) for r in html.templates(df).collect()}
+    assert lists == brute_templates(rows) and set(lists) == {"a", "d"}
+    found = html.extract(df).collect()
+    got = {r["page_id"]: r["text"] for r in found}
+    assert len(found) == len(rows)
     assert got[3] == "Story 3" and got[103] == "Our site says hello\nStory 3"
     assert got[203] == "Our site says hello\nStory same"
+    # a notice within articles goes where the host repeats it, a line that they share stays
+    assert got[303] == "Story 3\nA line that many quote" and got[400] == "Story 1\nRead our terms\nA line that many quote"
+
+
+def test_html_templates_of_the_pages_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert {r["host"]: set(r["drop"]) for r in html.templates(pages).collect()} == brute_templates([(r["page_id"], r["url"], r["html"]) for r in pages.collect()])
 
 
 def test_packing_covers_every_token_once(spark):
@@ -448,22 +500,47 @@ def test_pieces_are_cut_only_where_none_fits(kind):
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "same " * 40 + "</p>"
     rows = [(3, "http://a/x y", big), (1, "http://b/", big), (2, None, "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", "WARC/1.1\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\né" * 9)]
+    rows += [(7, "u", "".join(random.Random(3).choices("abcdefghij<>é \0\n\r", k=300_000))), (8, "u", "z" * 17_000_000), (9, "u", "end")]
     path = str(tmp_path / "w")
-    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path, rows_per_file=4)
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string").withColumn("digest", F.lit("other"))
+    warc.write(df.coalesce(1), path, file_bytes=1000)
+    archives = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert len(archives) > 3 and max(len(list(warc.unpack(a))) for a in archives) <= 12
+    assert sum(len([m for m in warc.unpack(a) if m]) for a in archives) == 3 * (len(rows) + 1)  # a member for each record
+    assert all(gzip.decompress(a) == b"".join(warc.unpack(a)) for a in archives)
     records = warc.read(spark, path)
-    assert records.count() == 3 * len(rows)
     got = {int(r["metadata"]["fields"]["page-id"]): r for r in warc.assemble(records).collect()}
-    assert {k: r["response"]["type"] for k, r in got.items()} == {1: "response", 2: "response", 3: "revisit", 4: "response", 5: "response", 6: "response"}
+    assert {k: r["response"]["type"] for k, r in got.items()} == {k: "revisit" if k == 3 else "response" for k in range(1, 10)}
     for i, _, text in rows:
         body = (text or "").encode()
         assert got[i]["response"]["payload_digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
-        assert int(got[i]["metadata"]["fields"]["payload-bytes"]) == len(body)
         assert got[i]["request"] is not None
         if got[i]["response"]["type"] == "response":
             assert bytes(got[i]["response"]["block"]).split(b"\r\n\r\n", 1)[1] == body
+            assert (got[i]["response"]["payload_bytes"], got[i]["response"]["payload_sha256"]) == (len(body), hashlib.sha256(body).hexdigest())
     assert got[3]["response"]["refers_to"] == next(r["record_id"] for r in records.where("type = 'response'").collect() if r["uri"] == "http://b/")
     with pytest.raises(ValueError):
         list(warc.parse(b"nonsense\r\n\r\n"))
+    warc.write(df.limit(0), str(tmp_path / "none"))
+    assert warc.assemble(warc.read(spark, str(tmp_path / "none"))).count() == 0
+
+
+@pytest.mark.parametrize("damage", ["payload", "cut", "member"])
+def test_warc_damage_is_found(spark, tmp_path, damage):
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame([(1, "http://a/", "<p>a payload</p>" * 20)], "page_id long, url string, html string"), path)
+    [part] = (p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size)
+    members = list(warc.unpack(part.read_bytes()))
+    if damage == "payload":
+        data = b"".join(gzip.compress(m.replace(b"a payload", b"a poyload", 1)) for m in members)
+    elif damage == "cut":
+        data = b"".join(members)[:-600]
+    else:
+        data = part.read_bytes()[:-40]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / f"x.warc{'' if damage == 'cut' else '.gz'}").write_bytes(data)
+    with pytest.raises(Exception, match="not what its digest says|breaks off|no WARC record"):
+        warc.read(spark, str(tmp_path / "x"), blocks=False).collect()
 
 
 def test_language_evidence_is_fused(spark):
