@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,6 @@ from ..functions import text as X
 from ..schema import VECTOR_LABELS
 
 DIM = 1024
-QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 _WORD = re.compile(r"[A-Za-z]+|\d+|[^\W\d_]+")
 
 
@@ -35,24 +35,28 @@ def hashed(text: str, dim: int = DIM) -> list[float]:
 
 
 class OnnxEncoder:
-    """Masked mean of an ONNX model's token vectors, scaled to length 1. Needs onnxruntime, tokenizers and local files."""
+    """Masked mean of an ONNX model's token vectors, scaled to length 1. Needs onnxruntime, tokenizers and local files.
 
-    def __init__(self, model: str, tokenizer: str, most: int = 512):
-        self.model, self.tokenizer, self.most, self._loaded = model, tokenizer, most, None
+    Models take so many tokens at most; what lies behind the first `most` of a text is not encoded.
+    """
+
+    #: Sessions and tokenizers of this process by their files, so that a worker loads them once for all its tasks.
+    loaded: ClassVar[dict] = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_loaded": None}
+    def __init__(self, model: str, tokenizer: str, most: int = 8192):
+        self.model, self.tokenizer, self.most = model, tokenizer, most
 
     def encode(self, texts: list[str]) -> list[list[float]]:
-        if self._loaded is None:
+        key = self.model, self.tokenizer, self.most
+        if key not in OnnxEncoder.loaded:
             import onnxruntime
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(self.tokenizer)
             own.enable_padding()
             own.enable_truncation(self.most)
-            self._loaded = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"]), own
-        session, own = self._loaded
+            OnnxEncoder.loaded[key] = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"]), own
+        session, own = OnnxEncoder.loaded[key]
         rows = own.encode_batch([t or "" for t in texts])
         ids, mask = (np.array([getattr(r, a) for r in rows], np.int64) for a in ("ids", "attention_mask"))
         feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}

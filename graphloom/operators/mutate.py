@@ -20,10 +20,13 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add edges whose ends both exist; an edge of equal ends, type and line is there once."""
+    """Add edges whose ends both exist; an edge of equal ends, type and line is there once. Old edges are distinct already and only met by the new ones."""
     ids = nodes.select("uid").distinct()
     sound = new.join(ids.withColumnRenamed("uid", "src_uid"), "src_uid", "left_semi").join(ids.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_semi")
-    return edges.unionByName(sound.select(*edges.columns)).dropDuplicates(["src_uid", "dst_uid", "type", "line"])
+    keys = ["src_uid", "dst_uid", "type", "line"]
+    fresh = sound.select(*edges.columns).dropDuplicates(keys).alias("n")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return edges.unionByName(fresh.join(edges.select(*keys).alias("o"), same, "left_anti").select(*edges.columns))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +63,10 @@ def in_folders(folders: tuple[str, ...]) -> Column:
     return out
 
 
+def set_fqn(nodes: DataFrame, uid: str, fqn: str) -> DataFrame:
+    return nodes.withColumn("fqn", F.when(F.col("uid") == uid, F.lit(fqn)).otherwise(F.col("fqn")))
+
+
 def tag_file(nodes: DataFrame, file: str, repository: str) -> DataFrame:
     return nodes.withColumn("repository", F.when(F.col("file") == file, F.lit(repository)).otherwise(F.col("repository")))
 
@@ -71,9 +78,12 @@ def tag_unowned(nodes: DataFrame, repository: str, folder: str | None = None) ->
 
 
 def strip_prefix(nodes: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Paths below `prefix` become relative, uids and edges with them."""
+    """Paths that begin with `prefix` become relative, uids and edges with them."""
     cut = lambda x: F.when(x.startswith(prefix), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(x)
-    inner = lambda x: F.replace(x, F.lit(f":{prefix}"), F.lit(":"))
-    moved = nodes.withColumn("uid", F.when(F.coalesce("file", "path").startswith(prefix), inner(F.col("uid"))).otherwise(F.col("uid")))
+    # a uid is a label, a colon and the path: the prefix goes there only, not where a name holds it again
+    own = lambda x: F.expr(f"instr({x}, ':')")
+    path = lambda x: F.substring(F.col(x), own(x) + 1, F.length(x))
+    inner = lambda x: F.when((own(x) > 0) & path(x).startswith(prefix), F.concat(F.substring(F.col(x), F.lit(1), own(x)), cut(path(x)))).otherwise(F.col(x))
+    moved = nodes.withColumn("uid", inner("uid"))
     moved = moved.withColumn("file", cut(F.col("file"))).withColumn("path", cut(F.col("path")))
-    return moved, edges.withColumn("src_uid", inner(F.col("src_uid"))).withColumn("dst_uid", inner(F.col("dst_uid")))
+    return moved, edges.withColumn("src_uid", inner("src_uid")).withColumn("dst_uid", inner("dst_uid"))

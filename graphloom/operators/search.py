@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +57,16 @@ def keyword_search_many(nodes: DataFrame, words: DataFrame, k: int = 10) -> Data
     Names are distinct before words meet them, and each word keeps `k` names' nodes. The words are
     a stated set of queries, broadcast behind a check of their number.
     """
-    names = nodes.where(F.col("label").isin(*graph.CODE)).select("name", "uid", "label", "file", "start_line", "fqn")
-    asked = traverse.sized(words.select("query_id", "pos", "word"))
-    met = names.join(asked, F.lower("name").contains(F.lower("word")))
-    met = met.withColumn("tier", F.when(F.col("name") == F.col("word"), 1.0).otherwise(0.9))
+    code = nodes.where(F.col("label").isin(*graph.CODE)).select("name", "uid", "label", "file", "start_line", "fqn")
+    asked = traverse.cut(words.select("query_id", "pos", "word"))
+    distinct = asked.select("word").distinct()
+    met = code.select("name").distinct().join(traverse.sized(distinct), F.lower("name").contains(F.lower("word")))
+    # of a word's names those that its best `k` nodes can bear: as each has a node, `k` names are enough
+    tier = F.when(F.col("name") == F.col("word"), 1.0).otherwise(0.9)
+    met = met.withColumn("tier", tier).withColumn("_long", F.when(F.col("tier") < 1, F.length("name")).otherwise(0))
+    some = Window.partitionBy("word").orderBy(F.desc("tier"), "_long")
+    met = met.withColumn("_n", F.rank().over(some)).where(F.col("_n") <= k).drop("_n", "_long")
+    met = code.join(met, "name").join(asked, "word")
     w = Window.partitionBy("query_id", "pos").orderBy(F.desc("tier"), F.when(F.col("tier") < 1, F.length("name")).otherwise(0), "uid")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -77,11 +86,72 @@ def vector_search(nodes: DataFrame, vector: list[float], k: int = 10, labels: tu
 
 
 def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id") -> DataFrame:
-    """(query_id, rank, id, score) for a stated set of queries (query_id, vector) against all rows; each keeps its best `k`."""
-    score = cosine(F.col("embedding"), F.col("vector"))
-    met = rows.join(traverse.sized(queries, 10_000), F.lit(True)).select("query_id", id_col, score.alias("score")).where("score is not null")
+    """(query_id, rank, id, score) for a stated set of queries (query_id, vector) against all rows; each keeps its best `k`.
+
+    Blocks of at most QUERIES queries are sent to all executors, where each Arrow batch of rows is
+    one matrix product with them; a task keeps its best `k` of each query, ties included, and a
+    window the best of all. More blocks are further scans, never a product of two tables.
+    """
+    asked = queries.where("vector is not null")
+    blocks = max(1, -(-asked.count() // (QUERIES * 3 // 4)))
+    found = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").toPandas() if blocks > 1 else asked.select("query_id", "vector").toPandas()
+        for _, part in own.groupby(own["vector"].map(len)):
+            near = _near(rows, part["query_id"].tolist(), np.array(part["vector"].tolist(), float), k, id_col, queries.schema["query_id"].dataType.simpleString())
+            found = near if found is None else found.unionByName(near)
+    if found is None:
+        kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}[id_col]
+        return rows.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, `{id_col}` {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+
+
+def _near(rows: DataFrame, names: list, vectors: np.ndarray, k: int, id_col: str, kind: str) -> DataFrame:
+    """(query_id, id, score) of the best `k` of each task for each query; rows of another length, or without one, have no score."""
+    size = np.linalg.norm(vectors, axis=1)
+    names = [n for n, s in zip(names, size, strict=True) if s > 0]
+    units = vectors[size > 0] / size[size > 0, None]
+
+    def best(held: pd.DataFrame) -> pd.DataFrame:
+        return held.sort_values(["q", "score", id_col], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [], 0
+        for batch in batches:
+            own = batch.to_pandas()
+            own = own[own["embedding"].map(lambda v: v is not None and len(v) == units.shape[1])]
+            if not len(own):
+                continue
+            matrix = np.array(own["embedding"].tolist(), float)
+            length = np.linalg.norm(matrix, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                matrix = matrix / length[:, None]
+            sound = np.isfinite(matrix).all(axis=1)
+            matrix, ids = matrix[sound], own[id_col].to_numpy()[sound]
+            for at in range(0, len(units), 512):
+                score = units[at : at + 512] @ matrix.T
+                if score.shape[1] > k:
+                    cut = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 1e-12
+                    q, row = np.nonzero(score >= cut[:, None])
+                else:
+                    q, row = (x.ravel() for x in np.indices(score.shape))
+                # again, as one sum for each pair, so that equal vectors have equal scores
+                held.append(pd.DataFrame({"q": q + at, id_col: ids[row], "score": (units[q + at] * matrix[row]).sum(axis=1)}))
+                fresh += len(q)
+            if fresh > 1_000_000:
+                held, fresh = [best(pd.concat(held))], 0
+        if held:
+            out = best(pd.concat(held))
+            columns = [pa.array([names[q] for q in out["q"]]), pa.array(out[id_col]), pa.array(out["score"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", id_col, "score"])
+
+    own_kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}[id_col]
+    return rows.select(id_col, "embedding").mapInArrow(work, f"query_id {kind}, `{id_col}` {own_kind}, score double")
+
+
+#: Queries that are sent to all executors at once.
+QUERIES = 4096
 
 
 def semantic_search(nodes: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 10, labels: tuple[str, ...] = VECTOR_LABELS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ def _shared(spark: SparkSession) -> str:
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -45,16 +48,21 @@ def distances(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "
     """(seed, uid, dist) with the least number of edges, up to `depth`, from each seed; the seeds themselves at 0.
 
     `seeds` has uid, or seed and uid. All seeds walk at once. A frontier is checked for its size
-    before it is broadcast, so that the edges are scanned, not shuffled, while it is small; each
-    step's result is cut.
+    before it is broadcast, so that the edges are scanned, not shuffled, while it is small; the
+    edges are written once, and each step's result.
     """
     first = seeds if "seed" in seeds.columns else seeds.select(F.col("uid").alias("seed"), "uid")
     seen = cut(first.select("seed", "uid", F.lit(0).alias("dist")).distinct())
-    frontier, steps = seen, directed(edges, direction)
+    if depth < 1:
+        return seen
+    frontier, steps = seen, cut(directed(edges, direction).distinct())
+    rows = frontier.count()
     for d in range(1, depth + 1):
-        reached = steps.join(sized(frontier.select("seed", F.col("uid").alias("a"))), "a").select("seed", F.col("b").alias("uid")).distinct()
+        ends = frontier.select("seed", F.col("uid").alias("a"))
+        reached = steps.join(F.broadcast(ends) if rows <= SMALL else ends, "a").select("seed", F.col("b").alias("uid")).distinct()
         frontier = cut(reached.join(seen, ["seed", "uid"], "left_anti").select("seed", "uid", F.lit(d).alias("dist")))
-        if frontier.isEmpty():
+        rows = frontier.count()  # of a table just written: read from its footers
+        if not rows:
             break
         seen = seen.unionByName(frontier)
     return seen

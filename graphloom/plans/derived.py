@@ -36,7 +36,7 @@ def nodes_of(spark: SparkSession, d: str) -> DataFrame:
     supplier = table(spark, d, "supplier").select(key("Class", "s_suppkey").alias("uid"), F.lit("Class").alias("label"), F.col("s_name").alias("name"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25).alias("file"), F.col("s_suppkey").alias("start_line"))
     nation = table(spark, d, "nation").select(key("Module", "n_nationkey").alias("uid"), F.lit("Module").alias("label"), F.col("n_name").alias("name"), F.concat(F.lit("src/"), "n_name", F.lit(".py")).alias("path"))
     docs = table(spark, d, "documents")
-    sections = docs.select(key("Document", "doc_id").alias("uid"), F.lit("Document").alias("label"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("file"), F.col("doc_id").alias("start_line"), F.left("text", F.lit(2000)).alias("content"), F.concat(F.lit("Section "), F.col("doc_id").cast("string")).alias("title"))
+    sections = docs.select(key("Document", "doc_id").alias("uid"), F.lit("Document").alias("label"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("file"), F.col("doc_id").alias("start_line"), F.col("text").alias("content"), F.concat(F.lit("Section "), F.col("doc_id").cast("string")).alias("title"))
     roots = docs.select("source").distinct().select(key("Document", "source").alias("uid"), F.lit("Document").alias("label"), F.col("source").alias("name"), F.col("source").alias("file"), F.col("source").alias("title"))
     out = as_nodes(part)
     for x in (supplier, nation, sections, roots):
@@ -68,7 +68,7 @@ nodes AS (
          'repo' || (p_size % 5) AS repository, 'a.b.' || replace(p_name, ' ', '_') AS fqn, NULL AS content, NULL AS title FROM part
   UNION ALL SELECT 'Class:' || s_suppkey, 'Class', s_name, 'Brand#' || (s_suppkey % 25), NULL, s_suppkey, NULL, NULL, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT 'Module:' || n_nationkey, 'Module', n_name, NULL, 'src/' || n_name || '.py', NULL, NULL, NULL, NULL, NULL, NULL FROM nation
-  UNION ALL SELECT 'Document:' || doc_id, 'Document', source || '-' || doc_id, source, NULL, doc_id, NULL, NULL, NULL, left(text, 2000), 'Section ' || doc_id FROM documents
+  UNION ALL SELECT 'Document:' || doc_id, 'Document', source || '-' || doc_id, source, NULL, doc_id, NULL, NULL, NULL, text, 'Section ' || doc_id FROM documents
   UNION ALL SELECT DISTINCT 'Document:' || source, 'Document', source, source, NULL, NULL::BIGINT, NULL, NULL, NULL, NULL, source FROM documents
 ), edges AS (
   SELECT 'Function:' || p_partkey AS src_uid, 'Function:' || ((p_partkey * 3 + 1) % (SELECT count(*) FROM part)) AS dst_uid, 'CALLS' AS type, 1 AS line FROM part WHERE p_partkey <> (p_partkey * 3 + 1) % (SELECT count(*) FROM part)
@@ -264,11 +264,11 @@ def _(spark, d):
 # --- resolution -----------------------------------------------------------------------------
 
 
-@query("resolve_inherits", sql="SELECT DISTINCT 'Class:' || a.p_partkey AS src_uid, 'Class:' || b.p_partkey AS dst_uid FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) a JOIN (SELECT p_partkey, string_split(p_name, ' ')[1] AS name FROM part WHERE p_partkey % 50 = 0) b ON a.w = b.name WHERE a.p_partkey <> b.p_partkey")
+@query("resolve_inherits", sql="SELECT DISTINCT 'Class:' || a.p_partkey AS src_uid, 'Class:' || b.p_partkey AS dst_uid FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) || p_partkey % 997 AS w FROM part) a JOIN (SELECT p_partkey, string_split(p_name, ' ')[1] || p_partkey * 7 % 997 AS name FROM part) b ON a.w = b.name WHERE a.p_partkey <> b.p_partkey")
 def _(spark, d):
     part = table(spark, d, "part")
-    listing = part.select(F.concat(F.lit("Class:"), "p_partkey").alias("uid"), F.lit("Class").alias("label"), F.lit(None).cast("string").alias("name"), F.split("p_name", " ").alias("base_classes"))
-    named = part.where("p_partkey % 50 = 0").select(F.concat(F.lit("Class:"), "p_partkey").alias("uid"), F.lit("Class").alias("label"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), F.lit(None).cast("array<string>").alias("base_classes"))
+    listing = part.select(F.concat(F.lit("Class:"), "p_partkey").alias("uid"), F.lit("Class").alias("label"), F.lit(None).cast("string").alias("name"), F.transform(F.split("p_name", " "), lambda w: F.concat(w, (F.col("p_partkey") % 997).cast("string"))).alias("base_classes"))
+    named = part.select(F.concat(F.lit("Class:"), "p_partkey").alias("uid"), F.lit("Class").alias("label"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_partkey") * 7 % 997).cast("string")).alias("name"), F.lit(None).cast("array<string>").alias("base_classes"))
     return resolve.inherits(listing.unionByName(named)).select("src_uid", "dst_uid")
 
 
@@ -344,11 +344,11 @@ def _(spark, d):
 
 
 @query("keyword_many", graph_sql="""
-, words AS (SELECT n_nationkey AS query_id, p AS pos, string_split('red,ring,NATION_1,Supplier#00000000,widget', ',')[p] AS word FROM nation, generate_series(1, 5) g(p) WHERE n_nationkey < 3),
+, words AS (SELECT n_nationkey AS query_id, p AS pos, string_split('red,ring,NATION_1,Supplier#00000000,widget', ',')[p] AS word FROM nation, generate_series(1, 5) g(p)),
 hits AS (SELECT w.query_id, w.pos, n.uid, n.name, CASE WHEN n.name = w.word THEN 1.0 ELSE 0.9 END::DOUBLE AS tier FROM words w JOIN nodes n ON n.label IN ('Function', 'Class', 'Module') AND contains(lower(n.name), lower(w.word)))
 SELECT query_id, pos, uid, name, tier, row_number() OVER (PARTITION BY query_id, pos ORDER BY tier DESC, CASE WHEN tier < 1 THEN length(name) ELSE 0 END, uid) AS rank FROM hits QUALIFY rank <= 5""")
 def _(spark, d):
-    words = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("query_id"), F.posexplode(F.split(F.lit("red,ring,NATION_1,Supplier#00000000,widget"), ",")).alias("p", "word")).select("query_id", (F.col("p") + 1).alias("pos"), "word")
+    words = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.posexplode(F.split(F.lit("red,ring,NATION_1,Supplier#00000000,widget"), ",")).alias("p", "word")).select("query_id", (F.col("p") + 1).alias("pos"), "word")
     return search.keyword_search_many(nodes_of(spark, d), words, 5).select("query_id", "pos", "uid", "name", "tier", "rank")
 
 
@@ -367,19 +367,19 @@ def _(spark, d):
 
 
 @query("vector_topk_many", sql="""SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q, embeddings e WHERE q.vec_id < 10 QUALIFY rank <= 5""")
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""")
 def _(spark, d):
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.vector_search_many(rows.select("vec_id", "embedding"), asked, 5).withColumn("score", F.round("score", 6))
 
 
-@query("fuse_hits", sql="""WITH k AS (SELECT p_name AS name, p_brand AS file, p_partkey AS start_line, 0.9 AS score, 0 AS late, p_partkey AS uid FROM part WHERE p_partkey < 40), s AS (SELECT p_name, p_brand, p_partkey, 1.0 - p_partkey / 100.0, 1, p_partkey FROM part WHERE p_partkey BETWEEN 30 AND 90)
+@query("fuse_hits", sql="""WITH k AS (SELECT p_name AS name, p_brand AS file, p_partkey + p_partkey % 2 * 1000000 AS start_line, 0.9 AS score, 0 AS late, p_partkey AS uid FROM part), s AS (SELECT p_name, p_brand, p_partkey, 1.0 - (p_partkey % 100) / 100.0, 1, p_partkey FROM part)
 , u AS (SELECT *, row_number() OVER (PARTITION BY name, file, start_line ORDER BY late, score DESC) AS r FROM (SELECT * FROM k UNION ALL SELECT * FROM s))
 SELECT name, file, start_line, round(score::DOUBLE, 6) AS score, CASE late WHEN 0 THEN 'keyword' ELSE 'semantic' END AS match_source FROM u WHERE r = 1 ORDER BY u.score DESC, late, uid LIMIT 60""")
 def _(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("start_line"))
-    fused = search.fuse(part.where("uid < 40").withColumn("score", F.lit(0.9)), part.where("uid between 30 and 90").withColumn("score", 1 - F.col("uid") / 100.0), 60)
+    fused = search.fuse(part.withColumn("score", F.lit(0.9)).withColumn("start_line", F.expr("start_line + start_line % 2 * 1000000")), part.withColumn("score", 1 - F.col("uid") % 100 / 100.0), 60)
     return fused.select("name", "file", "start_line", F.round("score", 6).alias("score"), "match_source")
 
 
@@ -394,32 +394,27 @@ def _(spark, d):
 
 
 @query("related_calls", graph_sql="""
-, s AS (SELECT uid, name AS seed FROM nodes WHERE uid IN ('Function:7', 'Function:11')), out1 AS (SELECT s.seed, e.src_uid, e.dst_uid FROM s JOIN edges e ON e.type = 'CALLS' AND e.src_uid = s.uid),
+, s AS (SELECT uid, name AS seed FROM nodes WHERE label = 'Function' AND name IN (SELECT name FROM nodes WHERE uid IN ('Function:7', 'Function:11'))),
+out1 AS (SELECT s.seed, e.src_uid, e.dst_uid FROM s JOIN edges e ON e.type = 'CALLS' AND e.src_uid = s.uid),
 in1 AS (SELECT s.seed, e.src_uid, e.dst_uid FROM s JOIN edges e ON e.type = 'CALLS' AND e.dst_uid = s.uid),
 r AS (SELECT seed, 1 AS o, unnest([src_uid, dst_uid]) AS uid FROM out1 UNION ALL SELECT seed, 2, unnest([src_uid, dst_uid]) FROM in1),
 k AS (SELECT r.seed, r.o, n.name, n.file, n.start_line, row_number() OVER (PARTITION BY n.name, n.file, n.start_line ORDER BY o, seed) AS x FROM r JOIN nodes n USING (uid))
 SELECT seed AS seed_name, CASE o WHEN 1 THEN 'called_by' ELSE 'calls' END AS relationship, name, file, start_line FROM k WHERE x = 1""")
 def _(spark, d):
-    n, e = nodes_of(spark, d), edges_of(spark, d)
-    seeds = n.where("uid in ('Function:7', 'Function:11')").select(F.col("uid"), F.col("name").alias("seed"))
-    calls = graph.of_type(e, "CALLS")
-    rows = [traverse.path_edges(seeds, calls, 1, way).select("seed", F.explode(F.array("src_uid", "dst_uid")).alias("uid"), F.lit(k).alias("o")) for k, way in ((1, "out"), (2, "in"))]
-    met = rows[0].unionByName(rows[1]).join(n.select("uid", "name", "file", "start_line"), "uid")
-    best = met.groupBy("name", "file", "start_line").agg(F.min(F.struct("o", "seed")).alias("x"))
-    return best.select(F.col("x.seed").alias("seed_name"), F.when(F.col("x.o") == 1, "called_by").otherwise("calls").alias("relationship"), "name", "file", "start_line")
+    n = nodes_of(spark, d)
+    return search.related(n, edges_of(spark, d), n.where("uid in ('Function:7', 'Function:11')").select("name", F.col("label").alias("type")), 1)
 
 
 @query("hybrid_search")
 def _(spark, d):
-    n = nodes_of(spark, d).where("label <> 'Document'").drop("embedding")
-    n = n.withColumn("embedding", F.lit(None).cast("array<float>"))
+    n = nodes_of(spark, d)
     vectors = embed.embed(n, dim=64)
     return search.hybrid_search(vectors, edges_of(spark, d), lambda q: embed.hashed(q, 64), "red widget of Supplier", 5, 1)[0].select("name", "file", "start_line", "match_source")
 
 
 @query("embed_nodes")
 def _(spark, d):
-    return embed.embed(nodes_of(spark, d), dim=64).where("embedding is not null").select("uid", F.size("embedding").alias("dim"))
+    return embed.embed(nodes_of(spark, d), dim=64).where("embedding is not null").select("uid", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("hash"))
 
 
 # --- text -----------------------------------------------------------------------------------
@@ -440,20 +435,23 @@ _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_s
 
 def _headed(spark, d):
     marked = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) < 40, F.concat(F.lit("## "), x)).otherwise(x))
-    return table(spark, d, "documents").where("text not like '%#%'").select(F.col("doc_id").cast("string").alias("path"), F.array_join(marked, "\n").alias("content"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(marked, "\n").alias("content"))
 
 
-@query("sections_markdown", sql=f"""WITH l AS ({_LINES.replace('FROM documents', "FROM documents WHERE text NOT LIKE '%#%'")}), h AS (SELECT doc_id, i, trim(line) AS title FROM l WHERE length(line) < 40 AND trim(line) <> '')
+@query("sections_markdown", sql=f"""WITH l AS ({_LINES}), h AS (SELECT doc_id, i, trim(line) AS title FROM l WHERE length(line) < 40 AND trim(line) <> '')
 SELECT doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, i AS start_line, 2 AS level, title FROM h""")
 def _(spark, d):
     return X.sections(_headed(spark, d)).select("path", "pos", "start_line", "level", "title")
 
 
-@query("sections_rst", sql="SELECT doc_id::VARCHAR AS path, 1 AS pos, 1 AS start_line, 2 AS level, source AS title, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body FROM documents WHERE regexp_matches(text, '^[A-Za-z ,.]+$')")
+@query("sections_rst", sql=f"""WITH l AS ({_LINES}), h AS (SELECT doc_id, i, trim(line) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE length(line) < 40 AND trim(line) <> '')
+SELECT doc_id::VARCHAR AS path, pos, i + pos - 1 AS start_line, 2 AS level, title,
+  coalesce((SELECT sum(length(x.line) + 1) FROM l x WHERE x.doc_id = h.doc_id AND x.i > h.i AND x.i < coalesce((SELECT min(y.i) FROM h y WHERE y.doc_id = h.doc_id AND y.i > h.i), 1000000)), 0)::BIGINT AS chars FROM h""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[A-Za-z ,.]+\z"))
-    rst = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat_ws("\n", "source", F.repeat(F.lit("-"), F.length("source")), "text").alias("content"))
-    return X.sections(rst, "rst").select("path", "pos", "start_line", "level", "title", "body")
+    ruled = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) < 40) & (F.trim(x) != ""), F.concat(x, F.lit("\n"), F.repeat(F.lit("-"), F.length(x)))).otherwise(x))
+    rows = X.sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(ruled, "\n").alias("content")), "rst")
+    # a body's characters, with a line end for each of its lines
+    return rows.select("path", "pos", "start_line", "level", "title", F.when(F.col("body") == "", 0).otherwise(F.length("body") + 1).cast("long").alias("chars"))
 
 
 @query("section_levels", sql="""WITH t AS (SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 9) || '.' || (event_id % 7) || ' x' ELSE event_type END AS title FROM events),

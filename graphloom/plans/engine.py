@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import is_instance_of
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import embed, graph, mutate, resolve, search
-from ..schema import EDGE_TYPES, LABELS
+from ..operators import embed, graph, mutate, resolve, search, traverse
+from ..schema import EDGE_TYPES, LABELS, as_edges, as_nodes
 from ..sources import changes, scan
 from .store import GraphStore
 
@@ -20,21 +24,28 @@ def _within(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
+def _one_of(name: str, value: str, *allowed: str) -> None:
+    if value not in allowed:
+        raise ValueError(f"{name} must be one of {', '.join(allowed)}, not {value!r}")
+
+
 class Engine:
     """`graph` questions, searches, ingestion, and SQL over the views nodes and edges and one for each label and type."""
 
-    def __init__(self, store: GraphStore, encoder: embed.OnnxEncoder | None = None, dim: int = embed.DIM):
-        self.store, self.spark, self.encoder, self.dim = store, store.spark, encoder, dim
+    def __init__(self, store: GraphStore, encoder: embed.OnnxEncoder | None = None, dim: int = embed.DIM, query_prefix: str = ""):
+        self.store, self.spark, self.encoder, self.dim, self.query_prefix = store, store.spark, encoder, dim, query_prefix
 
     def encode(self, text: str) -> list[float]:
-        return self.encoder.encode([embed.QUERY_PREFIX + text])[0] if self.encoder else embed.hashed(text, self.dim)
+        return self.encoder.encode([self.query_prefix + text])[0] if self.encoder else embed.hashed(text, self.dim)
 
     # questions ----------------------------------------------------------------------------
 
     def ask(self, query_type: str, name: str = "", file: str = "", depth: int = 3, direction: str = "downstream", entity_type: str = "any", sql: str = "") -> DataFrame:
         """The nine kinds of structured question; `inheritance` and `module_deps` are other names of two of them."""
-        n, e = self.store.nodes(), self.store.edges()
+        n, e = self.store.snapshot()
         _within("depth", depth, 1, 10)
+        _one_of("direction", direction, "upstream", "downstream", "parents", "children")
+        _one_of("entity_type", entity_type, "any", "function", "class")
         kinds: dict[str, Callable[[], DataFrame]] = {
             "call_chain": lambda: graph.call_chain(n, e, name, depth, direction),
             "inheritance_tree": lambda: graph.inheritance_tree(n, e, name, direction),
@@ -53,31 +64,42 @@ class Engine:
 
     def search(self, query: str, k: int = 10, entity_type: str = "all") -> DataFrame:
         """Keyword and vector hits, fused; the type narrows the vector hits only."""
-        n, e = self.store.nodes(), self.store.edges()
+        _one_of("entity_type", entity_type, "all", "function", "class", "document")
+        n, e = self.store.snapshot()
         labels = {"function": ("Function",), "class": ("Class",), "document": ("Document",)}.get(entity_type, ("Function", "Class", "Document"))
-        words = search.words_of(self.spark, query)[:3] or [query]
+        return search.fuse(self._keyword(n, e, query, _within("k", k, 1, 50)), search.semantic_search(n, self.encode, query, k, labels), k)
+
+    def _keyword(self, nodes: DataFrame, edges: DataFrame, query: str, k: int) -> DataFrame:
         hits = None
-        for word in words:
-            rows = search.keyword_search(n, e, word, _within("k", k, 1, 50))
+        for word in search.words_of(self.spark, query)[:3] or [query]:
+            rows = search.keyword_search(nodes, edges, word, k)
             hits = rows if hits is None else hits.unionByName(rows)
-        return search.fuse(hits.dropDuplicates(["uid"]), search.semantic_search(n, self.encode, query, k, labels), k)
+        first = Window.partitionBy("uid").orderBy(F.desc("score"))
+        return hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+    def keyword(self, query: str, k: int = 10) -> DataFrame:
+        """Keyword hits alone, without vectors: of the question's first three identifiers, the best `k`."""
+        return self._keyword(*self.store.snapshot(), query, _within("k", k, 1, 50)).orderBy(F.desc("score"), "uid").limit(k)
 
     def hybrid(self, query: str, k: int = 5, expand_depth: int = 2, callers: bool = True, callees: bool = True) -> tuple[DataFrame, DataFrame]:
-        return search.hybrid_search(self.store.nodes(), self.store.edges(), self.encode, query, _within("k", k, 1, 20), _within("expand_depth", expand_depth, 1, 5), callers, callees)
+        return search.hybrid_search(*self.store.snapshot(), self.encode, query, _within("k", k, 1, 20), _within("expand_depth", expand_depth, 1, 5), callers, callees)
 
     def related_to_file(self, file: str) -> DataFrame:
         """Methods of the file's classes and what its functions call."""
-        n = self.store.nodes()
-        return search.related(n, self.store.edges(), graph.file_entities(n, file), 1, callers=False)
+        n, e = self.store.snapshot()
+        return search.related(n, e, graph.file_entities(n, file), 1, callers=False)
 
     def explore(self, name: str, depth: int = 2, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-        return graph.explore(self.store.nodes(), self.store.edges(), name, _within("depth", depth, 1, 5), _within("limit", limit, 1, 500))
+        return graph.explore(*self.store.snapshot(), name, _within("depth", depth, 1, 5), _within("limit", limit, 1, 500))
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
-        """Read-only SQL; parameters go through `args`."""
-        if text.lstrip("( \n\t").split(None, 1)[0].lower() not in ("select", "with", "values", "from"):
-            raise ValueError("only queries are allowed")
-        n, e = self.store.nodes(), self.store.edges()
+        """Read-only SQL; parameters go through `args`.
+
+        The text is parsed by Spark before anything runs: commands, inserts, also such within a
+        WITH or behind a FROM, and calls of Java methods are errors.
+        """
+        read_only(self.spark, text)
+        n, e = self.store.snapshot()
         n.createOrReplaceTempView("nodes")
         e.createOrReplaceTempView("edges")
         for label in LABELS:
@@ -98,26 +120,30 @@ class Engine:
             nodes = nodes.withColumn("repository", F.lit(repository))
         return embed.embed(nodes, self.encoder, dim=self.dim), edges
 
-    def index_full(self, folder: str, repository: str | None = None) -> None:
-        """Scan, parse, embed, write; then resolve across files, documents included."""
+    def index_full(self, folder: str, repository: str | None = None) -> dict[str, int]:
+        """Scan, parse, embed, write with all edges resolved, documents included; returns what was indexed."""
         nodes, edges = self._graph(scan.files(self.spark, folder), scan.files(self.spark, folder, documents=True), repository)
-        merged = mutate.upsert_nodes(self.store.nodes(), nodes)
-        self.store.write(merged, mutate.upsert_edges(self.store.edges(), edges, merged))
-        self.store.resolve()
-
-    def index_files(self, rows: list[tuple[str, str]], repository: str | None = None) -> None:
-        """Replace what is known of files by their given contents."""
+        nodes, edges = traverse.cut(as_nodes(nodes)), traverse.cut(as_edges(edges))
+        old_nodes, old_edges = self.store.snapshot()
+        merged = mutate.upsert_nodes(old_nodes, nodes)
+        self.store.write(merged, resolve.resolve(merged, mutate.upsert_edges(old_edges, edges, merged)))
+        return statistics(nodes, edges)
+
+    def index_files(self, rows: list[tuple[str, str]], repository: str | None = None) -> dict[str, int]:
+        """Replace what is known of files by their given contents; returns what was indexed."""
         given = scan.payload(self.spark, rows)
-        self.apply(given.withColumn("status", F.lit("M")), repository)
+        return self.apply(given.withColumn("status", F.lit("M")), repository)
 
-    def apply(self, changed: DataFrame, repository: str | None = None) -> None:
+    def apply(self, changed: DataFrame, repository: str | None = None) -> dict[str, int]:
         """(path, status, content): delete what D, M and A name, add anew what has content, then resolve. Replay changes nothing."""
-        nodes, edges = mutate.delete_files(self.store.nodes(), self.store.edges(), changed.select(F.col("path").alias("file")))
+        nodes, edges = mutate.delete_files(*self.store.snapshot(), changed.select(F.col("path").alias("file")))
         there = changed.where("status <> 'D' and content is not null").select("path", "content")
         new, links = self._graph(there, there.where(_document()), repository)
+        new, links = traverse.cut(as_nodes(new)), traverse.cut(as_edges(links))
         merged = mutate.upsert_nodes(nodes, new)
         joined = mutate.upsert_edges(edges, links, merged)
         self.store.write(merged, resolve.resolve(merged, joined))
+        return statistics(new, links)
 
     def index_incremental(self, folder: str, base: str = "HEAD~1", head: str = "HEAD", repository: str | None = None) -> dict[str, int]:
         """Apply a git difference; returns how many files were added, modified and deleted."""
@@ -134,6 +160,41 @@ class Engine:
         self.store.tag(repository)
         return counts
 
+    def sync_all(self, repositories: dict[str, str]) -> dict[str, dict[str, int] | str | None]:
+        """`sync` of all (name, folder); of a repository that fails the error stands for its counts, and the others go on."""
+        out: dict[str, dict[str, int] | str | None] = {}
+        for name, folder in repositories.items():
+            try:
+                out[name] = self.sync(folder, name)
+            except (OSError, ValueError, subprocess.SubprocessError) as error:
+                out[name] = str(error)
+        return out
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
+    """Files, nodes by label and edges of one indexing run."""
+    counts = {r["label"].lower(): r["n"] for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": edges.count()}
+
+
+def read_only(spark: SparkSession, text: str) -> None:
+    """Raise ValueError unless the text is one query that writes nothing and changes nothing."""
+    if not text.strip():
+        raise ValueError("an empty text is no query")
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    except ParseException as error:
+        raise ValueError(f"no query: {error}") from None
+    gateway, base = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst.plans.logical."
+    while todo:
+        node = todo.pop()
+        if any(is_instance_of(gateway, node, base + kind) for kind in ("Command", "ParsedStatement", "InsertIntoDir")):
+            raise ValueError("only queries are allowed")
+        for held in (node.children(), node.innerChildren(), node.subqueries()):
+            todo += [held.apply(k) for k in range(held.size()) if is_instance_of(gateway, held.apply(k), base + "LogicalPlan")]
+        if re.search(r"'?(?:reflect|java_method|try_reflect)\(", node.toString()):
+            raise ValueError("calls of Java methods are not allowed")
+
 
 def _document():
 

@@ -20,8 +20,9 @@ class GraphStore:
     """Nodes and edges of one tenant below `root/kb_<id>`.
 
     A change is written as a new version, nodes by label and edges by type, and then named the
-    current one, so readers never see half of it and a job that fails leaves the old one. Folders
-    are reached by Hadoop's file systems only.
+    current one, so readers never see half of it and a job that fails leaves the old one. A
+    question reads one version; old ones stay until `vacuum`. Folders are reached by Hadoop's
+    file systems only.
     """
 
     def __init__(self, spark: SparkSession, root: str, business: str = DEFAULT):
@@ -40,37 +41,52 @@ class GraphStore:
     def exists(self) -> bool:
         return self.version() is not None
 
-    def nodes(self) -> DataFrame:
+    def snapshot(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of one version, whatever is written meanwhile."""
         v = self.version()
-        return self.spark.read.schema(NODES).parquet(f"{self.path}/{v}/nodes") if v else self.spark.createDataFrame([], NODES)
+        if not v:
+            return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
+        return self.spark.read.schema(NODES).parquet(f"{self.path}/{v}/nodes"), self.spark.read.schema(EDGES).parquet(f"{self.path}/{v}/edges")
+
+    def nodes(self) -> DataFrame:
+        return self.snapshot()[0]
 
     def edges(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(EDGES).parquet(f"{self.path}/{v}/edges") if v else self.spark.createDataFrame([], EDGES)
+        return self.snapshot()[1]
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        old, new = self.version(), uuid.uuid4().hex
+        """Write a new version; old ones stay for the answers that still read them, until `vacuum`."""
+        new = uuid.uuid4().hex
         as_nodes(nodes).write.partitionBy("label").parquet(f"{self.path}/{new}/nodes")
         as_edges(edges).write.partitionBy("type").parquet(f"{self.path}/{new}/edges")
         mark = self.spark.createDataFrame([(f"{time.time_ns():020d} {new}",)], "value string").coalesce(1)
         mark.write.mode("append").text(f"{self.path}/current")
-        if old:
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all versions but the last `keep`; returns how many went. Answers that read those end with an error."""
+        if not self.exists():
+            return 0
+        marks = [r[0].split(" ")[1] for r in self.spark.read.text(f"{self.path}/current").orderBy(F.desc("value")).collect()]
+        gone = 0
+        for old in marks[max(1, keep) :]:
             fs, p = self._fs(f"{self.path}/{old}")
-            fs.delete(p, True)
+            gone += bool(fs.exists(p) and fs.delete(p, True))
+        return gone
 
     # changes ------------------------------------------------------------------------------
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Nodes first, then the edges whose ends are there."""
-        merged = mutate.upsert_nodes(self.nodes(), nodes)
-        self.write(merged, mutate.upsert_edges(self.edges(), as_edges(edges), merged))
+        old_nodes, old_edges = self.snapshot()
+        merged = mutate.upsert_nodes(old_nodes, nodes)
+        self.write(merged, mutate.upsert_edges(old_edges, as_edges(edges), merged))
 
     def delete(self, which: Column) -> int:
         """Remove nodes and the edges at them; returns how many nodes there were."""
-        nodes = self.nodes()
+        nodes, edges = self.snapshot()
         gone = nodes.where(which).count()
         if gone:
-            self.write(*mutate.delete_nodes(nodes, self.edges(), which))
+            self.write(*mutate.delete_nodes(nodes, edges, which))
         return gone
 
     def delete_file(self, file: str) -> int:
@@ -83,14 +99,19 @@ class GraphStore:
         return self.delete(mutate.in_folders(folders))
 
     def tag(self, repository: str, folder: str | None = None) -> None:
-        self.write(mutate.tag_unowned(self.nodes(), repository, folder), self.edges())
+        nodes, edges = self.snapshot()
+        self.write(mutate.tag_unowned(nodes, repository, folder), edges)
+
+    def set_fqn(self, uid: str, fqn: str) -> None:
+        nodes, edges = self.snapshot()
+        self.write(mutate.set_fqn(nodes, uid, fqn), edges)
 
     def resolve(self) -> None:
-        nodes = self.nodes()
-        self.write(nodes, resolve.resolve(nodes, self.edges()))
+        nodes, edges = self.snapshot()
+        self.write(nodes, resolve.resolve(nodes, edges))
 
     def backfill_fqn(self) -> int:
-        nodes, edges = self.nodes(), self.edges()
+        nodes, edges = self.snapshot()
         lack = nodes.where("label in ('Function', 'Class') and fqn is null").count()
         filled = graph.backfill_fqn(nodes, edges)
         left = filled.where("label in ('Function', 'Class') and fqn is null").count()
@@ -100,13 +121,13 @@ class GraphStore:
 
     def migrate_paths(self, repository: str) -> int:
         """Make the repository's absolute paths relative to the folder that its sample files share; returns the nodes changed."""
-        nodes = self.nodes()
+        nodes, edges = self.snapshot()
         own = nodes.where(F.col("repository") == repository)
         root = own.where(F.col("file").startswith("/")).select(F.concat(X.repository_root("file", F.lit(repository)), F.lit("/")).alias("r")).where("r is not null").groupBy("r").count().orderBy(F.desc("count"), "r").first()
         if root is None:
             return 0
         n = graph.prefix_count(nodes, repository, root["r"]).first()["n"]
-        self.write(*mutate.strip_prefix(nodes, self.edges(), root["r"]))
+        self.write(*mutate.strip_prefix(nodes, edges, root["r"]))
         return n
 
     def drop(self) -> None:
@@ -148,6 +169,10 @@ class Businesses:
     def ensure_default(self) -> GraphStore:
         return self.create(DEFAULT, DEFAULT) if self.list().where(F.col("id") == DEFAULT).isEmpty() else self.store(DEFAULT)
 
+    def get(self, id_: str) -> DataFrame:
+        """The row of one business in `list`, or none."""
+        return self.list().where(F.col("id") == id_)
+
     def store(self, id_: str = DEFAULT) -> GraphStore:
         return GraphStore(self.spark, self.root, id_)
 
