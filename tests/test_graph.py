@@ -3,6 +3,7 @@
 import collections
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,53 @@ def test_engine_from_files_to_answers(spark, tmp_path):
 def test_schema_of_empty_store(spark, tmp_path):
     store = Businesses(spark, str(tmp_path)).store("none")
     assert store.nodes().schema == NODES and store.edges().count() == 0
+
+
+def test_sql_is_read_only(spark, tmp_path):
+    engine = Engine(Businesses(spark, str(tmp_path / "kb")).ensure_default())
+    assert engine.sql("with x as (select 1 as a) select a from x").first()["a"] == 1
+    assert engine.sql("from nodes select count(*) as n").first()["n"] == 0
+    assert engine.sql("select count(*) as n from nodes where uid in (select src_uid from edges where type = :t)", {"t": "CALLS"}).first()["n"] == 0
+    out = tmp_path / "out"
+    for text in (
+        "", "  \n", "selec", f"FROM nodes INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT uid",
+        f"WITH q AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT a FROM q", "DROP VIEW nodes", "SET x = 1",
+        "create table t as select 1 as a", "select reflect('java.lang.System', 'getProperty', 'user.home')", "with a as (select java_method('java.lang.Math', 'abs', 1)) select * from a",
+    ):
+        with pytest.raises(ValueError):
+            engine.sql(text)
+    assert not out.exists()
+
+
+def test_answers_outlive_writes(spark, tmp_path):
+    engine = Engine(Businesses(spark, str(tmp_path / "kb")).ensure_default())
+    stats = engine.index_files([("a.py", "def f():\n    g()\n\ndef g():\n    pass\n")], "r")
+    assert stats["function"] == 2 and stats["files"] >= 1
+    answer = engine.ask("find_entity", name="f")
+    engine.index_files([("b.py", "def h():\n    pass\n")])
+    assert answer.count() == 1
+    assert engine.store.vacuum() == 1 and engine.ask("find_entity", name="h").count() == 1
+    assert [r["name"] for r in engine.keyword("h").collect()] == ["h"]
+    for wrong in ({"direction": "sideways"}, {"entity_type": "functions"}, {"depth": 0}):
+        with pytest.raises(ValueError):
+            engine.ask("call_chain", name="f", **wrong)
+
+
+def test_prefix_goes_at_the_start_only(spark):
+    nodes = as_nodes(spark.createDataFrame([("Function:/r/a.py:x:/r/", "Function", "/r/a.py"), ("Function:b.py:y:/r/", "Function", "b.py")], "uid string, label string, file string"))
+    edges = as_edges(spark.createDataFrame([("CALLS", "Function:/r/a.py:x:/r/", "Function:b.py:y:/r/")], "type string, src_uid string, dst_uid string"))
+    moved, linked = mutate.strip_prefix(nodes, edges, "/r/")
+    assert {r["uid"] for r in moved.collect()} == {"Function:a.py:x:/r/", "Function:b.py:y:/r/"}
+    assert [tuple(r) for r in linked.select("src_uid", "dst_uid").collect()] == [("Function:a.py:x:/r/", "Function:b.py:y:/r/")]
+
+
+def test_vectors_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES", 8)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(200)] + [(900, None), (901, [0.0] * 6), (902, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = search.vector_search_many(df, df.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 4)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:200] if np.any(v)}
+    expected = {(q, r + 1, v) for q in unit if q < 30 for r, (_, v) in enumerate(sorted((-round(float(unit[q] @ w), 9), i) for i, w in unit.items())[:4])}
+    found = {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()}
+    assert len(found & expected) >= 0.97 * len(expected) and len(found) == len(expected)
