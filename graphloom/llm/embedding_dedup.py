@@ -69,7 +69,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     Equal vectors are compared once. Vectors that are null, zero or hold null or non-finite
     components, and vectors of a length that no other has, link with nothing and are kept. A null
     id gives a row with null component. Rows that repeat an id are one vector each: they count as
-    links of each other if near. An empty table gives no rows.
+    links of each other if near. Columns other than the two are not read. An empty table gives no rows.
 
     The distinct vectors are dealt to blocks of about 4,096 by a hash and every pair of blocks is
     one group of one task, so no key is hot; a task returns counts and a forest, never the pairs.

@@ -559,6 +559,55 @@ def test_language_evidence_is_fused(spark):
     assert langid.identify(df.limit(0), langid.fit(df), ["doc_id"]).count() == 0
 
 
+def brute_languages(rows):
+    """(language, posterior) of (id, text, declared, suffix, host), evidence by evidence."""
+    held = {k: langid._trigrams((t or "").encode()) for k, t, *_ in rows}
+    names = sorted({x for _, _, x, *_ in rows if x})
+    counts = {x: collections.Counter(g for k, _, own, *_ in rows if own == x for g in held[k].tolist()) for x in names}
+    totals = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    share = {x: sum(own == x for _, _, own, *_ in rows) / sum(bool(own) for _, _, own, *_ in rows) for x in names}
+    parent = lambda h: (re.findall(r"[^.]+\.[^.]+$", h or "") or [""])[0]
+    seen, first = {}, {}
+    for k, _, declared, suffix, _ in rows:
+        at = held[k].tolist()
+        x = {n: sum(math.log((counts[n][g] + 0.5) / totals[n]) for g in at) / len(at) * min(len(at), 40) if at else 0.0 for n in names}
+        for tag, right in ((declared, 0.9), (suffix, 0.7)):
+            if tag in names:
+                x = {n: v + math.log(right if n == tag else (1 - right) / max(1, len(names) - 1)) for n, v in x.items()}
+        seen[k] = x
+        first[k] = max(names, key=lambda n: x[n] + math.log(share[n]))
+    out = {}
+    for k, _, _, _, host in rows:
+        mine = collections.Counter(first[i] for i, *_, h in rows if (h or "") == (host or ""))
+        above = collections.Counter(first[i] for i, *_, h in rows if parent(h) == parent(host))
+        prior = {n: 20 * (20 * share[n] + above[n]) / (above.total() + 20) + mine[n] for n in names}
+        x = {n: v + math.log(prior[n] / (mine.total() + 20)) for n, v in seen[k].items()}
+        best = max(names, key=x.get)
+        out[k] = best, 1 / sum(math.exp(v - x[best]) for v in x.values())
+    return out
+
+
+@pytest.mark.parametrize("dense", [256, 0])
+def test_language_posteriors_match_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rnd = random.Random(31)
+    words = {x: vocabulary(random.Random(k), 12) for k, x in enumerate(("aa", "bb", "cc"))}
+    rows = []
+    for k in range(90):
+        own = rnd.choice(["aa", "aa", "bb", "cc"])
+        text = " ".join(rnd.choice(words[own if rnd.random() < 0.7 else "cc"]) for _ in range(rnd.randint(0, 12)))
+        rows.append((k, rnd.choice([text, text, None]), rnd.choice([own, own, None, "bb"]), rnd.choice([None, None, "cc", "zz"]), rnd.choice(["a.x.org", "b.x.org", "y.net", "local", None, ""])))
+    rows.append((500, " ".join(rnd.choice(words["bb"]) for _ in range(120_000)), None, None, "y.net"))
+    fields = "doc_id long, text string, declared string, suffix string, host string"
+    df = spark.createDataFrame(rows + rows[:3], fields).withColumn("says", F.lit(1)).withColumn("posterior", F.lit("x")).withColumn("hk", F.lit(2))
+    found = langid.identify(df, langid.fit(df.where("doc_id is not null")), ["doc_id", "says", "posterior", "hk"])
+    assert found.columns == ["doc_id", "says", "hk", "language", "posterior", "evidence", "likelihood", "declared"]
+    got = found.collect()
+    expected = brute_languages(rows + rows[:3])
+    assert len(got) == len(rows) + 3 and all(r["says"] == 1 and r["hk"] == 2 for r in got)
+    assert all(r["language"] == expected[r["doc_id"]][0] and abs(r["posterior"] - expected[r["doc_id"]][1]) < 1e-4 for r in got)
+
+
 @pytest.mark.parametrize("dense", [256, 0])
 def test_language_of_few_rows_is_known(spark, monkeypatch, dense):
     """A language on less than one row in a thousand, and more languages than 200, are found in texts that declare none."""
@@ -584,3 +633,44 @@ def test_pipeline_of_a_small_corpus(spark, tmp_path):
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 1000 not in ids and {1, 2, 3} <= ids
     assert sum(i in ids for i, _, y in toxic if y) <= 5 and sum(i not in ids for i, _, y in toxic if not y) <= 8
+
+
+CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_language_stage(spark):
+    """Texts that contradict their declared language or that none explains go; clean ones stay, short ones too."""
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    words = {"aa": ["kalo", "mira", "tolu", "sena", "peto"], "bb": ["xyzzy", "grunt", "plugh", "fnord", "quux"]}
+    text = lambda x, n: " ".join(rnd.choice(words[x]) for _ in range(n))
+    rows = [(i, text(x, 30), x, f"s{i % 3}", 1) for i in range(120) for x in [("aa", "bb")[i % 2]]]
+    rows += [(500, text("aa", 2), "aa", "s1", 1), (501, text("bb", 40), None, None, 1), (0, rows[0][1], "aa", "s0", 1)]
+    bad = [(600, text("bb", 60), "aa", "s1", 1), (601, "αβγδ εζηθ ικλμ νξοπ " * 20, None, "s1", 1), (602, None, "aa", "s1", 1), (603, "", None, None, None), (604, "12 ..", "bb", "s2", 1)]
+    docs = spark.createDataFrame(rows + bad, CORPUS)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_pipeline_of_an_empty_corpus(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], CORPUS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_of_copies_and_repeats(spark):
+    import corpus_pipeline
+
+    one, two = "one two three four five six seven eight nine ten " * 3, "z" * 120 + " y " * 50
+    docs = spark.createDataFrame([(1, one, "en", "a", 1), (2, one, "en", "b", 1), (2, one, "en", "b", 1), (3, two, "en", "a", 1), (4, "x" * 130 + two, "en", "a", 1), (5, None, None, None, None), (6, "", "en", "a", 0)], CORPUS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 6]
+    left = {r["doc_id"]: r for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    assert left[1]["text"] == one and left[2]["text"] == "" and left[5]["text"] == "" and left[4]["n_chars"] == len(left[4]["text"]) < 130 + len(two)
+    assert left[4]["source"] == "a" and left[4]["lang"] == "en"
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] in (5, 6)) == 2
