@@ -54,8 +54,8 @@ def call_chain_nodes(chain: DataFrame) -> DataFrame:
 def inheritance_tree(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "children", distinct: bool = False, depth: int = 10) -> DataFrame:
     """Parents or (any other direction) children of classes of a name over up to ten edges: one row for each trail, or with `distinct` each class."""
     classes = nodes.where("label = 'Class'")
-    found = traverse.trails(named(classes, name).select("uid"), of_type(edges, "INHERITS"), depth, "out" if direction == "parents" else "in", distinct)
-    return found.join(classes, "uid").select("name", empty("file").alias("file"), "start_line", "length")
+    found = traverse.trail_counts(named(classes, name).select("uid"), of_type(edges, "INHERITS"), depth, "out" if direction == "parents" else "in", distinct)
+    return traverse.multiplied(found.join(classes, "uid").select("name", empty("file").alias("file"), "start_line", "length", "n"))
 
 
 def class_methods(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:

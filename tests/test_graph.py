@@ -72,6 +72,23 @@ def test_trails_and_distances_match_brute_force(spark, seed):
     assert {(r["src_uid"], r["dst_uid"]) for r in traverse.path_edges(seeds, edges, 3).collect()} == reach
 
 
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_trail_counts_on_loops_and_diamonds(spark, depth):
+    # a cycle whose first edge alone comes round again within the depth, a loop of one node, and diamonds before both
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("a", "e"), ("d", "f"), ("e", "f"), ("f", "f"), ("f", "g")]
+    rows = traverse.trail_counts(spark.createDataFrame([("a",)], "uid string"), edges_frame(spark, pairs), depth).collect()
+    got = collections.Counter()
+    for r in rows:
+        got[r["uid"]] += r["n"]
+    assert got == simple_trails(pairs, "a", depth)
+
+
+def test_many_diamonds_take_a_row_for_each_node(spark):
+    pairs = [(f"n{k}", f"{x}{k}") for k in range(12) for x in "lr"] + [(f"{x}{k}", f"n{k + 1}") for k in range(12) for x in "lr"]
+    rows = traverse.trail_counts(spark.createDataFrame([("n0",)], "uid string"), edges_frame(spark, pairs), 10).collect()
+    assert len(rows) == 15 and {r["uid"]: r["n"] for r in rows}["n5"] == 32
+
+
 def test_traversals_of_empty_graphs(spark):
     nodes, edges = nodes_frame(spark, ["a"]).limit(0), edges_frame(spark, [("a", "b")]).limit(0)
     assert graph.call_chain(nodes, edges, "a").count() == 0
