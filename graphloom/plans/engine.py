@@ -146,10 +146,11 @@ class Engine:
         return statistics(new, links)
 
     def index_incremental(self, folder: str, base: str = "HEAD~1", head: str = "HEAD", repository: str | None = None) -> dict[str, int]:
-        """Apply a git difference; returns how many files were added, modified and deleted."""
+        """Apply a git difference; returns how many files were added, modified and deleted. Only the files that it names are read."""
         feed = changes.git_changes(self.spark, folder, base, head).unionByName(changes.git_changes(self.spark, folder, base, head, documents=True))
-        contents = scan.files(self.spark, folder).unionByName(scan.files(self.spark, folder, documents=True))
-        self.apply(feed.join(contents, "path", "left"), repository)
+        feed = traverse.cut(feed)
+        there = [r["path"] for r in feed.where("status <> 'D'").select("path").distinct().collect()]
+        self.apply(feed.join(scan.named_files(self.spark, folder, there), "path", "left"), repository)
         return changes.status_counts(feed).first().asDict()
 
     def sync(self, folder: str, repository: str) -> dict[str, int] | None:
@@ -197,6 +198,4 @@ def read_only(spark: SparkSession, text: str) -> None:
 
 
 def _document():
-
-
     return X.is_document("path")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -22,9 +23,30 @@ def files(spark: SparkSession, folder: str, documents: bool = False) -> DataFram
     kinds = X.DOC_SUFFIXES if documents else tuple(X.LANGUAGES)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{%s}" % ",".join(kinds)).load(folder)
     root = folder.rstrip("/").split(":", 1)[-1]
-    inner = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    relative = F.substring_index(inner, root.rstrip("/") + "/", -1)
-    return found.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~X.excluded("path"))
+    return found.select(_below(root).alias("path"), F.decode("content", "UTF-8").alias("content")).where(~X.excluded("path"))
+
+
+def _below(root: str) -> Column:
+    """The part of `path` below a folder."""
+    return F.substring_index(F.regexp_replace("path", r"^[a-z]+:/*", "/"), root.rstrip("/") + "/", -1)
+
+
+def named_files(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """(path, content) of the files of given relative paths below a folder; those that are not there have no row.
+
+    The list is as long as a change feed's, which the driver has read from git anyway; contents are read by tasks.
+    """
+    root, context = folder.rstrip("/"), spark.sparkContext
+    there = []
+    for path in paths:
+        full = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        if full.getFileSystem(context._jsc.hadoopConfiguration()).exists(full):
+            # what a glob reads as a pattern stands for itself
+            there.append(re.sub(r"([\\*?\[\]{}^])", r"\\\1", f"{root}/{path}"))
+    if not there:
+        return payload(spark, [])
+    found = spark.read.format("binaryFile").load(there)
+    return found.select(_below(root.split(":", 1)[-1]).alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def payload(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
