@@ -193,3 +193,28 @@ def section_levels(rows: DataFrame, by: str = "path", order: str = "start_line",
     own = F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 2).when(F.row_number().over(w) == 1, 1)
     carried = F.last("_level", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("_level", own).withColumn("inferred_level", F.coalesce(carried, F.lit(2)).cast("int")).drop("_level")
+
+
+def outline_levels(rows: DataFrame, files: DataFrame | None = None, by: str = "path", order: str = "start_line", title: str = "title", level: str = "level") -> DataFrame:
+    """`rows` with inferred_level of every section of every document.
+
+    A document with any stored level keeps its own. Else the headings of its file decide, where it
+    has any among `files` (`by`, content): lines of # at any indent, of equal titles the last;
+    a title counts from its last " > " on. Else `section_levels`. What then has no level has 2.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    whole = Window.partitionBy(by)
+    out = section_levels(rows, by, order, title).withColumn("_stored", F.max(F.col(level).isNotNull()).over(whole))
+    if files is None:
+        inferred = F.col("inferred_level")
+    else:
+        line = strip(F.col("_line"))
+        heads = files.select(F.col(by).alias("_by"), F.posexplode(F.split("content", "\n")).alias("_pos", "_line")).where(line.startswith("#"))
+        heads = heads.select("_by", "_pos", F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("_n"), strip(F.regexp_replace(line, r"^#+", "")).alias("_title"))
+        of_title = heads.groupBy("_by", "_title").agg(F.max_by("_n", "_pos").alias("_of_title"))
+        headed = heads.select(F.col("_by").alias("_headed")).distinct()
+        own = F.substring_index(F.coalesce(F.col(title), F.lit("")), " > ", -1)
+        out = out.join(headed, F.col(by) == F.col("_headed"), "left").join(of_title, (F.col(by) == F.col("_by")) & (own == F.col("_title")), "left")
+        inferred = F.when(F.col("_headed").isNotNull(), F.col("_of_title")).otherwise(F.col("inferred_level"))
+    found = F.coalesce(F.when(F.col("_stored"), F.col(level)).otherwise(inferred), F.lit(2)).cast("int")
+    return out.withColumn("inferred_level", found).select(*rows.columns, "inferred_level")

@@ -143,6 +143,15 @@ def get_document(nodes: DataFrame, edges: DataFrame, uid: str) -> DataFrame:
     return document_sections(nodes, edges).where(F.col("doc_uid") == uid).orderBy(F.asc_nulls_last("start_line"), "uid")
 
 
+def document(nodes: DataFrame, edges: DataFrame, uid: str, files: DataFrame | None = None) -> DataFrame:
+    """(uid, title, content, start_line, level) of a document's sections in order, with whole contents; levels are inferred where none are stored, from `files` (path, content) if given."""
+    parts = get_document(nodes, edges, uid).select("doc_file", "uid", "start_line")
+    own = nodes.select("uid", F.coalesce(F.nullif("name", F.lit("")), "title", F.lit("")).alias("title"), empty("content").alias("content"), "level")
+    rows = parts.join(own, "uid").withColumn("path", F.coalesce("doc_file", F.lit(""))).drop("doc_file")
+    found = X.outline_levels(rows, files).select("uid", "title", "content", "start_line", F.col("inferred_level").alias("level"))
+    return found.orderBy(F.asc_nulls_last("start_line"), "uid")
+
+
 def code_snippet(nodes: DataFrame, uid: str) -> DataFrame:
     texts = [empty(x).alias(x) for x in ("name", "file", "signature", "docstring", "code_snippet", "language")]
     return nodes.where(F.col("uid") == uid).select("uid", "label", *texts, "start_line", "end_line")

@@ -19,10 +19,16 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full_outer").select(*values)
 
 
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are nodes."""
+    for end in ("src_uid", "dst_uid"):
+        edges = edges.join(nodes.select(F.col("uid").alias(end)), end, "left_semi")
+    return edges
+
+
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add edges whose ends both exist; an edge of equal ends, type and line is there once. Old edges are distinct already and only met by the new ones."""
-    ids = nodes.select("uid").distinct()
-    sound = new.join(ids.withColumnRenamed("uid", "src_uid"), "src_uid", "left_semi").join(ids.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_semi")
+    sound = with_ends(new, nodes)
     keys = ["src_uid", "dst_uid", "type", "line"]
     fresh = sound.select(*edges.columns).dropDuplicates(keys).alias("n")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]

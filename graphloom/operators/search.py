@@ -158,7 +158,7 @@ def semantic_search(nodes: DataFrame, encode: Callable[[str], list[float]], quer
     """Nodes nearest to a question: docstrings cut to 200 characters, contents to 500; empty if it cannot be encoded."""
     try:
         vector = encode(query)
-    except ValueError:
+    except (ValueError, RuntimeError, OSError):
         vector = None
     if not vector:
         return nodes.sparkSession.createDataFrame([], HITS + ", content string")

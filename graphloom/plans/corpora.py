@@ -151,6 +151,25 @@ def _(spark, d):
     return resolve.resolve(nodes, resolve.resolve(_code(spark, d)[0], edges))
 
 
+_TITLES = """SELECT doc_id % 40 AS path, doc_id AS start_line, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 8) || '.2 of' ELSE 'a > h' || (doc_id % 120) END AS title, CASE WHEN doc_id % 40 < 8 AND doc_id % 5 <> 0 THEN 4 END AS level FROM documents"""
+
+
+@query("outline_levels", sql=f"""WITH t AS ({_TITLES}), stored AS (SELECT path FROM t GROUP BY path HAVING count(level) > 0),
+f AS (SELECT k AS path, 'h' || (k + 40 * m) AS title, 1 + (k + m) % 4 AS n FROM generate_series(8, 23) a(k), generate_series(0, 1) b(m)),
+o AS (SELECT *, CASE WHEN doc_3 = 0 THEN 3 WHEN row_number() OVER (PARTITION BY path ORDER BY start_line) = 1 THEN 1 END AS own FROM (SELECT *, start_line % 3 AS doc_3 FROM t)),
+c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY path ORDER BY start_line) AS carried FROM o)
+SELECT path::VARCHAR AS path, start_line, CASE WHEN path IN (FROM stored) THEN coalesce(level, 2) WHEN path BETWEEN 8 AND 23 THEN coalesce((SELECT n FROM f WHERE f.path = c.path AND f.title = string_split(c.title, ' > ')[-1]), 2) ELSE carried END AS inferred_level FROM c""")
+def _(spark, d):
+    i = F.col("doc_id")
+    title = F.when(i % 3 == 0, F.concat((i % 8).cast("string"), F.lit(".2 of"))).otherwise(F.concat(F.lit("a > h"), (i % 120).cast("string")))
+    rows = table(spark, d, "documents").select((i % 40).cast("string").alias("path"), i.alias("start_line"), title.alias("title"), F.when((i % 40 < 8) & (i % 5 != 0), 4).alias("level"))
+    heading = lambda m: F.concat(F.lit("  "), F.repeat(F.lit("#"), (1 + (F.col("id") + m) % 4).cast("int")), F.lit(" h"), (F.col("id") + 40 * m).cast("string"), F.lit(" \ntext\n"))
+    # files 8 to 23 have headings, 24 to 31 none, and of the others there is no file
+    content = F.when(F.col("id") < 24, F.concat(heading(0), heading(1))).otherwise("text")
+    files = spark.range(8, 32).select(F.col("id").cast("string").alias("path"), content.alias("content"))
+    return X.outline_levels(rows, files).select("path", "start_line", "inferred_level")
+
+
 # --- changes of paths, owners and names --------------------------------------------------------
 
 

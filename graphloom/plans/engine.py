@@ -89,6 +89,12 @@ class Engine:
         n, e = self.store.snapshot()
         return search.related(n, e, graph.file_entities(n, file), 1, callers=False)
 
+    def document(self, uid: str, folder: str | None = None) -> DataFrame:
+        """A document's sections with contents and levels; where no levels are stored, the headings of its file below `folder` decide."""
+        n, e = self.store.snapshot()
+        row = n.where((F.col("uid") == uid) & F.col("file").isNotNull()).select("file").first() if folder else None
+        return graph.document(n, e, uid, scan.named_files(self.spark, folder, [row["file"]]) if row else None)
+
     def explore(self, name: str, depth: int = 2, limit: int = 100) -> tuple[DataFrame, DataFrame]:
         return graph.explore(*self.store.snapshot(), name, _within("depth", depth, 1, 5), _within("limit", limit, 1, 500))
 

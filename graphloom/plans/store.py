@@ -75,11 +75,12 @@ class GraphStore:
 
     # changes ------------------------------------------------------------------------------
 
-    def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Nodes first, then the edges whose ends are there."""
+    def upsert(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
+        """Nodes first, then the edges whose ends are there; returns how many given rows were merged, repeated ones too."""
         old_nodes, old_edges = self.snapshot()
-        merged = mutate.upsert_nodes(old_nodes, nodes)
-        self.write(merged, mutate.upsert_edges(old_edges, as_edges(edges), merged))
+        merged, edges = mutate.upsert_nodes(old_nodes, nodes), as_edges(edges)
+        self.write(merged, mutate.upsert_edges(old_edges, edges, merged))
+        return {"nodes": nodes.count(), "edges": mutate.with_ends(edges, self.nodes()).count()}
 
     def delete(self, which: Column) -> int:
         """Remove nodes and the edges at them; returns how many nodes there were."""

@@ -61,6 +61,8 @@ def test_sync_brings_a_store_to_the_new_commit(spark, copies, tmp_path):
     got = engine.sync_all({"r": str(clone), "absent": str(tmp_path / "absent")})
     assert got["r"] == {"added": 2, "modified": 1, "deleted": 1} and isinstance(got["absent"], str)
     assert engine.sync(str(clone), "r") is None
+    shown = engine.document("Document:docs/g.md:Guide:1", str(clone)).collect()
+    assert [(r["title"], r["content"], r["level"]) for r in shown] == [("Guide", "see `New`", 1)]
     nodes, edges = engine.store.snapshot()
     known = {(r["label"], r["name"]) for r in nodes.select("label", "name").collect()}
     assert {("Function", "fresh"), ("Function", "keep"), ("Class", "New"), ("Document", "Guide")} <= known
@@ -85,8 +87,8 @@ def test_changes_of_a_store(spark, tmp_path):
     nodes = as_nodes(spark.createDataFrame(rows, "uid string, label string, name string, file string, start_line long"))
     nodes = nodes.withColumn("repository", F.when(F.col("file").startswith("/w"), "r"))
     edges = as_edges(spark.createDataFrame([(rows[0][0], rows[1][0], "CONTAINS"), (rows[0][0], "nowhere", "CALLS")], "src_uid string, dst_uid string, type string"))
-    first.upsert(nodes, edges)
-    first.upsert(nodes.limit(1), edges)
+    assert first.upsert(nodes, edges) == {"nodes": 3, "edges": 1}
+    assert first.upsert(nodes.where("label = 'Class'"), edges) == {"nodes": 1, "edges": 1}
     assert (first.nodes().count(), first.edges().count()) == (3, 1)
     assert first.backfill_fqn() == 2 and {r["fqn"] for r in first.nodes().collect()} == {"a.K", "a.K#m", None}
     first.tag("s")
