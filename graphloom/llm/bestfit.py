@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Stage, arrow_map, text_blocks
 
 #: Rows of documents and gaps, about, that one task of a round sweeps over, and documents that one task finishes at the end.
-SWEEP_ROWS, LAST = 1 << 17, 4096
+SWEEP_ROWS, LAST = 1 << 16, 4096
 PIECES = "pid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 SWEPT = "part int, kind int, id long, size int, rank int, sequence_id long, offset int"
 
