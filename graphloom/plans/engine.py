@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import subprocess
 from collections.abc import Callable
 
-from py4j.java_gateway import is_instance_of
-from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..functions import text as X
 from ..operators import embed, graph, mutate, resolve, search, traverse
 from ..schema import EDGE_TYPES, LABELS, as_edges, as_nodes
 from ..sources import changes, scan
+from . import readonly
 from .store import GraphStore
 
 
@@ -101,10 +99,10 @@ class Engine:
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """Read-only SQL; parameters go through `args`.
 
-        The text is parsed by Spark before anything runs: commands, inserts, also such within a
-        WITH or behind a FROM, and calls of Java methods are errors.
+        The text is parsed by Spark, and runs only if it is a query over these views whose parts
+        and functions are all listed in `readonly`; else it is a ValueError, before anything runs.
         """
-        read_only(self.spark, text)
+        readonly.check(self.spark, text, frozenset(("nodes", "edges", *(x.lower() for x in (*LABELS, *EDGE_TYPES)))))
         n, e = self.store.snapshot()
         n.createOrReplaceTempView("nodes")
         e.createOrReplaceTempView("edges")
@@ -184,24 +182,5 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
     return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": edges.count()}
 
 
-def read_only(spark: SparkSession, text: str) -> None:
-    """Raise ValueError unless the text is one query that writes nothing and changes nothing."""
-    if not text.strip():
-        raise ValueError("an empty text is no query")
-    try:
-        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
-    except ParseException as error:
-        raise ValueError(f"no query: {error}") from None
-    gateway, base = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst.plans.logical."
-    while todo:
-        node = todo.pop()
-        if any(is_instance_of(gateway, node, base + kind) for kind in ("Command", "ParsedStatement", "InsertIntoDir")):
-            raise ValueError("only queries are allowed")
-        for held in (node.children(), node.innerChildren(), node.subqueries()):
-            todo += [held.apply(k) for k in range(held.size()) if is_instance_of(gateway, held.apply(k), base + "LogicalPlan")]
-        if re.search(r"'?(?:reflect|java_method|try_reflect)\(", node.toString()):
-            raise ValueError("calls of Java methods are not allowed")
-
-
 def _document():
     return X.is_document("path")
