@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge by (label, uid): what a new row has replaces, what it lacks stays. Of new rows of one key the last given counts by `_seq`, if there."""
+    """Merge by (label, uid): what a new row has replaces, what it lacks stays.
+
+    Of new rows of one key, each property is the last given by `_seq`; where there is no such
+    column they have no order, and the greatest value counts.
+    """
     keys = ["label", "uid"]
     if "_seq" in new.columns:
         new = new.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in new.columns if c not in (*keys, "_seq")))
     else:
-        new = new.dropDuplicates(keys)
+        new = new.groupBy(*keys).agg(*(F.max(c).alias(c) for c in new.columns if c not in keys))
     a, b = nodes.alias("a"), new.alias("b")
     there = set(new.columns)
     values = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in there else F.col(f"a.{c}").alias(c) for c in nodes.columns]

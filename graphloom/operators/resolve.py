@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESOLVED = ("INHERITS", "IMPORTS", "REFERENCES")
 
@@ -41,6 +42,55 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.unionByName(inherits(nodes)).unionByName(imports(nodes)).unionByName(references(nodes))
 
 
+#: Names that nodes bear, with their label as kind, and names that they ask for, with the type of the edge.
+NAMES = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "uid")])
+#: The kind of the name under which a node's file, or a module's path, is kept.
+FILE = "FILE"
+_LISTS = {"INHERITS": ("Class", "base_classes"), "IMPORTS": ("Module", "imports"), "REFERENCES": ("Document", "code_references")}
+_TARGETS = {"INHERITS": ("Class",), "IMPORTS": ("Module",), "REFERENCES": ("Function", "Class")}
+
+
+def index(nodes: DataFrame) -> DataFrame:
+    """NAMES of nodes, and their files; an import asks for what follows its last dot."""
+    out = nodes.where(F.col("label").isin("Function", "Class", "Module") & F.col("name").isNotNull()).select("name", F.col("label").alias("kind"), "uid")
+    for kind, (label, names) in _LISTS.items():
+        asked = nodes.where((F.col("label") == label) & (F.size(names) > 0)).select(F.explode(names).alias("raw"), "uid")
+        name = F.substring_index("raw", ".", -1) if kind == "IMPORTS" else F.col("raw")
+        out = out.unionByName(asked.where("raw is not null").select(name.alias("name"), F.lit(kind).alias("kind"), "uid"))
+    out = out.unionByName(nodes.select(F.coalesce("file", "path").alias("name"), F.lit(FILE).alias("kind"), "uid").where("name is not null"))
+    return out.distinct()
+
+
+def supported(asks: DataFrame, bears: DataFrame) -> DataFrame:
+    """(src_uid, dst_uid, type) of edges for which a name asked for in `asks` is borne in `bears`."""
+    fits = F.lit(False)
+    for kind, labels in _TARGETS.items():
+        other = F.lit(True) if kind == "REFERENCES" else F.col("src_uid") != F.col("dst_uid")
+        fits = fits | ((F.col("type") == kind) & F.col("_label").isin(*labels) & other)
+    a = asks.where(F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("src_uid"), F.col("kind").alias("type"))
+    b = bears.where(~F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("dst_uid"), F.col("kind").alias("_label"))
+    return a.join(b, "name").where(fits).select("src_uid", "dst_uid", "type")
+
+
+def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges across files that a change adds, and those that it takes away.
+
+    `old` and `new` are the changed nodes before and after, `touched` their uids, and `names` the
+    NAMES before, of at least the names that old or new nodes bear or ask for. Each edge at a
+    changed node is counted by the names that support it, before (-1) and after (+1): from changed
+    nodes to all, and from unchanged ones to changed. One whose supports before are all gone goes.
+    """
+    rest = names.join(touched.select("uid").distinct(), "uid", "left_anti")
+    counted = None
+    for rows, sign in ((index(old), -1), (index(new), 1)):
+        found = supported(rows, rest.unionByName(rows)).unionByName(supported(rest, rows))
+        found = found.withColumn("before", F.lit(int(sign < 0))).withColumn("after", F.lit(int(sign > 0)))
+        counted = found if counted is None else counted.unionByName(found)
+    counted = counted.groupBy("src_uid", "dst_uid", "type").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).withColumn("line", F.lit(None).cast("long"))
+    keys = ["src_uid", "dst_uid", "type", "line"]
+    return counted.where("after > 0").select(*keys), counted.where("before > 0 and after = 0").select(*keys)
+
+
 def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "start_line", end: str = "end_line", name: str = "name", order: str = "pos") -> DataFrame:
     """`points` with `inside`: the name of the shortest range of the same key that holds the point, the first of equal ones; null without any.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -126,12 +126,18 @@ class Engine:
 
     def index_full(self, folder: str, repository: str | None = None) -> dict[str, int]:
         """Scan, parse, embed, write with all edges resolved, documents included; returns what was indexed."""
-        nodes, edges = self._graph(scan.files(self.spark, folder), scan.files(self.spark, folder, documents=True), repository)
-        nodes, edges = traverse.cut(as_nodes(nodes)), traverse.cut(as_edges(edges))
-        old_nodes, old_edges = self.store.snapshot()
-        merged = mutate.upsert_nodes(old_nodes, nodes)
-        self.store.write(merged, resolve.resolve(merged, mutate.upsert_edges(old_edges, edges, merged)))
-        return statistics(nodes, edges)
+        return self._ingest(*self._graph(scan.files(self.spark, folder), scan.files(self.spark, folder, documents=True), repository))
+
+    def _ingest(self, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> dict[str, int]:
+        """Write what was made, once, counting it on the way, and commit it."""
+        seen, linked = Observation(), Observation()
+        labels = [F.count_if(F.col("label") == x).alias(x.lower()) for x in LABELS]
+        nodes = traverse.cut(as_nodes(nodes).observe(seen, *labels, F.count("embedding").alias("vectors")))
+        edges = traverse.cut(as_edges(edges).observe(linked, F.count(F.lit(1)).alias("edges")))
+        self.store.ingest(nodes, edges, files)
+        self.store.compact_if_due()
+        counts = {k: v for k, v in seen.get.items() if v or k == "vectors"}
+        return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": linked.get["edges"]}
 
     def index_files(self, rows: list[tuple[str, str]], repository: str | None = None) -> dict[str, int]:
         """Replace what is known of files by their given contents; returns what was indexed."""
@@ -140,14 +146,9 @@ class Engine:
 
     def apply(self, changed: DataFrame, repository: str | None = None) -> dict[str, int]:
         """(path, status, content): delete what D, M and A name, add anew what has content, then resolve. Replay changes nothing."""
-        nodes, edges = mutate.delete_files(*self.store.snapshot(), changed.select(F.col("path").alias("file")))
+        changed = traverse.cut(changed)
         there = changed.where("status <> 'D' and content is not null").select("path", "content")
-        new, links = self._graph(there, there.where(_document()), repository)
-        new, links = traverse.cut(as_nodes(new)), traverse.cut(as_edges(links))
-        merged = mutate.upsert_nodes(nodes, new)
-        joined = mutate.upsert_edges(edges, links, merged)
-        self.store.write(merged, resolve.resolve(merged, joined))
-        return statistics(new, links)
+        return self._ingest(*self._graph(there, there.where(_document()), repository), files=changed.select(F.col("path").alias("file")))
 
     def index_incremental(self, folder: str, base: str = "HEAD~1", head: str = "HEAD", repository: str | None = None) -> dict[str, int]:
         """Apply a git difference; returns how many files were added, modified and deleted. Only the files that it names are read."""
@@ -161,9 +162,7 @@ class Engine:
         """Pull and apply what came; None if nothing did."""
         if not changes.git_pull(folder):
             return None
-        counts = self.index_incremental(folder, "ORIG_HEAD", "HEAD")
-        self.store.tag(repository)
-        return counts
+        return self.index_incremental(folder, "ORIG_HEAD", "HEAD", repository)
 
     def sync_all(self, repositories: dict[str, str]) -> dict[str, dict[str, int] | str | None]:
         """`sync` of all (name, folder); of a repository that fails the error stands for its counts, and the others go on."""
@@ -176,11 +175,5 @@ class Engine:
         return out
 
 
-def statistics(nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
-    """Files, nodes by label and edges of one indexing run."""
-    counts = {r["label"].lower(): r["n"] for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": edges.count()}
-
-
 def _document():
     return X.is_document("path")

@@ -1,94 +1,379 @@
-"""A graph on disk: versioned tables of nodes and edges for each tenant."""
+"""A graph on disk for each tenant: base tables in buckets, a log of small changes, merged on read."""
 
 from __future__ import annotations
 
 import json
 import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
-from ..operators import graph, mutate, resolve
+from ..operators import graph, mutate, resolve, traverse
+from ..operators.resolve import NAMES
 from ..schema import EDGES, NODES, as_edges, as_nodes
+from .log import Log
 
 DEFAULT = "default"
 
 
-class GraphStore:
-    """Nodes and edges of one tenant below `root/kb_<id>`.
+#: Rows of a bucket of a base table, about, as long as there are fewer buckets than slots.
+BUCKET_ROWS = 1 << 16
+#: Residues of the hash of a uid or name. Writers see by them whether they met; a bucket is a slot modulo the number of buckets.
+SLOTS = 4096
+#: Rows of changes up to which they are sent to all executors when tables are read.
+SMALL = 200_000
+#: `compact_if_due` rewrites the base after so many changes, or when they hold more than a quarter of its rows.
+DUE_CHANGES = 32
+
+KEY = ["src_uid", "dst_uid", "type", "line"]
+_GONE = "uid string"
+
+
+def slot(uid: str | Column, n: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(n)).cast("int")
+
+
+@dataclass
+class Change:
+    """What one commit does: nodes and edges that go, then whole nodes and edges that come. A node that goes takes the edges at it along."""
+
+    nodes: DataFrame | None = None
+    gone: DataFrame | None = None
+    edges: DataFrame | None = None
+    edges_gone: DataFrame | None = None
+    #: Slots of the uids that it was made from; None if from all.
+    read: list[int] | None = None
+
+
+class Snapshot:
+    """One version of a graph: base tables and the changes since, merged as they are read.
 
-    A change is written as a new version, nodes by label and edges by type, and then named the
-    current one, so readers never see half of it and a job that fails leaves the old one. A
-    question reads one version; old ones stay until `vacuum`. Folders are reached by Hadoop's
-    file systems only.
+    Base tables lie in buckets: nodes by label and a hash of uid, edges by type and a hash of
+    their source, names by a hash of the name. Changes are small tables of whole rows and of keys
+    that are gone; for each key the last one counts. Rows of changes are few beside the base,
+    which `compact` keeps so, and are sent to all executors where their counted number is small.
+    """
+
+    def __init__(self, store: GraphStore, version: int, base: dict | None, changes: list[tuple[int, dict]]):
+        self.store, self.spark, self.version, self.base, self.changes = store, store.spark, version, base, changes
+
+    @property
+    def buckets(self) -> int:
+        return self.base["buckets"] if self.base else 1
+
+    def rows_changed(self) -> int:
+        return sum(sum(e["rows"].values()) for _, e in self.changes)
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.rows_changed() <= SMALL else df
+
+    def _read_base(self, table: str, schema: StructType, buckets: list[int] | None) -> DataFrame:
+        if not self.base:
+            return self.spark.createDataFrame([], StructType([*schema.fields, StructField("bucket", IntegerType())]))
+        full = StructType([*schema.fields, StructField("bucket", IntegerType())])
+        df = self.spark.read.schema(full).parquet(f"{self.store.path}/{self.base['folder']}/{table}")
+        return df if buckets is None else df.where(F.col("bucket").isin(buckets))
+
+    def _read_changes(self, table: str, schema: StructType | str) -> DataFrame:
+        """Rows of all changes with `_v`, the commit that they came with."""
+        held = [(v, e["folder"]) for v, e in self.changes if e["rows"].get(table)]
+        if not held:
+            return self.spark.createDataFrame([], schema).withColumn("_v", F.lit(0).cast("long"))
+        version = F.create_map(*(F.lit(x) for v, folder in held for x in (folder, v)))
+        df = self.spark.read.schema(schema).parquet(*(f"{self.store.path}/{folder}/{table}" for _, folder in held))
+        own = F.regexp_extract("_metadata.file_path", r"/([0-9a-f]{32})/\w+/[^/]*$", 1)
+        return df.withColumn("_v", F.element_at(version, own).cast("long"))
+
+    def _has(self, *tables: str) -> bool:
+        return any(e["rows"].get(t) for _, e in self.changes for t in tables)
+
+    def _latest(self) -> DataFrame:
+        """(uid, row): the last state of each node that changes name; row is null where it is gone."""
+        new = self._read_changes("nodes", NODES).select("uid", "_v", F.struct(*NODES.fieldNames()).alias("row"))
+        gone = self._read_changes("gone", _GONE).select("uid", "_v", F.lit(None).cast(NODES).alias("row"))
+        last = F.max_by("row", F.struct("_v", F.col("row").isNotNull().alias("there"))).alias("row")
+        return new.unionByName(gone).groupBy("uid").agg(last)
+
+    def nodes(self, slots: list[int] | None = None) -> DataFrame:
+        """All nodes, or those whose uid has one of the slots; then other buckets are not read."""
+        own = None if slots is None else sorted({s % self.buckets for s in slots})
+        rows = self._read_base("nodes", NODES, own).select(*NODES.fieldNames())
+        if slots is not None:
+            rows = rows.where(slot("uid").isin(slots))
+        if not self._has("nodes", "gone"):
+            return rows
+        last = self._latest()
+        if slots is not None:
+            last = last.where(slot("uid").isin(slots))
+        return rows.join(self._small(last.select("uid")), "uid", "left_anti").select(*NODES.fieldNames()).unionByName(last.where("row is not null").select("row.*"))
+
+    def edges(self) -> DataFrame:
+        rows = self._read_base("edges", EDGES, None).select(*EDGES.fieldNames())
+        if not self._has("edges", "edges_gone", "gone"):
+            return rows
+        rows = rows.withColumn("_v", F.lit(self.base["version"] if self.base else 0).cast("long"))
+        if self._has("edges"):
+            new = self._read_changes("edges", EDGES).groupBy(*KEY).agg(F.max("_v").alias("_v"))
+            rows = self._without(rows, new, KEY, F.lit(True)).unionByName(new)
+        if self._has("edges_gone"):
+            rows = self._without(rows, self._read_changes("edges_gone", EDGES).groupBy(*KEY).agg(F.max("_v").alias("_v")), KEY)
+        if self._has("gone"):
+            gone = self._read_changes("gone", _GONE).groupBy("uid").agg(F.max("_v").alias("_v"))
+            for end in ("src_uid", "dst_uid"):
+                rows = self._without(rows, gone.withColumnRenamed("uid", end), [end])
+        return rows.select(*EDGES.fieldNames())
+
+    def _without(self, rows: DataFrame, dead: DataFrame, keys: list[str], when: Column | None = None) -> DataFrame:
+        """Rows that no row of `dead` has the keys of, or only with an older commit."""
+        dead = self._small(dead.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_v").alias("_dead")))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "line" else F.col(k) == F.col(f"_{k}") for k in keys]
+        return rows.join(dead, [*same, F.col("_dead") > F.col("_v") if when is None else when], "left_anti")
+
+    def names(self, slots: list[int] | None = None) -> DataFrame:
+        """(name, kind, uid): the names that nodes bear and ask for, as `resolve.index` has them; of some names' slots, if given."""
+        own = None if slots is None else sorted({s % self.buckets for s in slots})
+        rows = self._read_base("names", NAMES, own).select(*NAMES.fieldNames())
+        if slots is not None:
+            rows = rows.where(slot("name").isin(slots))
+        if not self._has("nodes", "gone"):
+            return rows
+        last = self._latest()
+        new = resolve.index(last.where("row is not null").select("row.*"))
+        if slots is not None:
+            new = new.where(slot("name").isin(slots))
+        return rows.join(self._small(last.select("uid")), "uid", "left_anti").select(*NAMES.fieldNames()).unionByName(new)
+
+
+class GraphStore:
+    """Nodes and edges of one tenant below `root/kb_<id>`, merged on read.
+
+    A commit writes what it changes alone, into a folder of its own, and then an entry of the log,
+    which is all that makes it count; so readers never see half of it, and a job that fails leaves
+    nothing but an unnamed folder. Of two writers that start from one version, the second sees the
+    other's entry; if what it read is untouched it takes the next number, else it makes its change
+    again from the new version. `compact` folds the changes into new base tables, whose content is
+    the same. Old files stay for the answers that still read them, until `vacuum`.
     """
 
     def __init__(self, spark: SparkSession, root: str, business: str = DEFAULT):
         self.spark, self.path = spark, f"{root.rstrip('/')}/kb_{business}"
+        self.log = Log(spark, f"{self.path}/log")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    # versions -----------------------------------------------------------------------------
 
-    def version(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").orderBy(F.desc("value")).first()[0].split(" ")[1]
+    def version(self) -> int | None:
+        return max(self.log.numbers(), default=None)
 
     def exists(self) -> bool:
         return self.version() is not None
 
+    def at(self, version: int | None = None) -> Snapshot:
+        """One version, the last by default, whatever is written meanwhile."""
+        numbers = [n for n in self.log.numbers() if version is None or n <= version]
+        changes: list[tuple[int, dict]] = []
+        base, of = None, 0
+        for n in reversed(numbers):
+            if base and n <= of:
+                break
+            entry = self.log.read(n)
+            if entry["kind"] == "change":
+                changes.append((n, entry))
+            elif not base:
+                base, of = entry, entry.get("of", n)  # a compacted base stands for an older version, and what came in between is on top of it
+        return Snapshot(self, numbers[-1] if numbers else 0, base and base | {"version": of, "number": base["version"]}, changes[::-1])
+
     def snapshot(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges of one version, whatever is written meanwhile."""
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        return self.spark.read.schema(NODES).parquet(f"{self.path}/{v}/nodes"), self.spark.read.schema(EDGES).parquet(f"{self.path}/{v}/edges")
+        now = self.at()
+        return now.nodes(), now.edges()
 
     def nodes(self) -> DataFrame:
-        return self.snapshot()[0]
+        return self.at().nodes()
 
     def edges(self) -> DataFrame:
-        return self.snapshot()[1]
+        return self.at().edges()
+
+    def bytes_of(self, version: int) -> int:
+        """Bytes of the files that a commit wrote."""
+        fs, p = self.log.fs(f"{self.path}/{self.log.read(version)['folder']}")
+        return fs.getContentSummary(p).getLength()
+
+    # commits ------------------------------------------------------------------------------
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Write a new version; old ones stay for the answers that still read them, until `vacuum`."""
-        new = uuid.uuid4().hex
-        as_nodes(nodes).write.partitionBy("label").parquet(f"{self.path}/{new}/nodes")
-        as_edges(edges).write.partitionBy("type").parquet(f"{self.path}/{new}/edges")
-        mark = self.spark.createDataFrame([(f"{time.time_ns():020d} {new}",)], "value string").coalesce(1)
-        mark.write.mode("append").text(f"{self.path}/current")
+        """Replace all by these tables; a commit that came meanwhile is replaced too."""
+        entry = self._write_base(nodes, edges, max(nodes.count(), edges.count()))
+        number = (self.version() or 0) + 1
+        while not self.log.add(number, entry | {"version": number}):
+            number += 1
+
+    def _create(self, nodes: DataFrame, edges: DataFrame) -> bool:
+        """Write the first version; False if another writer did."""
+        entry = self._write_base(nodes, edges, max(nodes.count(), edges.count()))
+        done = self.log.add(1, entry | {"version": 1})
+        if not done:
+            self._delete(entry["folder"])
+        return done
+
+    def _write_base(self, nodes: DataFrame, edges: DataFrame, rows: int) -> dict:
+        """Write base tables for about so many rows."""
+        folder, counts = uuid.uuid4().hex, Observation()
+        nodes, edges, buckets = as_nodes(nodes), as_edges(edges), 1
+        while buckets * BUCKET_ROWS < rows and buckets < SLOTS:
+            buckets *= 2
+
+        def put(df: DataFrame, table: str, key: str, *by: str) -> None:
+            df = df.withColumn("bucket", slot(key) % buckets).hint("rebalance", *by, "bucket")
+            df.write.partitionBy(*by, "bucket").parquet(f"{self.path}/{folder}/{table}")
+
+        put(nodes.observe(counts, F.count(F.lit(1)).alias("n")), "nodes", "uid", "label")
+        put(edges, "edges", "src_uid", "type")
+        put(resolve.index(nodes), "names", "name")
+        return {"kind": "base", "folder": folder, "buckets": buckets, "rows": {"nodes": counts.get["n"]}, "at": time.time_ns()}
+
+    def change(self, make: Callable[[Snapshot], Change | None]) -> dict[str, int]:
+        """Commit what `make` makes of the current version, again if another writer changed what it was made from; returns rows by table."""
+        while True:
+            now = self.at()
+            done = make(now)
+            if done is None:
+                return {}
+            entry = self._write_change(done)
+            if not any(entry["rows"].values()):
+                self._delete(entry["folder"])
+                return entry["rows"]
+            number = now.version + 1
+            while not self.log.add(number, entry):
+                other = self.log.read(number)
+                if self._met(done, other):
+                    self._delete(entry["folder"])
+                    break
+                number += 1
+            else:
+                return entry["rows"]
+
+    @staticmethod
+    def _met(done: Change, other: dict) -> bool:
+        if other["kind"] == "base":
+            return "of" not in other
+        return done.read is None or bool(set(done.read) & set(other["slots"]))
+
+    def _write_change(self, done: Change) -> dict:
+        """Write the tables of a change; their rows and slots are observed while they are written."""
+        folder, rows, slots = uuid.uuid4().hex, {}, set()
+        for table, df, ends in (("nodes", done.nodes, ["uid"]), ("gone", done.gone, ["uid"]), ("edges", done.edges, KEY[:2]), ("edges_gone", done.edges_gone, KEY[:2])):
+            if df is not None:
+                seen = Observation()
+                df = as_nodes(df) if table == "nodes" else df.select("uid").distinct() if table == "gone" else as_edges(df).dropDuplicates(KEY)
+                met = [F.collect_set(slot(c)).alias(c) for c in ends]  # at most SLOTS numbers each
+                df.observe(seen, F.count(F.lit(1)).alias("n"), *met).write.parquet(f"{self.path}/{folder}/{table}")
+                rows[table] = seen.get["n"]
+                slots.update(*(seen.get[c] for c in ends))
+        return {"kind": "change", "folder": folder, "rows": rows, "slots": sorted(slots), "at": time.time_ns()}
+
+    def compact(self) -> None:
+        """Fold all changes into new base tables. Commits that come meanwhile stay on top of them."""
+        now = self.at()
+        if now.changes:
+            rows = (now.base or {"rows": {"nodes": 0}})["rows"]["nodes"] + now.rows_changed()
+            entry = self._write_base(now.nodes(), now.edges(), rows) | {"of": now.version}
+            number = now.version + 1
+            while not self.log.add(number, entry | {"version": number}):
+                if self.log.read(number)["kind"] == "base":
+                    self._delete(entry["folder"])
+                    return
+                number += 1
+
+    def compact_if_due(self) -> bool:
+        now = self.at()
+        due = len(now.changes) >= DUE_CHANGES or now.rows_changed() > max(10_000, (now.base or {"rows": {"nodes": 0}})["rows"]["nodes"] // 4)
+        if due:
+            self.compact()
+        return due
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete all versions but the last `keep`; returns how many went. Answers that read those end with an error."""
+        """Delete what the last `keep` versions do not need, folding changes first; returns how many versions went. Answers that read those end with an error."""
         if not self.exists():
             return 0
-        marks = [r[0].split(" ")[1] for r in self.spark.read.text(f"{self.path}/current").orderBy(F.desc("value")).collect()]
-        gone = 0
-        for old in marks[max(1, keep) :]:
-            fs, p = self._fs(f"{self.path}/{old}")
-            gone += bool(fs.exists(p) and fs.delete(p, True))
-        return gone
+        if keep <= 1:
+            self.compact()
+        entries = {n: self.log.read(n) for n in self.log.numbers()}
+        content = [n for n, e in entries.items() if "of" not in e]
+        first = content[-max(1, keep)] if max(1, keep) <= len(content) else content[0]
+        oldest = self.at(None if keep <= 1 else first)
+        floor = min([n for n, _ in oldest.changes] + ([oldest.base["number"]] if oldest.base else []))
+        for n, entry in entries.items():
+            if n < floor:
+                self.log.delete(n)
+                self._delete(entry["folder"])
+        return sum(n < first for n in content)
+
+    def _delete(self, folder: str) -> None:
+        fs, p = self.log.fs(f"{self.path}/{folder}")
+        fs.delete(p, True)
 
     # changes ------------------------------------------------------------------------------
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
         """Nodes first, then the edges whose ends are there; returns how many given rows were merged, repeated ones too."""
-        old_nodes, old_edges = self.snapshot()
-        merged, edges = mutate.upsert_nodes(old_nodes, nodes), as_edges(edges)
-        self.write(merged, mutate.upsert_edges(old_edges, edges, merged))
-        return {"nodes": nodes.count(), "edges": mutate.with_ends(edges, self.nodes()).count()}
+        given = Observation()
+        nodes, edges = traverse.cut(nodes.observe(given, F.count(F.lit(1)).alias("n"))), traverse.cut(as_edges(edges))
+        sound = 0
+
+        def make(now: Snapshot) -> Change:
+            nonlocal sound
+            met = Observation()
+            read = _slots(nodes.select("uid"), edges.select("src_uid"), edges.select("dst_uid"))
+            old = now.nodes(read)
+            merged = mutate.upsert_nodes(old.join(_keys(nodes), "uid", "left_semi").select(*NODES.fieldNames()), nodes)
+            there = old.select("uid").unionByName(nodes.select("uid")).distinct()
+            kept = traverse.cut(mutate.with_ends(edges, there).observe(met, F.count(F.lit(1)).alias("n")))
+            sound = met.get["n"]
+            return Change(nodes=merged, edges=kept, read=read)
+
+        self.change(make)
+        return {"nodes": given.get["n"], "edges": sound}
+
+    def ingest(self, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> dict[str, int]:
+        """Take the nodes of `files` (column file) away, merge the given ones, and bring the edges across files up to date.
+
+        Edges across files change only by the names that changed nodes bear or ask for, or did so
+        before; those names' buckets are read, and no others. The given tables are read several times.
+        """
+        if not self.exists():
+            merged = traverse.cut(mutate.upsert_nodes(self.spark.createDataFrame([], NODES), nodes))
+            linked = traverse.cut(resolve.resolve(merged, mutate.upsert_edges(self.spark.createDataFrame([], EDGES), edges, merged)))
+            if self._create(merged, linked):
+                return {}
+
+        def make(now: Snapshot) -> Change:
+            gone = None
+            if files is not None:
+                keys = files.select(F.col("file").alias("_file")).distinct()
+                held = now.names(_slots(keys)).where(F.col("kind") == resolve.FILE)
+                gone = traverse.cut(held.join(keys, F.col("name") == F.col("_file"), "left_semi").select("uid").distinct())
+            uids = nodes.select("uid") if gone is None else nodes.select("uid").unionByName(gone)
+            read = _slots(uids, edges.select("src_uid"), edges.select("dst_uid"))
+            met = now.nodes(read)
+            old = met.join(_keys(uids), "uid", "left_semi").select(*NODES.fieldNames())
+            kept = old if gone is None else old.join(gone, "uid", "left_anti").select(*NODES.fieldNames())
+            old, new = traverse.cut(old), traverse.cut(mutate.upsert_nodes(kept, nodes))
+            there = met.select("uid") if gone is None else met.join(gone, "uid", "left_anti").select("uid")
+            sound = mutate.with_ends(edges, there.unionByName(new.select("uid")).distinct())
+            asked = traverse.cut(resolve.index(old).unionByName(resolve.index(new)).where(F.col("kind") != resolve.FILE).select("name").distinct())
+            names = now.names(_slots(asked)).join(asked, "name", "left_semi")
+            added, removed = resolve.delta(old, new, uids, names)
+            return Change(nodes=new, gone=gone, edges=sound.select(*EDGES.fieldNames()).unionByName(as_edges(added)), edges_gone=removed, read=None)
+
+        return self.change(make)
 
     def delete(self, which: Column) -> int:
         """Remove nodes and the edges at them; returns how many nodes there were."""
-        nodes, edges = self.snapshot()
-        gone = nodes.where(which).count()
-        if gone:
-            self.write(*mutate.delete_nodes(nodes, edges, which))
-        return gone
+        return self.change(lambda now: Change(gone=now.nodes().where(which).select("uid"))).get("gone", 0)
 
     def delete_file(self, file: str) -> int:
         return self.delete(mutate.of_files([file]))
@@ -99,43 +384,85 @@ class GraphStore:
     def cleanup_excluded(self, folders: tuple[str, ...] = X.EXCLUDED) -> int:
         return self.delete(mutate.in_folders(folders))
 
-    def tag(self, repository: str, folder: str | None = None) -> None:
-        nodes, edges = self.snapshot()
-        self.write(mutate.tag_unowned(nodes, repository, folder), edges)
+    def tag(self, repository: str, folder: str | None = None) -> int:
+        """Give unowned nodes a repository; returns how many."""
+        return self._rewrite(lambda nodes: mutate.tag_unowned(nodes, repository, folder), "repository")
+
+    def set_fqn(self, uid: str, fqn: str) -> int:
+        own = self.spark.range(1).select(slot(F.lit(uid))).first()[0]
+        return self._rewrite(lambda nodes: mutate.set_fqn(nodes, uid, fqn), "fqn", [own])
+
+    def _rewrite(self, step: Callable[[DataFrame], DataFrame], column: str, read: list[int] | None = None) -> int:
+        """Write the nodes whose `column` the step changes; returns how many."""
+
+        def make(now: Snapshot) -> Change:
+            old = now.nodes(read).withColumn("_old", F.col(column))
+            return Change(nodes=step(old).where(~F.col(column).eqNullSafe(F.col("_old"))), read=read)
+
+        return self.change(make).get("nodes", 0)
+
+    def resolve(self) -> dict[str, int]:
+        """Make the edges across files anew, and write those that differ."""
 
-    def set_fqn(self, uid: str, fqn: str) -> None:
-        nodes, edges = self.snapshot()
-        self.write(mutate.set_fqn(nodes, uid, fqn), edges)
+        def make(now: Snapshot) -> Change:
+            nodes, edges = now.nodes(), now.edges()
+            old, new = edges.where(F.col("type").isin(*resolve.RESOLVED)), resolve.resolve(nodes, edges.limit(0))
+            differ = lambda a, b: a.join(b.alias("b"), [a[k].eqNullSafe(F.col(f"b.{k}")) for k in KEY], "left_anti")
+            return Change(edges=differ(new, old), edges_gone=differ(old, new))
 
-    def resolve(self) -> None:
-        nodes, edges = self.snapshot()
-        self.write(nodes, resolve.resolve(nodes, edges))
+        return self.change(make)
 
     def backfill_fqn(self) -> int:
-        nodes, edges = self.snapshot()
-        lack = nodes.where("label in ('Function', 'Class') and fqn is null").count()
-        filled = graph.backfill_fqn(nodes, edges)
-        left = filled.where("label in ('Function', 'Class') and fqn is null").count()
-        if left < lack:
-            self.write(filled, edges)
-        return lack - left
+        def make(now: Snapshot) -> Change:
+            lack = "label in ('Function', 'Class') and fqn is null"
+            before = now.nodes().where(lack).select("uid")
+            return Change(nodes=graph.backfill_fqn(now.nodes(), now.edges()).where("fqn is not null").join(before, "uid", "left_semi"))
+
+        return self.change(make).get("nodes", 0)
 
     def migrate_paths(self, repository: str) -> int:
         """Make the repository's absolute paths relative to the folder that its sample files share; returns the nodes changed."""
-        nodes, edges = self.snapshot()
+        nodes = self.nodes()
         own = nodes.where(F.col("repository") == repository)
         root = own.where(F.col("file").startswith("/")).select(F.concat(X.repository_root("file", F.lit(repository)), F.lit("/")).alias("r")).where("r is not null").groupBy("r").count().orderBy(F.desc("count"), "r").first()
         if root is None:
             return 0
         n = graph.prefix_count(nodes, repository, root["r"]).first()["n"]
-        self.write(*mutate.strip_prefix(nodes, edges, root["r"]))
+
+        def make(now: Snapshot) -> Change:
+            nodes, edges = now.nodes(), now.edges()
+            moved, turned = mutate.strip_prefix(nodes.withColumn("_old", F.col("uid")), edges.withColumn("_s", F.col("src_uid")).withColumn("_d", F.col("dst_uid")), root["r"])
+            moved = traverse.cut(moved.join(nodes.select(F.col("uid").alias("_old"), F.struct("uid", "file", "path").alias("_was")), "_old").where(~F.struct("uid", "file", "path").eqNullSafe(F.col("_was"))))
+            again = turned.where((F.col("src_uid") != F.col("_s")) | (F.col("dst_uid") != F.col("_d")))
+            return Change(nodes=moved, gone=moved.select(F.col("_old").alias("uid")), edges=again.unionByName(_at(turned, moved)))
+
+        self.change(make)
         return n
 
     def drop(self) -> None:
-        fs, p = self._fs(self.path)
+        fs, p = self.log.fs(self.path)
         fs.delete(p, True)
 
 
+def _at(edges: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges at moved nodes that kept their uids, which go with the old rows too."""
+    same = moved.where("uid = _old").select("uid")
+    return edges.join(same.withColumnRenamed("uid", "src_uid"), "src_uid", "left_semi").unionByName(edges.join(same.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_semi"), allowMissingColumns=True)
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select("uid").distinct()
+
+
+def _slots(*uids: DataFrame) -> list[int]:
+    """The slots of the uids in one-column tables, SLOTS at most."""
+    found = None
+    for df in uids:
+        own = df.select(slot(df.columns[0]).alias("s")).distinct()
+        found = own if found is None else found.unionByName(own)
+    return sorted(r["s"] for r in found.distinct().collect() if r["s"] is not None)
+
+
 class Businesses:
     """Tenants: a small table of (id, metadata as JSON), and a store for each."""
 
