@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +52,14 @@ def payload(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def entities(sources: DataFrame) -> DataFrame:
-    """Parsed rows (path, language, and parse.SCHEMA) of source files; each file is parsed alone, in batches."""
+    """Parsed rows (path, language, and parse.SCHEMA) of source files, each read alone by a table function; `broken` is the line of a file's first error."""
+    known = sources.select("path", X.language("path").alias("language"), "content").where("language is not null and content is not null")
+    return known.lateralJoin(parse.ParseSource(F.col("language").outer(), F.col("content").outer())).drop("content")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in parse.SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [(p, lang, *r) for p, lang, text in zip(batch["path"], batch["language"], batch["content"], strict=True) for r in parse.parse(lang, text)]
-            yield pd.DataFrame(rows, columns=["path", "language", *names])
 
-    known = sources.select("path", X.language("path").alias("language"), "content").where("language is not null")
-    return known.mapInPandas(work, f"path string, language string, {parse.SCHEMA}")
+def register(spark: SparkSession) -> None:
+    """Make the table function `parse_source(language, content)` known to SQL."""
+    spark.udtf.register("parse_source", parse.ParseSource)
 
 
 def code_graph(sources: DataFrame, module_identity: str = "path") -> tuple[DataFrame, DataFrame]:
