@@ -91,26 +91,6 @@ def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame)
     return counted.where("after > 0").select(*keys), counted.where("before > 0 and after = 0").select(*keys)
 
 
-def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str = "start_line", end: str = "end_line", name: str = "name", order: str = "pos") -> DataFrame:
-    """`points` with `inside`: the name of the shortest range of the same key that holds the point, the first of equal ones; null without any.
-
-    The key is the join's, the range a condition on it. Ranges are aggregated per point, so
-    overlapping ranges never multiply what leaves the join's stage.
-    """
-    r = ranges.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias("_n"), F.col(order).alias("_o"))
-    numbered = points.withColumn("_id", F.monotonically_increasing_id())
-    met = numbered.join(r, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e")), "left")
-    first = F.min_by("_n", F.struct(F.col("_e") - F.col("_s"), "_o")).alias("inside")
-    return met.groupBy("_id", *points.columns).agg(first).drop("_id")
-
-
-def enclosing(items: DataFrame, ranges: DataFrame, key: str, order: str = "pos") -> DataFrame:
-    """(key, item columns, parent): the last range, in file order, that holds an item's own range."""
-    r = ranges.select(F.col(key).alias("_k"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("name").alias("_n"), F.col(order).alias("_o"))
-    met = items.join(r, (F.col(key) == F.col("_k")) & (F.col("start_line") >= F.col("_s")) & (F.col("end_line") <= F.col("_e")), "left")
-    return met.groupBy(*items.columns).agg(F.max_by("_n", "_o").alias("parent"))
-
-
 def calls(functions: DataFrame, sites: DataFrame) -> DataFrame:
     """CALLS edges of call sites (file, caller, callee, line) to functions of the same file; of namesakes the last counts, calls of itself do not."""
     last = functions.groupBy("file", "name").agg(F.max_by("uid", F.struct("start_line", "uid")).alias("uid"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as X
-from ..operators import embed, graph, mutate, resolve, search, traverse
+from ..operators import embed, graph, intervals, mutate, resolve, search, traverse
 from ..schema import as_edges, as_nodes, uid
 from ..sources import changes, scan
 from ..streaming.feed import last_of_each
@@ -308,13 +308,13 @@ def _ranges(spark, d):
 @query("innermost_range", sql=f"WITH r AS ({_RANGES}) SELECT c.conv_id, c.turn, c.turn * 3 AS line, (SELECT 'f' || arg_min(r.turn, (r.e - r.s) * 1000 + r.turn) FROM r WHERE r.conv_id = c.conv_id AND c.turn * 3 BETWEEN r.s AND r.e) AS inside FROM conversations c")
 def _(spark, d):
     points = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 3).alias("line"))
-    return resolve.innermost(points, _ranges(spark, d), "conv_id", "line")
+    return intervals.innermost(points, _ranges(spark, d), "conv_id", "line")
 
 
 @query("enclosing_range", sql=f"WITH r AS ({_RANGES}) SELECT c.conv_id, c.turn, (SELECT 'f' || max(r.turn) FROM r WHERE r.conv_id = c.conv_id AND c.turn * 3 >= r.s AND c.turn * 3 + 1 <= r.e) AS parent FROM conversations c")
 def _(spark, d):
     items = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 3).alias("start_line"), (F.col("turn") * 3 + 1).alias("end_line"))
-    return resolve.enclosing(items, _ranges(spark, d), "conv_id").select("conv_id", "turn", "parent")
+    return intervals.enclosing(items, _ranges(spark, d), "conv_id").select("conv_id", "turn", "parent")
 
 
 @query("resolve_calls", sql="""WITH f AS (SELECT p_brand AS file, p_name AS name, max(p_partkey) AS k FROM part GROUP BY ALL),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import graph, mutate, resolve, search, traverse
+from graphloom.operators import graph, intervals, mutate, resolve, search, traverse
 from graphloom.plans.engine import Engine
 from graphloom.plans.store import Businesses
 from graphloom.schema import NODES, as_edges, as_nodes, uid
@@ -120,7 +120,7 @@ def test_resolve_fans_out_to_namesakes_and_skips_self(spark):
 def test_innermost_range_takes_the_first_of_equal_ones(spark):
     ranges = spark.createDataFrame([("k", 1, 9, "out", 0), ("k", 3, 5, "x", 1), ("k", 4, 6, "y", 2)], "key string, start_line int, end_line int, name string, pos int")
     points = spark.createDataFrame([("k", 4), ("k", 6), ("k", 99), ("other", 4)], "key string, line int")
-    got = {(r["key"], r["line"]): r["inside"] for r in resolve.innermost(points, ranges, "key", "line").collect()}
+    got = {(r["key"], r["line"]): r["inside"] for r in intervals.innermost(points, ranges, "key", "line").collect()}
     assert got == {("k", 4): "x", ("k", 6): "y", ("k", 99): None, ("other", 4): None}
 
 
