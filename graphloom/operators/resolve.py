@@ -44,23 +44,35 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Names that nodes bear, with their label as kind, and names that they ask for, with the type of the edge.
 NAMES = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "uid")])
-#: The kind of the name under which a node's file, or a module's path, is kept.
-FILE = "FILE"
+#: Kinds of names under which a node's file, or a module's path, and a qualified name are kept.
+FILE, FQN = "FILE", "FQN"
 _LISTS = {"INHERITS": ("Class", "base_classes"), "IMPORTS": ("Module", "imports"), "REFERENCES": ("Document", "code_references")}
 _TARGETS = {"INHERITS": ("Class",), "IMPORTS": ("Module",), "REFERENCES": ("Function", "Class")}
 
 
 def index(nodes: DataFrame) -> DataFrame:
-    """NAMES of nodes, and their files; an import asks for what follows its last dot."""
+    """NAMES of nodes, their files and qualified names; an import asks for what follows its last dot."""
     out = nodes.where(F.col("label").isin("Function", "Class", "Module") & F.col("name").isNotNull()).select("name", F.col("label").alias("kind"), "uid")
     for kind, (label, names) in _LISTS.items():
         asked = nodes.where((F.col("label") == label) & (F.size(names) > 0)).select(F.explode(names).alias("raw"), "uid")
         name = F.substring_index("raw", ".", -1) if kind == "IMPORTS" else F.col("raw")
         out = out.unionByName(asked.where("raw is not null").select(name.alias("name"), F.lit(kind).alias("kind"), "uid"))
     out = out.unionByName(nodes.select(F.coalesce("file", "path").alias("name"), F.lit(FILE).alias("kind"), "uid").where("name is not null"))
+    out = out.unionByName(nodes.where("fqn is not null").select(F.col("fqn").alias("name"), F.lit(FQN).alias("kind"), "uid"))
     return out.distinct()
 
 
+GRAMS = T.StructType([T.StructField(c, T.StringType()) for c in ("gram", "name")])
+
+
+def grams(nodes: DataFrame) -> DataFrame:
+    """(gram, name): every three letters in a row, in lower case, of the distinct names of functions, classes and modules."""
+    names = nodes.where(F.col("label").isin("Function", "Class", "Module") & (F.length("name") >= 3)).select("name").distinct()
+    low = F.lower("name")
+    each = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return names.where(F.length(low) >= 3).select(F.explode(F.array_distinct(each)).alias("gram"), "name")
+
+
 def supported(asks: DataFrame, bears: DataFrame) -> DataFrame:
     """(src_uid, dst_uid, type) of edges for which a name asked for in `asks` is borne in `bears`."""
     fits = F.lit(False)

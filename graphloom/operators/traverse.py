@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_old(spark: SparkSession, hours: float = 24) -> int:
+    """Delete tables that `cut` wrote so long ago; answers that still read them end with an error. Returns how many went."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    fs, gone = place.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    if fs.exists(place):
+        for x in fs.listStatus(place):
+            if x.getPath().getName().startswith("cut-") and x.getModificationTime() < (time.time() - hours * 3600) * 1000:
+                gone += bool(fs.delete(x.getPath(), True))
+    return gone
+
+
 def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     """`df`, broadcast where it has at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -13,7 +13,7 @@ from ..operators import embed, graph, mutate, resolve, search, traverse
 from ..schema import EDGE_TYPES, LABELS, as_edges, as_nodes
 from ..sources import changes, scan
 from . import readonly
-from .store import GraphStore
+from .store import GraphStore, Snapshot
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -40,7 +40,8 @@ class Engine:
 
     def ask(self, query_type: str, name: str = "", file: str = "", depth: int = 3, direction: str = "downstream", entity_type: str = "any", sql: str = "") -> DataFrame:
         """The nine kinds of structured question; `inheritance` and `module_deps` are other names of two of them."""
-        n, e = self.store.snapshot()
+        now = self.store.at()
+        n, e = now.nodes(), now.edges()
         _within("depth", depth, 1, 10)
         _one_of("direction", direction, "upstream", "downstream", "parents", "children")
         _one_of("entity_type", entity_type, "any", "function", "class")
@@ -50,8 +51,8 @@ class Engine:
             "class_methods": lambda: graph.class_methods(n, e, name),
             "module_dependencies": lambda: graph.module_dependencies(n, e, name),
             "reverse_dependencies": lambda: graph.module_dependencies(n, e, name, reverse=True),
-            "find_entity": lambda: graph.find_entity(n, name, entity_type),
-            "file_entities": lambda: graph.file_entities(n, file),
+            "find_entity": lambda: graph.find_entity(now.lookup((*graph.CODE, resolve.FQN), [name]), name, entity_type),
+            "file_entities": lambda: graph.file_entities(now.lookup((resolve.FILE,), [file]), file),
             "graph_stats": lambda: graph.graph_stats(n, e),
             "raw_sql": lambda: self.sql(sql),
         }
@@ -63,21 +64,23 @@ class Engine:
     def search(self, query: str, k: int = 10, entity_type: str = "all") -> DataFrame:
         """Keyword and vector hits, fused; the type narrows the vector hits only."""
         _one_of("entity_type", entity_type, "all", "function", "class", "document")
-        n, e = self.store.snapshot()
+        now = self.store.at()
         labels = {"function": ("Function",), "class": ("Class",), "document": ("Document",)}.get(entity_type, ("Function", "Class", "Document"))
-        return search.fuse(self._keyword(n, e, query, _within("k", k, 1, 50)), search.semantic_search(n, self.encode, query, k, labels), k)
+        return search.fuse(self._keyword(now, query, _within("k", k, 1, 50)), search.semantic_search(now.nodes(), self.encode, query, k, labels), k)
 
-    def _keyword(self, nodes: DataFrame, edges: DataFrame, query: str, k: int) -> DataFrame:
+    def _keyword(self, now: Snapshot, query: str, k: int) -> DataFrame:
+        """Hits of the first three identifiers; those that are no qualified names are looked for by the index of names' letters."""
         hits = None
         for word in search.words_of(self.spark, query)[:3] or [query]:
-            rows = search.keyword_search(nodes, edges, word, k)
+            qualified = "#" in word or word.count(".") >= 2
+            rows = search.keyword_search(now.nodes() if qualified else now.holding(word.strip()), now.edges(), word, k)
             hits = rows if hits is None else hits.unionByName(rows)
         first = Window.partitionBy("uid").orderBy(F.desc("score"))
         return hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
     def keyword(self, query: str, k: int = 10) -> DataFrame:
         """Keyword hits alone, without vectors: of the question's first three identifiers, the best `k`."""
-        return self._keyword(*self.store.snapshot(), query, _within("k", k, 1, 50)).orderBy(F.desc("score"), "uid").limit(k)
+        return self._keyword(self.store.at(), query, _within("k", k, 1, 50)).orderBy(F.desc("score"), "uid").limit(k)
 
     def hybrid(self, query: str, k: int = 5, expand_depth: int = 2, callers: bool = True, callees: bool = True) -> tuple[DataFrame, DataFrame]:
         return search.hybrid_search(*self.store.snapshot(), self.encode, query, _within("k", k, 1, 20), _within("expand_depth", expand_depth, 1, 5), callers, callees)

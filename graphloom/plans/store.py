@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
 from ..operators import graph, mutate, resolve, traverse
-from ..operators.resolve import NAMES
+from ..operators.resolve import GRAMS, NAMES
 from ..schema import EDGES, NODES, as_edges, as_nodes
 from .log import Log
 
@@ -54,7 +54,7 @@ class Snapshot:
     """One version of a graph: base tables and the changes since, merged as they are read.
 
     Base tables lie in buckets: nodes by label and a hash of uid, edges by type and a hash of
-    their source, names by a hash of the name. Changes are small tables of whole rows and of keys
+    their source, names and grams by hashes of theirs. Changes are small tables of whole rows and of keys
     that are gone; for each key the last one counts. Rows of changes are few beside the base,
     which `compact` keeps so, and are sent to all executors where their counted number is small.
     """
@@ -134,6 +134,44 @@ class Snapshot:
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "line" else F.col(k) == F.col(f"_{k}") for k in keys]
         return rows.join(dead, [*same, F.col("_dead") > F.col("_v") if when is None else when], "left_anti")
 
+    def lookup(self, kinds: tuple[str, ...], names: list[str]) -> DataFrame:
+        """The nodes that bear one of a few names (by the label as kind), or have one as file or qualified name; other buckets are not read."""
+        asked = self.spark.createDataFrame([(x,) for x in names], "name string")
+        held = self.names(_slots(asked)).where(F.col("kind").isin(*kinds) & F.col("name").isin(*names))
+        return self._of(held.select("uid").distinct())
+
+    def _of(self, uids: DataFrame) -> DataFrame:
+        return self.nodes(_slots(uids)).join(uids, "uid", "left_semi").select(*NODES.fieldNames())
+
+    def grams(self, slots: list[int]) -> DataFrame:
+        """(gram, name) of some grams' slots. Names that no node bears any more may be among them."""
+        rows = self._read_base("grams", GRAMS, sorted({s % self.buckets for s in slots})).where(slot("gram").isin(slots)).select(*GRAMS.fieldNames())
+        if not self._has("nodes"):
+            return rows
+        return rows.unionByName(resolve.grams(self._latest().where("row is not null").select("row.*")).where(slot("gram").isin(slots))).distinct()
+
+    def holding(self, word: str) -> DataFrame:
+        """The functions, classes and modules whose name holds a word of any case, by the posting lists of its grams.
+
+        The three rarest lists are intersected, and what they leave is verified. Shorter words
+        than a gram are looked for in all nodes.
+        """
+        low = word.lower()
+        parts = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+        code = F.col("label").isin(*graph.CODE)
+        if not parts:
+            return self.nodes().where(code & F.lower("name").contains(low))
+        asked = self.spark.createDataFrame([(x,) for x in parts], "gram string")
+        rows = self.grams(_slots(asked)).where(F.col("gram").isin(*parts))
+        sizes = {r["gram"]: r["count"] for r in rows.groupBy("gram").count().collect()}
+        if len(sizes) < len(parts):
+            return self.nodes([]).where(code)
+        rare = sorted(parts, key=lambda x: (sizes[x], x))[:3]
+        names = rows.where(F.col("gram").isin(*rare)).groupBy("name").count().where((F.col("count") == len(rare)) & F.lower("name").contains(low)).select("name")
+        names = traverse.cut(names)
+        held = self.names(_slots(names)).where(F.col("kind").isin(*graph.CODE)).join(names, "name", "left_semi")
+        return self._of(traverse.cut(held.select("uid").distinct()))
+
     def names(self, slots: list[int] | None = None) -> DataFrame:
         """(name, kind, uid): the names that nodes bear and ask for, as `resolve.index` has them; of some names' slots, if given."""
         own = None if slots is None else sorted({s % self.buckets for s in slots})
@@ -233,6 +271,7 @@ class GraphStore:
         put(nodes.observe(counts, F.count(F.lit(1)).alias("n")), "nodes", "uid", "label")
         put(edges, "edges", "src_uid", "type")
         put(resolve.index(nodes), "names", "name")
+        put(resolve.grams(nodes), "grams", "gram")
         return {"kind": "base", "folder": folder, "buckets": buckets, "rows": {"nodes": counts.get["n"]}, "at": time.time_ns()}
 
     def change(self, make: Callable[[Snapshot], Change | None]) -> dict[str, int]:
@@ -310,6 +349,7 @@ class GraphStore:
             if n < floor:
                 self.log.delete(n)
                 self._delete(entry["folder"])
+        traverse.forget_old(self.spark)
         return sum(n < first for n in content)
 
     def _delete(self, folder: str) -> None:
@@ -364,7 +404,7 @@ class GraphStore:
             old, new = traverse.cut(old), traverse.cut(mutate.upsert_nodes(kept, nodes))
             there = met.select("uid") if gone is None else met.join(gone, "uid", "left_anti").select("uid")
             sound = mutate.with_ends(edges, there.unionByName(new.select("uid")).distinct())
-            asked = traverse.cut(resolve.index(old).unionByName(resolve.index(new)).where(F.col("kind") != resolve.FILE).select("name").distinct())
+            asked = traverse.cut(resolve.index(old).unionByName(resolve.index(new)).where(~F.col("kind").isin(resolve.FILE, resolve.FQN)).select("name").distinct())
             names = now.names(_slots(asked)).join(asked, "name", "left_semi")
             added, removed = resolve.delta(old, new, uids, names)
             return Change(nodes=new, gone=gone, edges=sound.select(*EDGES.fieldNames()).unionByName(as_edges(added)), edges_gone=removed, read=None)
