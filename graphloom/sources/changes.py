@@ -29,7 +29,7 @@ def parse_diff(output: str) -> list[tuple[str, str]]:
 
 def git_changes(spark: SparkSession, folder: str, base: str = "HEAD~1", head: str = "HEAD", documents: bool = False) -> DataFrame:
     """Changed source files, or documents, outside excluded folders. The diff is taken where the driver runs, as the working copy is there."""
-    done = subprocess.run(["git", "-C", folder, "diff", "--name-status", base, head, "--"], capture_output=True, text=True, timeout=30, check=True)
+    done = subprocess.run(["git", "-C", folder, "-c", "core.quotePath=off", "diff", "--name-status", base, head, "--"], capture_output=True, text=True, timeout=30, check=True)
     rows = spark.createDataFrame(parse_diff(done.stdout), SCHEMA)
     return rows.where((X.is_document("path") if documents else X.language("path").isNotNull()) & ~X.excluded("path"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as X
 from ..plans.engine import Engine
+from ..sources import git_feed
 
 SCHEMA = "path string, status string, content string, seq long"
 
@@ -16,6 +18,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).json(folder)
 
 
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """Changed source files and documents of a git working copy, commit by commit, as a stream."""
+    changed = git_feed.load(spark, folder, stream=True).withColumn("seq", F.lit(0).cast("long"))
+    return changed.where((X.language("path").isNotNull() | X.is_document("path")) & ~X.excluded("path"))
+
+
 def last_of_each(batch: DataFrame) -> DataFrame:
     """The last change of each path in a batch."""
     w = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("status"))
