@@ -38,13 +38,15 @@ class OnnxEncoder:
     """Masked mean of an ONNX model's token vectors, scaled to length 1. Needs onnxruntime, tokenizers and local files.
 
     Models take so many tokens at most; what lies behind the first `most` of a text is not encoded.
+    Texts are put in order of their tokens and cut into runs of at most `budget` tokens, padding
+    included, or of one text; so little is padded, and one long text makes no large batch of others.
     """
 
     #: Sessions and tokenizers of this process by their files, so that a worker loads them once for all its tasks.
     loaded: ClassVar[dict] = {}
 
-    def __init__(self, model: str, tokenizer: str, most: int = 8192):
-        self.model, self.tokenizer, self.most = model, tokenizer, most
+    def __init__(self, model: str, tokenizer: str, most: int = 8192, budget: int = 16384):
+        self.model, self.tokenizer, self.most, self.budget = model, tokenizer, most, budget
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         key = self.model, self.tokenizer, self.most
@@ -53,16 +55,35 @@ class OnnxEncoder:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(self.tokenizer)
-            own.enable_padding()
+            own.no_padding()
             own.enable_truncation(self.most)
             OnnxEncoder.loaded[key] = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"]), own
         session, own = OnnxEncoder.loaded[key]
-        rows = own.encode_batch([t or "" for t in texts])
-        ids, mask = (np.array([getattr(r, a) for r in rows], np.int64) for a in ("ids", "attention_mask"))
-        feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-        hidden = session.run(None, {i.name: feeds[i.name] for i in session.get_inputs()})[0]
-        mean = (hidden * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
-        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype(np.float32).tolist()
+        rows = [r.ids for r in own.encode_batch([t or "" for t in texts])]
+        out: list = [None] * len(texts)
+        for run in runs([len(r) for r in rows], self.budget):
+            ids = np.zeros((len(run), max(1, len(rows[run[-1]]))), np.int64)
+            mask = np.zeros_like(ids)
+            for k, i in enumerate(run):
+                ids[k, : len(rows[i])], mask[k, : len(rows[i])] = rows[i], 1
+            feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            hidden = session.run(None, {i.name: feeds[i.name] for i in session.get_inputs()})[0]
+            mean = (hidden * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+            vectors = (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            for i, v in zip(run, vectors.tolist(), strict=True):
+                out[i] = v
+        return out
+
+
+def runs(lengths: list[int], budget: int) -> list[list[int]]:
+    """Indices in ascending order of length, in runs whose size times longest is at most `budget`, or of one."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and (len(out[-1]) + 1) * lengths[i] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
 
 
 def embedding_text() -> Column:
@@ -72,8 +93,8 @@ def embedding_text() -> Column:
     return F.when(F.col("label").isin("Function", "Class"), code).when(F.col("label") == "Document", document)
 
 
-def embed(nodes: DataFrame, encoder: OnnxEncoder | None = None, batch: int = 32, dim: int = DIM) -> DataFrame:
-    """`nodes` with vectors for functions, classes and document sections that have content; other rows keep theirs."""
+def embed(nodes: DataFrame, encoder: OnnxEncoder | None = None, batch: int = 1024, dim: int = DIM) -> DataFrame:
+    """`nodes` with vectors for functions, classes and document sections that have content; other rows keep theirs. An encoder gets `batch` texts at a time."""
 
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -51,14 +51,37 @@ def keyword_search(nodes: DataFrame, edges: DataFrame, keyword: str, k: int = 10
     return ranked.select(*_hit(F.when(F.col("_tier") == 0, 1.0).otherwise(0.9)))
 
 
-def keyword_search_many(nodes: DataFrame, words: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, pos, uid, name, tier, rank): name tiers of many keywords (query_id, pos, word) at once, `k` of each, exact names before others.
+def keyword_search_many(nodes: DataFrame, words: DataFrame, k: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """(query_id, pos, uid, name, tier, rank, ...): the tiers of `keyword_search` for many keywords (query_id, pos, word) at once, `k` of each.
 
-    Names are distinct before words meet them, and each word keeps `k` names' nodes. The words are
-    a stated set of queries, broadcast behind a check of their number.
+    Words with # or two dots and no space take exact qualified names alone (1.0); those with # that
+    find none, the class's methods of that name (0.95), where edges are given; words left over take
+    names. Names are distinct before words meet them, and each word keeps `k` names' nodes. The
+    words are a stated set of queries, broadcast behind a check of their number.
     """
     code = nodes.where(F.col("label").isin(*graph.CODE)).select("name", "uid", "label", "file", "start_line", "fqn")
-    asked = traverse.cut(words.select("query_id", "pos", "word"))
+    asked = traverse.cut(words.select("query_id", "pos", F.trim("word").alias("word")))
+    order = Window.partitionBy("query_id", "pos").orderBy(F.desc("tier"), F.when(F.col("tier") == 0.9, F.length("name")).otherwise(0), "uid")
+    first = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    word = F.col("word")
+    hashed = word.contains("#")
+    qualified = asked.where(hashed | ((F.length(word) - F.length(F.replace(word, F.lit(".")))) >= 2) & ~word.contains(" "))
+    exact = traverse.cut(code.join(qualified, code["fqn"] == word).withColumn("tier", F.lit(1.0)))
+    found, done = exact, exact.select("query_id", "pos").distinct()
+    if edges is not None:
+        parts = [F.substring_index(F.substring_index(word, "#", 1), ".", -1), F.trim(F.substring_index(F.regexp_extract(word, "#(.*)", 1), "(", 1))]
+        split = qualified.where(hashed).join(done, ["query_id", "pos"], "left_anti").select("query_id", "pos", "word", parts[0].alias("_owner"), parts[1].alias("_method"))
+        owners = code.where("label = 'Class'").select(F.col("name").alias("_owner"), F.col("uid").alias("src_uid")).join(split, "_owner")
+        held = owners.join(edges.where("type = 'CONTAINS'").select("src_uid", F.col("dst_uid").alias("uid")), "src_uid")
+        methods = code.where("label = 'Function'").join(held.select("uid", "_method", "query_id", "pos", "word"), "uid").where("name = _method")
+        methods = traverse.cut(methods.dropDuplicates(["query_id", "pos", "uid"]).select(*code.columns, "query_id", "pos", "word").withColumn("tier", F.lit(0.95)))
+        found, done = found.unionByName(methods), done.unionByName(methods.select("query_id", "pos").distinct())
+    plain = asked.join(done, ["query_id", "pos"], "left_anti")
+    return first(found.select(*code.columns, "query_id", "pos", "word", "tier").unionByName(_names_of_words(code, plain, k).select(*code.columns, "query_id", "pos", "word", "tier")))
+
+
+def _names_of_words(code: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The nodes of the `k` names and more that each word may need: exact ones (1.0) and those that hold it (0.9)."""
     distinct = asked.select("word").distinct()
     met = code.select("name").distinct().join(traverse.sized(distinct), F.lower("name").contains(F.lower("word")))
     # of a word's names those that its best `k` nodes can bear: as each has a node, `k` names are enough
@@ -66,9 +89,7 @@ def keyword_search_many(nodes: DataFrame, words: DataFrame, k: int = 10) -> Data
     met = met.withColumn("tier", tier).withColumn("_long", F.when(F.col("tier") < 1, F.length("name")).otherwise(0))
     some = Window.partitionBy("word").orderBy(F.desc("tier"), "_long")
     met = met.withColumn("_n", F.rank().over(some)).where(F.col("_n") <= k).drop("_n", "_long")
-    met = code.join(met, "name").join(asked, "word")
-    w = Window.partitionBy("query_id", "pos").orderBy(F.desc("tier"), F.when(F.col("tier") < 1, F.length("name")).otherwise(0), "uid")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return code.join(met, "name").join(asked, "word")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a frontier is sent to all executors instead of shuffling the edges.
@@ -35,6 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Counts:
+    """Aggregates of a table taken while it is written, so that no second pass is needed.
+
+    Spark drops what it observes together with a part of a plan that turns out empty; then the
+    written rows are aggregated.
+    """
+
+    def __init__(self, *aggregates: Column):
+        self.aggregates, self.seen = aggregates, Observation()
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.seen, *self.aggregates)
+
+    def get(self, written: DataFrame) -> dict:
+        try:
+            return self.seen.get
+        except Py4JJavaError:
+            return written.agg(*self.aggregates).first().asDict()
+
+
 def forget_old(spark: SparkSession, hours: float = 24) -> int:
     """Delete tables that `cut` wrote so long ago; answers that still read them end with an error. Returns how many went."""
     place = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -132,15 +132,14 @@ class Engine:
         return self._ingest(*self._graph(scan.files(self.spark, folder), scan.files(self.spark, folder, documents=True), repository))
 
     def _ingest(self, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> dict[str, int]:
-        """Write what was made, once, counting it on the way, and commit it."""
-        seen, linked = Observation(), Observation()
+        """Write what was made, once, counting it on the way, and commit it; returns nodes by label, vectors, files, edges within files, and edges across them by type."""
         labels = [F.count_if(F.col("label") == x).alias(x.lower()) for x in LABELS]
-        nodes = traverse.cut(as_nodes(nodes).observe(seen, *labels, F.count("embedding").alias("vectors")))
-        edges = traverse.cut(as_edges(edges).observe(linked, F.count(F.lit(1)).alias("edges")))
-        self.store.ingest(nodes, edges, files)
+        seen, linked = traverse.Counts(*labels, F.count("embedding").alias("vectors")), traverse.Counts(F.count(F.lit(1)).alias("edges"))
+        nodes, edges = traverse.cut(seen.of(as_nodes(nodes))), traverse.cut(linked.of(as_edges(edges)))
+        resolved = self.store.ingest(nodes, edges, files)
         self.store.compact_if_due()
-        counts = {k: v for k, v in seen.get.items() if v or k == "vectors"}
-        return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": linked.get["edges"]}
+        counts = {k: v for k, v in seen.get(nodes).items() if v or k == "vectors"}
+        return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": linked.get(edges)["edges"]} | resolved
 
     def index_files(self, rows: list[tuple[str, str]], repository: str | None = None) -> dict[str, int]:
         """Replace what is known of files by their given contents; returns what was indexed."""

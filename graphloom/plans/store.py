@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -259,7 +259,7 @@ class GraphStore:
 
     def _write_base(self, nodes: DataFrame, edges: DataFrame, rows: int) -> dict:
         """Write base tables for about so many rows."""
-        folder, counts = uuid.uuid4().hex, Observation()
+        folder, counts = uuid.uuid4().hex, traverse.Counts(F.count(F.lit(1)).alias("n"))
         nodes, edges, buckets = as_nodes(nodes), as_edges(edges), 1
         while buckets * BUCKET_ROWS < rows and buckets < SLOTS:
             buckets *= 2
@@ -268,11 +268,11 @@ class GraphStore:
             df = df.withColumn("bucket", slot(key) % buckets).hint("rebalance", *by, "bucket")
             df.write.partitionBy(*by, "bucket").parquet(f"{self.path}/{folder}/{table}")
 
-        put(nodes.observe(counts, F.count(F.lit(1)).alias("n")), "nodes", "uid", "label")
+        put(counts.of(nodes), "nodes", "uid", "label")
         put(edges, "edges", "src_uid", "type")
         put(resolve.index(nodes), "names", "name")
         put(resolve.grams(nodes), "grams", "gram")
-        return {"kind": "base", "folder": folder, "buckets": buckets, "rows": {"nodes": counts.get["n"]}, "at": time.time_ns()}
+        return {"kind": "base", "folder": folder, "buckets": buckets, "rows": {"nodes": counts.get(self.spark.read.schema(NODES).parquet(f"{self.path}/{folder}/nodes"))["n"]}, "at": time.time_ns()}
 
     def change(self, make: Callable[[Snapshot], Change | None]) -> dict[str, int]:
         """Commit what `make` makes of the current version, again if another writer changed what it was made from; returns rows by table."""
@@ -306,12 +306,12 @@ class GraphStore:
         folder, rows, slots = uuid.uuid4().hex, {}, set()
         for table, df, ends in (("nodes", done.nodes, ["uid"]), ("gone", done.gone, ["uid"]), ("edges", done.edges, KEY[:2]), ("edges_gone", done.edges_gone, KEY[:2])):
             if df is not None:
-                seen = Observation()
                 df = as_nodes(df) if table == "nodes" else df.select("uid").distinct() if table == "gone" else as_edges(df).dropDuplicates(KEY)
-                met = [F.collect_set(slot(c)).alias(c) for c in ends]  # at most SLOTS numbers each
-                df.observe(seen, F.count(F.lit(1)).alias("n"), *met).write.parquet(f"{self.path}/{folder}/{table}")
-                rows[table] = seen.get["n"]
-                slots.update(*(seen.get[c] for c in ends))
+                counts = traverse.Counts(F.count(F.lit(1)).alias("n"), *(F.collect_set(slot(c)).alias(c) for c in ends))  # at most SLOTS numbers each
+                counts.of(df).write.parquet(f"{self.path}/{folder}/{table}")
+                seen = counts.get(self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}/{table}"))
+                rows[table] = seen["n"]
+                slots.update(*(seen[c] for c in ends))
         return {"kind": "change", "folder": folder, "rows": rows, "slots": sorted(slots), "at": time.time_ns()}
 
     def compact(self) -> None:
@@ -360,38 +360,43 @@ class GraphStore:
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
         """Nodes first, then the edges whose ends are there; returns how many given rows were merged, repeated ones too."""
-        given = Observation()
-        nodes, edges = traverse.cut(nodes.observe(given, F.count(F.lit(1)).alias("n"))), traverse.cut(as_edges(edges))
+        given = traverse.Counts(F.count(F.lit(1)).alias("n"))
+        nodes, edges = traverse.cut(given.of(nodes)), traverse.cut(as_edges(edges))
         sound = 0
 
         def make(now: Snapshot) -> Change:
             nonlocal sound
-            met = Observation()
+            met = traverse.Counts(F.count(F.lit(1)).alias("n"))
             read = _slots(nodes.select("uid"), edges.select("src_uid"), edges.select("dst_uid"))
             old = now.nodes(read)
             merged = mutate.upsert_nodes(old.join(_keys(nodes), "uid", "left_semi").select(*NODES.fieldNames()), nodes)
             there = old.select("uid").unionByName(nodes.select("uid")).distinct()
-            kept = traverse.cut(mutate.with_ends(edges, there).observe(met, F.count(F.lit(1)).alias("n")))
-            sound = met.get["n"]
+            kept = traverse.cut(met.of(mutate.with_ends(edges, there)))
+            sound = met.get(kept)["n"]
             return Change(nodes=merged, edges=kept, read=read)
 
         self.change(make)
-        return {"nodes": given.get["n"], "edges": sound}
+        return {"nodes": given.get(nodes)["n"], "edges": sound}
 
     def ingest(self, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> dict[str, int]:
         """Take the nodes of `files` (column file) away, merge the given ones, and bring the edges across files up to date.
 
         Edges across files change only by the names that changed nodes bear or ask for, or did so
         before; those names' buckets are read, and no others. The given tables are read several times.
+        Returns how many edges across files were made, by type, counted as they are written.
         """
         if not self.exists():
             merged = traverse.cut(mutate.upsert_nodes(self.spark.createDataFrame([], NODES), nodes))
-            linked = traverse.cut(resolve.resolve(merged, mutate.upsert_edges(self.spark.createDataFrame([], EDGES), edges, merged)))
+            seen = traverse.Counts(*_by_kind())
+            linked = traverse.cut(seen.of(resolve.resolve(merged, mutate.upsert_edges(self.spark.createDataFrame([], EDGES), edges, merged))))
             if self._create(merged, linked):
-                return {}
+                return seen.get(linked)
+
+        made: dict[str, int] = {}
 
         def make(now: Snapshot) -> Change:
-            gone = None
+            nonlocal made
+            gone, seen = None, traverse.Counts(*_by_kind())
             if files is not None:
                 keys = files.select(F.col("file").alias("_file")).distinct()
                 held = now.names(_slots(keys)).where(F.col("kind") == resolve.FILE)
@@ -407,9 +412,12 @@ class GraphStore:
             asked = traverse.cut(resolve.index(old).unionByName(resolve.index(new)).where(~F.col("kind").isin(resolve.FILE, resolve.FQN)).select("name").distinct())
             names = now.names(_slots(asked)).join(asked, "name", "left_semi")
             added, removed = resolve.delta(old, new, uids, names)
-            return Change(nodes=new, gone=gone, edges=sound.select(*EDGES.fieldNames()).unionByName(as_edges(added)), edges_gone=removed, read=None)
+            added = traverse.cut(seen.of(as_edges(added)))
+            made = seen.get(added)
+            return Change(nodes=new, gone=gone, edges=sound.select(*EDGES.fieldNames()).unionByName(added), edges_gone=removed, read=None)
 
-        return self.change(make)
+        self.change(make)
+        return made
 
     def delete(self, which: Column) -> int:
         """Remove nodes and the edges at them; returns how many nodes there were."""
@@ -490,6 +498,10 @@ def _at(edges: DataFrame, moved: DataFrame) -> DataFrame:
     return edges.join(same.withColumnRenamed("uid", "src_uid"), "src_uid", "left_semi").unionByName(edges.join(same.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_semi"), allowMissingColumns=True)
 
 
+def _by_kind() -> list[Column]:
+    return [F.count_if(F.col("type") == x).alias(x.lower()) for x in resolve.RESOLVED]
+
+
 def _keys(df: DataFrame) -> DataFrame:
     return df.select("uid").distinct()
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import mutate, resolve, search, traverse
 from ..sources import scan
 from .corpora import CODE, sources_of
-from .derived import ORACLES, _GONE, edges_of, nodes_of, query, table
+from .derived import _GONE, ORACLES, edges_of, nodes_of, query, table
+from .engine import Engine
 from .store import GraphStore
 
 
@@ -106,6 +107,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.keyword_search(now.holding("widg"), now.edges(), "widg", 20).select("uid", "name", "score")
 
 
+_TIERS = """
+, words AS (SELECT p_partkey AS query_id, 1 AS pos, CASE p_partkey % 4 WHEN 0 THEN 'a.b.' || replace(p_name, ' ', '_') WHEN 1 THEN 'x.C' || (p_partkey % (SELECT count(*) FROM supplier)) || '#' || p_name || '(int)' WHEN 2 THEN p_name ELSE 'no.such.name' || p_partkey END AS word FROM part),
+f AS (SELECT query_id, pos, uid, name, 1.0 AS tier FROM words JOIN nodes ON fqn = word),
+m AS (SELECT query_id, pos, n.uid, n.name, 0.95 AS tier FROM words w JOIN edges e ON e.type = 'CONTAINS' AND w.query_id % 4 = 1 AND e.src_uid = 'Class:' || (w.query_id % (SELECT count(*) FROM supplier)) JOIN nodes n ON n.uid = e.dst_uid AND n.label = 'Function' AND n.name = (SELECT p_name FROM part WHERE p_partkey = w.query_id)),
+g AS (SELECT query_id, pos, n.uid, n.name, CASE WHEN n.name = word THEN 1.0 ELSE 0.9 END AS tier FROM words w JOIN nodes n ON n.label IN ('Function', 'Class', 'Module') AND contains(lower(n.name), lower(word)) WHERE w.query_id % 4 > 1),
+hits AS (SELECT * FROM f UNION ALL SELECT * FROM m UNION ALL SELECT * FROM g)
+SELECT query_id, pos, uid, name, tier::DOUBLE AS tier, row_number() OVER (PARTITION BY query_id, pos ORDER BY tier DESC, CASE WHEN tier = 0.9 THEN length(name) ELSE 0 END, uid)::INTEGER AS rank FROM hits QUALIFY rank <= 3"""
+
+
+@query("keyword_many_tiers", graph_sql=_TIERS)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Of each part a word: a qualified name, a class's method, a name, or what nothing bears."""
+    nodes, key = nodes_of(spark, d), F.col("p_partkey")
+    n = nodes.withColumn("name", F.when(F.col("label") == "Class", F.concat(F.lit("C"), F.substring_index("uid", ":", -1))).otherwise(F.col("name")))
+    suppliers = table(spark, d, "supplier").count()
+    method = F.concat(F.lit("x.C"), (key % suppliers).cast("string"), F.lit("#"), "p_name", F.lit("(int)"))
+    word = F.when(key % 4 == 0, F.concat(F.lit("a.b."), F.replace("p_name", F.lit(" "), F.lit("_")))).when(key % 4 == 1, method).when(key % 4 == 2, F.col("p_name")).otherwise(F.concat(F.lit("no.such.name"), key.cast("string")))
+    words = table(spark, d, "part").select(key.alias("query_id"), F.lit(1).alias("pos"), word.alias("word"))
+    return search.keyword_search_many(n, words, 3, edges_of(spark, d)).select("query_id", "pos", "uid", "name", "tier", "rank")
+
+
+@query("index_applied", sql=f"WITH {CODE} SELECT uid, label, name FROM code WHERE language <> 'go'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All files in one change through the engine, then Go's deleted, JavaScript's changed to nothing and back."""
+    engine, sources = Engine(_new(spark), dim=8), sources_of(spark, d)
+    changed = lambda kind, status, content: sources.where(F.col("path").endswith(kind)).select("path", F.lit(status).alias("status"), content.alias("content"))
+    engine.apply(sources.withColumn("status", F.lit("A")))
+    engine.apply(changed(".go", "D", F.lit(None).cast("string")).unionByName(changed(".js", "M", F.lit("// nothing"))))
+    engine.apply(changed(".js", "M", F.col("content")))
+    return engine.store.nodes().select("uid", "label", "name")
+
+
 @query("lookup_file", sql=ORACLES["file_entities"])
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(spark, d).at().lookup((resolve.FILE,), ["Brand#12"])

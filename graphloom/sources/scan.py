@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import resolve
+from ..operators import resolve, traverse
 from ..schema import as_edges, as_nodes, uid
 from . import parse
 
@@ -69,7 +69,7 @@ def code_graph(sources: DataFrame, module_identity: str = "path") -> tuple[DataF
     file. A module's identity is its path, or with "stem" its name, where files of one stem become
     one node, the last path giving its properties.
     """
-    found = entities(sources)
+    found = traverse.cut(entities(sources))  # five joins read it, and each file is parsed once
     known = sources.select("path", X.language("path").alias("language")).where("language is not null")
     listed = found.where("kind = 'import'").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("imports"))
     file = F.col("path") if module_identity == "path" else F.lit("")
