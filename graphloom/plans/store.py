@@ -27,6 +27,8 @@ BUCKET_ROWS = 1 << 16
 SLOTS = 4096
 #: Rows of changes up to which they are sent to all executors when tables are read.
 SMALL = 200_000
+#: Slots up to which a table is read by their buckets; with more it is read as a whole, as its filter would cost more than it saves.
+FEW_SLOTS = 256
 #: `compact_if_due` rewrites the base after so many changes, or when they hold more than a quarter of its rows.
 DUE_CHANGES = 32
 
@@ -100,7 +102,8 @@ class Snapshot:
         return new.unionByName(gone).groupBy("uid").agg(last)
 
     def nodes(self, slots: list[int] | None = None) -> DataFrame:
-        """All nodes, or those whose uid has one of the slots; then other buckets are not read."""
+        """All nodes, or at least those whose uid has one of the slots; if these are few, other buckets are not read."""
+        slots = _few(slots)
         own = None if slots is None else sorted({s % self.buckets for s in slots})
         rows = self._read_base("nodes", NODES, own).select(*NODES.fieldNames())
         if slots is not None:
@@ -173,7 +176,8 @@ class Snapshot:
         return self._of(traverse.cut(held.select("uid").distinct()))
 
     def names(self, slots: list[int] | None = None) -> DataFrame:
-        """(name, kind, uid): the names that nodes bear and ask for, as `resolve.index` has them; of some names' slots, if given."""
+        """(name, kind, uid): the names that nodes bear and ask for, as `resolve.index` has them; at least those of some names' slots, if given."""
+        slots = _few(slots)
         own = None if slots is None else sorted({s % self.buckets for s in slots})
         rows = self._read_base("names", NAMES, own).select(*NAMES.fieldNames())
         if slots is not None:
@@ -498,6 +502,10 @@ def _at(edges: DataFrame, moved: DataFrame) -> DataFrame:
     return edges.join(same.withColumnRenamed("uid", "src_uid"), "src_uid", "left_semi").unionByName(edges.join(same.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_semi"), allowMissingColumns=True)
 
 
+def _few(slots: list[int] | None) -> list[int] | None:
+    return slots if slots is not None and len(slots) <= FEW_SLOTS else None
+
+
 def _by_kind() -> list[Column]:
     return [F.count_if(F.col("type") == x).alias(x.lower()) for x in resolve.RESOLVED]
 
