@@ -58,7 +58,7 @@ def test_negatives_equal_brute_force_over_many_shards_and_blocks(spark, monkeypa
 def test_negatives_of_odd_rows(spark):
     rows = near_vectors(60, 6, 3)
     rows += [(100 + i, i % 2, [0.5] * 6) for i in range(20)]  # ties
-    rows += [(200, 1, None), (201, None, [1.0] * 6), (None, 1, [1.0] * 6), (203, 1, [float("nan")] * 6), (204, 1, [1.0, None, 0, 0, 0, 0]), (205, 0, [float("inf")] * 6)]
+    rows += [(200, 1, None), (201, None, [1.0] * 6), (None, 1, [1.0] * 6), (203, 1, [float("nan")] * 6), (204, 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (205, 0, [float("inf")] * 6)]
     rows += [(300, 0, [0.0] * 6), (303, 1, []), (306, 0, []), (309, 1, [1.0, 2.0]), (312, 0, [1.0, 1.5]), (315, 1, [2.0, 1.0]), (318, 1, [-1.0, -1.0])]
     assert negatives(spark, rows) == brute_negatives(rows)
     assert negatives(spark, []) == []
@@ -67,7 +67,7 @@ def test_negatives_of_odd_rows(spark):
 
 def test_negatives_of_repeated_rows_and_great_components(spark):
     rows = near_vectors(40, 4, 5)
-    great = [(i, i % 2, [x * 1e7 for x in e]) for i, _, e in near_vectors(30, 4, 6)]
+    great = [(i, i % 2, [x * 3e5 for x in e]) for i, _, e in near_vectors(30, 4, 6)]
     assert negatives(spark, great) == brute_negatives(great)
     found = negatives(spark, rows + rows)
     assert all(a != p and a != n for a, p, _, n, _, _ in found)
