@@ -103,7 +103,7 @@ def vector_search(nodes: DataFrame, vector: list[float], k: int = 10, labels: tu
     """The `k` rows of largest cosine similarity, exact: one scan, a top-k in each task; the id breaks ties."""
     rows = nodes.where(F.col("label").isin(*labels)) if labels else nodes
     score = cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
-    return rows.where("embedding is not null").withColumn("score", score).where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+    return rows.where("embedding is not null").withColumn("score", score).where("score is not null and not isnan(score)").orderBy(F.desc("score"), id_col).limit(k)
 
 
 def vector_search_many(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id") -> DataFrame:
@@ -175,15 +175,15 @@ def _near(rows: DataFrame, names: list, vectors: np.ndarray, k: int, id_col: str
 QUERIES = 4096
 
 
-def semantic_search(nodes: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 10, labels: tuple[str, ...] = VECTOR_LABELS) -> DataFrame:
-    """Nodes nearest to a question: docstrings cut to 200 characters, contents to 500; empty if it cannot be encoded."""
+def semantic_search(nodes: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 10, labels: tuple[str, ...] = VECTOR_LABELS, find: Callable[..., DataFrame] = vector_search) -> DataFrame:
+    """Nodes nearest to a question: docstrings cut to 200 characters, contents to 500; empty if it cannot be encoded. `find` looks for them, as `vector_search` does."""
     try:
         vector = encode(query)
     except (ValueError, RuntimeError, OSError):
         vector = None
     if not vector:
         return nodes.sparkSession.createDataFrame([], HITS + ", content string")
-    found = vector_search(nodes, vector, k, labels)
+    found = find(nodes, vector, k, labels)
     return found.select("uid", F.col("label").alias("type"), "name", graph.empty("file").alias("file"), "start_line", F.when(F.col("label") == "Function", graph.empty("signature")).otherwise("").alias("signature"), F.left(graph.empty("docstring"), F.lit(200)).alias("docstring"), "score", F.when(F.col("label") == "Document", F.left(graph.empty("content"), F.lit(500))).alias("content"))
 
 
@@ -232,7 +232,7 @@ def words_of(spark, query: str) -> list[str]:
     return [row["fqn"]] if row["fqn"] else list(row["words"])
 
 
-def hybrid_search(nodes: DataFrame, edges: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 5, depth: int = 2, callers: bool = True, callees: bool = True, fallback: bool = False) -> tuple[DataFrame, DataFrame]:
+def hybrid_search(nodes: DataFrame, edges: DataFrame, encode: Callable[[str], list[float]], query: str, k: int = 5, depth: int = 2, callers: bool = True, callees: bool = True, fallback: bool = False, find: Callable[..., DataFrame] = vector_search) -> tuple[DataFrame, DataFrame]:
     """(hits, context): the question's first three identifiers and its vector, fused, and what the graph has around the hits."""
     words = words_of(nodes.sparkSession, query)[:3] or ([query] if fallback else [])
     hits = None
@@ -243,5 +243,5 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, encode: Callable[[str], li
         hits = nodes.sparkSession.createDataFrame([], HITS + ", _pos int")
     first = Window.partitionBy("uid").orderBy("_pos", F.desc("score"))
     hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_pos")
-    fused = traverse.cut(fuse(hits, semantic_search(nodes, encode, query, k), k))
+    fused = traverse.cut(fuse(hits, semantic_search(nodes, encode, query, k, find=find), k))
     return fused, related(nodes, edges, fused, depth, callers, callees)

@@ -66,7 +66,7 @@ class Engine:
         _one_of("entity_type", entity_type, "all", "function", "class", "document")
         now = self.store.at()
         labels = {"function": ("Function",), "class": ("Class",), "document": ("Document",)}.get(entity_type, ("Function", "Class", "Document"))
-        return search.fuse(self._keyword(now, query, _within("k", k, 1, 50)), search.semantic_search(now.nodes(), self.encode, query, k, labels), k)
+        return search.fuse(self._keyword(now, query, _within("k", k, 1, 50)), search.semantic_search(now.nodes(), self.encode, query, k, labels, now.nearest), k)
 
     def _keyword(self, now: Snapshot, query: str, k: int) -> DataFrame:
         """Hits of the first three identifiers; those that are no qualified names are looked for by the index of names' letters."""
@@ -83,7 +83,8 @@ class Engine:
         return self._keyword(self.store.at(), query, _within("k", k, 1, 50)).orderBy(F.desc("score"), "uid").limit(k)
 
     def hybrid(self, query: str, k: int = 5, expand_depth: int = 2, callers: bool = True, callees: bool = True) -> tuple[DataFrame, DataFrame]:
-        return search.hybrid_search(*self.store.snapshot(), self.encode, query, _within("k", k, 1, 20), _within("expand_depth", expand_depth, 1, 5), callers, callees)
+        now = self.store.at()
+        return search.hybrid_search(now.nodes(), now.edges(), self.encode, query, _within("k", k, 1, 20), _within("expand_depth", expand_depth, 1, 5), callers, callees, find=now.nearest)
 
     def related_to_file(self, file: str) -> DataFrame:
         """Methods of the file's classes and what its functions call."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as X
-from ..operators import graph, mutate, resolve, traverse
+from ..operators import graph, mutate, resolve, search, traverse, vector_index
 from ..operators.resolve import GRAMS, NAMES
 from ..schema import EDGES, NODES, as_edges, as_nodes
 from .log import Log
@@ -175,6 +175,20 @@ class Snapshot:
         held = self.names(_slots(names)).where(F.col("kind").isin(*graph.CODE)).join(names, "name", "left_semi")
         return self._of(traverse.cut(held.select("uid").distinct()))
 
+    def nearest(self, nodes: DataFrame, vector: list[float], k: int = 10, labels: tuple[str, ...] = search.VECTOR_LABELS) -> DataFrame:
+        """What `search.vector_search` finds in `nodes`, which are this version's: by the base's index, and by a scan of the rows that changed since."""
+        if not (self.base and self.base.get("vectors")):
+            return search.vector_search(nodes, vector, k, labels)
+        index = vector_index.VectorIndex(self.spark, f"{self.store.path}/{self.base['folder']}/vectors")
+        if not self._has("nodes", "gone"):
+            found = traverse.cut(index.nearest(vector, k, labels).select("uid", "score"))
+            return self._of(found.select("uid")).join(F.broadcast(found), "uid").orderBy(F.desc("score"), "uid").limit(k)
+        last = traverse.cut(self._latest())
+        gone = self._small(last.select("uid"))
+        found = traverse.cut(index.nearest(vector, k, labels, lambda rows: rows.join(gone, "uid", "left_anti")).select("uid", "score"))
+        fresh = search.vector_search(last.where("row is not null").select("row.*"), vector, k, labels)
+        return self._of(found.select("uid")).join(F.broadcast(found), "uid").unionByName(fresh).orderBy(F.desc("score"), "uid").limit(k)
+
     def names(self, slots: list[int] | None = None) -> DataFrame:
         """(name, kind, uid): the names that nodes bear and ask for, as `resolve.index` has them; at least those of some names' slots, if given."""
         slots = _few(slots)
@@ -276,7 +290,8 @@ class GraphStore:
         put(edges, "edges", "src_uid", "type")
         put(resolve.index(nodes), "names", "name")
         put(resolve.grams(nodes), "grams", "gram")
-        return {"kind": "base", "folder": folder, "buckets": buckets, "rows": {"nodes": counts.get(self.spark.read.schema(NODES).parquet(f"{self.path}/{folder}/nodes"))["n"]}, "at": time.time_ns()}
+        vectors = vector_index.build(nodes, f"{self.path}/{folder}/vectors")
+        return {"kind": "base", "folder": folder, "buckets": buckets, "vectors": vectors is not None, "rows": {"nodes": counts.get(self.spark.read.schema(NODES).parquet(f"{self.path}/{folder}/nodes"))["n"]}, "at": time.time_ns()}
 
     def change(self, make: Callable[[Snapshot], Change | None]) -> dict[str, int]:
         """Commit what `make` makes of the current version, again if another writer changed what it was made from; returns rows by table."""

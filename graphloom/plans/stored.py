@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mutate, resolve, search, traverse
+from ..operators import mutate, resolve, search, traverse, vector_index
+from ..schema import EDGES, as_edges, as_nodes
 from ..sources import scan
 from .corpora import CODE, sources_of
 from .derived import _GONE, ORACLES, edges_of, nodes_of, query, table
@@ -143,3 +144,42 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(spark, d).at().lookup((resolve.FILE,), ["Brand#12"])
     return rows.where(F.col("label").isin("Function", "Class")).select(F.col("label").alias("type"), "name", "start_line", F.coalesce("signature", F.lit("")).alias("signature"))
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, vector_index.VectorIndex]:
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return rows, vector_index.build(rows, f"{traverse._shared(spark)}/vectors-{uuid.uuid4().hex}", "vec_id")
+
+
+@query("vector_index_topk", sql=ORACLES["vector_topk"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, index = _indexed(spark, d)
+    return index.nearest(rows.where("vec_id = 0").first()["embedding"], 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_by_label", sql=ORACLES["vector_by_label"].replace("SELECT vec_id, label,", "SELECT vec_id, label::VARCHAR AS label,"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, index = _indexed(spark, d)
+    return index.nearest(rows.where("vec_id = 1").first()["embedding"], 10, ("1", "2", "3")).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_many", sql=ORACLES["vector_topk_many"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, index = _indexed(spark, d)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.nearest_many(asked, 5).withColumn("score", F.round("score", 6))
+
+
+@query("store_nearest", sql="""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1),
+now AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], x -> -x) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT 'Function:' || vec_id AS uid, round(list_cosine_similarity(now.v, q.v), 6) AS score FROM now, q ORDER BY list_cosine_similarity(now.v, q.v) DESC, uid LIMIT 20""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """By the index of the base, after a commit that turns some vectors round and one that deletes some."""
+    rows, store = table(spark, d, "embeddings"), _new(spark)
+    node = F.concat(F.lit("Function:"), "vec_id").alias("uid"), F.lit("Function").alias("label")
+    turned = F.transform("embedding", lambda x: -x).alias("embedding")
+    store.write(as_nodes(rows.select(*node, "embedding")), as_edges(spark.createDataFrame([], EDGES)))
+    store.upsert(as_nodes(rows.where("vec_id % 7 = 0").select(*node, turned)), spark.createDataFrame([], EDGES))
+    store.delete(F.substring_index("uid", ":", -1).cast("long") % 11 == 0)
+    now = store.at()
+    return now.nearest(now.nodes(), rows.where("vec_id = 1").first()["embedding"], 20).select("uid", F.round("score", 6).alias("score"))
