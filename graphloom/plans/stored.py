@@ -171,8 +171,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("store_nearest", sql="""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1),
-now AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], x -> -x) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 11 <> 0)
-SELECT 'Function:' || vec_id AS uid, round(list_cosine_similarity(now.v, q.v), 6) AS score FROM now, q ORDER BY list_cosine_similarity(now.v, q.v) DESC, uid LIMIT 20""")
+now AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN -1 ELSE 1 END) * list_cosine_similarity(embedding::DOUBLE[], q.v) AS cosine FROM embeddings, q WHERE vec_id % 11 <> 0)
+SELECT 'Function:' || vec_id AS uid, round(cosine, 6) AS score FROM now ORDER BY cosine DESC, uid LIMIT 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """By the index of the base, after a commit that turns some vectors round and one that deletes some."""
     rows, store = table(spark, d, "embeddings"), _new(spark)
