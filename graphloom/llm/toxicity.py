@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, arrow_map, mix, span_hashes, text_blocks
@@ -181,17 +183,35 @@ def score_texts(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def misspelt(texts: list[bytes], seed: int = 5) -> list[bytes]:
+    """The texts with a slip in every word of five letters and more: a letter left out, two swapped or one doubled, never the first."""
+    rng = random.Random(seed)
+
+    def slip(found: re.Match) -> str:
+        word = found.group()
+        at, kind = rng.randrange(1, len(word) - 1), rng.randrange(3)
+        return word[:at] + (word[at + 1 :], word[at + 1] + word[at] + word[at + 2 :], word[at] + word[at:])[kind]
+
+    return [_LONG.sub(slip, t.decode("utf-8", "replace")).encode() for t in texts]
+
+
+#: A word of five letters and more.
+_LONG = re.compile(r"[^\W\d_]{5,}")
+
+
 def calibrated(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
-    """Train on four texts of five; set the shift so that 0 parts the classes of the fifth well.
+    """Train on four texts of five and misspelt copies of them; set the shift so that 0 parts the classes of the fifth well.
 
+    With the copies, n-grams that words share with their misspellings must carry what a word says.
     The shift is the mean of all cuts between its scores, those that part it best weighing most.
     """
     rest = np.arange(len(texts)) % 5 == 4
-    model = train([t for t, r in zip(texts, rest, strict=True) if not r], labels[~rest])
-    y = labels[rest]
+    own = [t for t, r in zip(texts, rest, strict=True) if not r]
+    model = train(own + misspelt(own), np.concatenate((labels[~rest], labels[~rest])))
+    texts, y = [t for t, r in zip(texts, rest, strict=True) if r], labels[rest]
     if len(set(y.tolist())) < 2 or not model.weight.any():
         return model
-    p = np.clip(score_texts(model, pa.array([t for t, r in zip(texts, rest, strict=True) if r], pa.binary())), 1e-12, 1 - 1e-12)
+    p = np.clip(score_texts(model, pa.array(texts, pa.binary())), 1e-12, 1 - 1e-12)
     logit = np.log(p / (1 - p))
     order = np.argsort(logit)
     logit, y = logit[order], y[order]
@@ -205,16 +225,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: in
     """Train on at most `sample` labelled rows of together at most `sample_bytes` of text, those of the smallest hash of doc_id.
 
     Held-out rows never take part. Labels that are null are left out; of several labels of one
-    document the largest counts. Only the bounded sample reaches the driver, where it is trained.
+    document the largest counts. Rows of a repeated doc_id each count. Only the bounded sample reaches the driver, where it is trained.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out("doc_id")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(sample)
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = Stage(docs.sparkSession, "labelled").keep(docs.select("doc_id", text.alias("text")).join(F.broadcast(marks), "doc_id"))
-    order = ["place", "doc_id", "toxic", F.sha2("text", 256)]
-    total = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    reach = rows.select("doc_id", "toxic", "place", "text", total.alias("total")).where(F.col("total") <= sample_bytes)
-    found = reach.orderBy(*order).select("text", "toxic").toArrow()
+    digest = F.sha2("text", 256).alias("digest")
+    order = ["place", "doc_id", "toxic", "digest"]
+    rows = Stage(docs.sparkSession, "labelled").keep(docs.select("doc_id", text.alias("text")).join(F.broadcast(marks), "doc_id").select("*", digest))
+    # the first rows by their lengths alone, then the texts of those
+    first = rows.select(*order, F.octet_length("text").alias("bytes")).orderBy(*order).limit(sample).toPandas()
+    first = first[first["bytes"].cumsum() <= sample_bytes]
+    if not len(first):
+        return calibrated([], np.zeros(0, np.int64))
+    last = [F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(order, first[order].to_numpy(object)[-1].tolist(), strict=True)]
+    found = rows.where(F.struct(*order) <= F.struct(*last)).orderBy(*order).limit(len(first)).select("text", "toxic").toArrow()
     return calibrated(found.column("text").to_pylist(), found.column("toxic").to_numpy().astype(np.int64))
 
 

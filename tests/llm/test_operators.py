@@ -356,12 +356,30 @@ def test_toxicity_held_out_accuracy(spark):
     assert ((bare >= 0.5) == (more >= 0.5)).mean() > 0.99  # a word in front flips no labels
     assert np.allclose(bare[:60], [brute_toxicity(model, t) for t in texts[:60]])
     assert toxicity.score_texts(model, pa.array(["you wretchlinng"]))[0] > toxicity.score_texts(model, pa.array([""]))[0]
+    unseen = [(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    slips = toxicity.score_texts(model, pa.array(toxicity.misspelt([t for t, _ in unseen], 99), pa.binary())) >= 0.5
+    real = np.array([y == 1 for _, y in unseen])
+    assert slips[real].mean() >= 0.7 and slips[~real].mean() <= 0.05
     odd = toxicity.toxicity(spark.createDataFrame(ODD, DOCS), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r["toxicity_score"] <= 1 for r in odd)
     empty = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.toxicity(docs, empty).where("toxicity_label = 1").count() == 0
 
 
+def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda texts, labels: seen.append((texts, labels.tolist())))
+    docs = spark.createDataFrame([(i, f"{i} " * 50) for i in range(40)] + [(1, "again"), (1, "again"), (2, None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for sample, most in ((1000, 1 << 20), (10, 1 << 20), (1000, 1000), (1000, 3)):
+        toxicity.fit(docs, labels, sample, most)
+    whole = seen[0][0]
+    assert sorted(whole) == sorted((r["text"] or "").encode() for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    assert all(texts == whole[: len(texts)] for texts, _ in seen) and len(seen[1][0]) <= 10
+    assert sum(map(len, seen[2][0])) <= 1000 and sum(map(len, seen[3][0])) <= 3
+    assert all(y == int(t.split()[0]) % 2 for t, y in zip(*seen[0]) if t[:1].isdigit())
+
+
 def brute_toxicity(model, text):
     """The score word by word and n-gram by n-gram."""
     values = []
