@@ -67,10 +67,14 @@ GRAMS = T.StructType([T.StructField(c, T.StringType()) for c in ("gram", "name")
 
 def grams(nodes: DataFrame) -> DataFrame:
     """(gram, name): every three letters in a row, in lower case, of the distinct names of functions, classes and modules."""
-    names = nodes.where(F.col("label").isin("Function", "Class", "Module") & (F.length("name") >= 3)).select("name").distinct()
+    names = nodes.where(F.col("label").isin("Function", "Class", "Module") & F.col("name").isNotNull()).select("name").distinct()
     low = F.lower("name")
-    each = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
-    return names.where(F.length(low) >= 3).select(F.explode(F.array_distinct(each)).alias("gram"), "name")
+    return names.where(F.length(low) >= 3).select(F.explode(triples(low)).alias("gram"), "name")
+
+
+def triples(text: Column) -> Column:
+    """The distinct three letters in a row of texts of three letters at least."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
 
 
 def supported(asks: DataFrame, bears: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import VECTOR_LABELS
-from . import graph, traverse
+from . import graph, resolve, traverse
 
 HITS = "uid string, type string, name string, file string, start_line long, signature string, docstring string, score double"
 
@@ -56,40 +56,68 @@ def keyword_search_many(nodes: DataFrame, words: DataFrame, k: int = 10, edges:
 
     Words with # or two dots and no space take exact qualified names alone (1.0); those with # that
     find none, the class's methods of that name (0.95), where edges are given; words left over take
-    names. Names are distinct before words meet them, and each word keeps `k` names' nodes. The
-    words are a stated set of queries, broadcast behind a check of their number.
+    names. Each distinct word is looked up once, and of the nodes of one name or qualified name only
+    the first `k` go on, so neither words that are asked for often nor names that many nodes bear
+    make more rows. A query's position has one word.
     """
     code = nodes.where(F.col("label").isin(*graph.CODE)).select("name", "uid", "label", "file", "start_line", "fqn")
     asked = traverse.cut(words.select("query_id", "pos", F.trim("word").alias("word")))
-    order = Window.partitionBy("query_id", "pos").orderBy(F.desc("tier"), F.when(F.col("tier") == 0.9, F.length("name")).otherwise(0), "uid")
-    first = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = traverse.cut(asked.where("word is not null").select("word").distinct())
     word = F.col("word")
     hashed = word.contains("#")
-    qualified = asked.where(hashed | ((F.length(word) - F.length(F.replace(word, F.lit(".")))) >= 2) & ~word.contains(" "))
-    exact = traverse.cut(code.join(qualified, code["fqn"] == word).withColumn("tier", F.lit(1.0)))
-    found, done = exact, exact.select("query_id", "pos").distinct()
+    qualified = each.where(hashed | ((F.length(word) - F.length(F.replace(word, F.lit(".")))) >= 2) & ~word.contains(" "))
+    exact = _first_of(code.where("fqn is not null"), "fqn", k).join(traverse.sized(qualified), F.col("fqn") == word).withColumn("tier", F.lit(1.0))
+    exact = traverse.cut(exact)
+    found, done = exact, exact.select("word").distinct()
     if edges is not None:
         parts = [F.substring_index(F.substring_index(word, "#", 1), ".", -1), F.trim(F.substring_index(F.regexp_extract(word, "#(.*)", 1), "(", 1))]
-        split = qualified.where(hashed).join(done, ["query_id", "pos"], "left_anti").select("query_id", "pos", "word", parts[0].alias("_owner"), parts[1].alias("_method"))
-        owners = code.where("label = 'Class'").select(F.col("name").alias("_owner"), F.col("uid").alias("src_uid")).join(split, "_owner")
-        held = owners.join(edges.where("type = 'CONTAINS'").select("src_uid", F.col("dst_uid").alias("uid")), "src_uid")
-        methods = code.where("label = 'Function'").join(held.select("uid", "_method", "query_id", "pos", "word"), "uid").where("name = _method")
-        methods = traverse.cut(methods.dropDuplicates(["query_id", "pos", "uid"]).select(*code.columns, "query_id", "pos", "word").withColumn("tier", F.lit(0.95)))
-        found, done = found.unionByName(methods), done.unionByName(methods.select("query_id", "pos").distinct())
-    plain = asked.join(done, ["query_id", "pos"], "left_anti")
-    return first(found.select(*code.columns, "query_id", "pos", "word", "tier").unionByName(_names_of_words(code, plain, k).select(*code.columns, "query_id", "pos", "word", "tier")))
+        split = qualified.where(hashed).join(done, "word", "left_anti").select("word", parts[0].alias("_owner"), parts[1].alias("_method"))
+        owners = code.where("label = 'Class'").select(F.col("name").alias("_owner"), F.col("uid").alias("src_uid"))
+        owners = traverse.cut(owners.join(split, "_owner").select("src_uid", "_method", "word"))
+        held = edges.where("type = 'CONTAINS'").select("src_uid", F.col("dst_uid").alias("uid")).join(traverse.sized(owners.select("src_uid").distinct()), "src_uid", "left_semi")
+        # a class's methods meet its words by name, not each of them each word
+        methods = code.where("label = 'Function'").join(held, "uid").join(traverse.sized(owners), (held["src_uid"] == owners["src_uid"]) & (F.col("name") == F.col("_method")))
+        methods = traverse.cut(methods.dropDuplicates(["word", "uid"]).select(*code.columns, "word").withColumn("tier", F.lit(0.95)))
+        found, done = found.unionByName(methods), done.unionByName(methods.select("word").distinct())
+    plain = traverse.cut(each.join(done, "word", "left_anti"))
+    rows = found.unionByName(_names_of_words(code, plain, k).select(*code.columns, "word", "tier"))
+    order = Window.partitionBy("word").orderBy(F.desc("tier"), F.when(F.col("tier") == 0.9, F.length("name")).otherwise(0), "uid")
+    best = traverse.cut(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return asked.join(traverse.sized(best), "word").select(*code.columns, "query_id", "pos", "word", "tier", "rank")
+
+
+def _first_of(code: DataFrame, by: str, k: int) -> DataFrame:
+    """Of the nodes of one value of a column the first `k` by uid; tasks keep their own first ones before they are dealt out."""
+    return code.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("uid"))).where(F.col("_n") <= k).drop("_n")
 
 
 def _names_of_words(code: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The nodes of the `k` names and more that each word may need: exact ones (1.0) and those that hold it (0.9)."""
-    distinct = asked.select("word").distinct()
-    met = code.select("name").distinct().join(traverse.sized(distinct), F.lower("name").contains(F.lower("word")))
+    """The nodes of the `k` names and more that each distinct word may need: exact ones (1.0) and those that hold it (0.9)."""
     # of a word's names those that its best `k` nodes can bear: as each has a node, `k` names are enough
     tier = F.when(F.col("name") == F.col("word"), 1.0).otherwise(0.9)
-    met = met.withColumn("tier", tier).withColumn("_long", F.when(F.col("tier") < 1, F.length("name")).otherwise(0))
+    met = _holding(code, asked).withColumn("tier", tier).withColumn("_long", F.when(F.col("tier") < 1, F.length("name")).otherwise(0))
     some = Window.partitionBy("word").orderBy(F.desc("tier"), "_long")
-    met = met.withColumn("_n", F.rank().over(some)).where(F.col("_n") <= k).drop("_n", "_long")
-    return code.join(met, "name").join(asked, "word")
+    met = traverse.cut(met.withColumn("_n", F.rank().over(some)).where(F.col("_n") <= k).drop("_n", "_long"))
+    borne = code.join(traverse.sized(met.select("name").distinct()), "name", "left_semi")
+    return _first_of(borne, "name", k).join(traverse.sized(met), "name")
+
+
+def _holding(code: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, word): the distinct names that hold each word in any case.
+
+    A word meets only the names that hold that three letters of it which the fewest names hold, and
+    none where some three letters of it are in no name; what it meets is verified. Words of one or
+    two letters, of which there are few, meet all names.
+    """
+    low, holds = F.lower("word"), F.lower("name").contains(F.lower("word"))
+    names = code.select("name").where("name is not null").distinct()
+    short = names.join(traverse.sized(words.where(F.length(low) < 3)), holds)
+    lists = traverse.cut(resolve.grams(code))
+    own = words.where(F.length(low) >= 3).select("word", F.explode(resolve.triples(low)).alias("gram"))
+    many = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("_many"))
+    rare = own.join(traverse.sized(many), "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("many"), "gram")).alias("_rare"))
+    rare = traverse.cut(rare.where("_rare.many > 0").select("word", F.col("_rare.gram").alias("gram")))
+    return short.unionByName(lists.join(traverse.sized(rare), "gram").where(holds).select("name", "word"))
 
 
 def cosine(a: Column, b: Column) -> Column:
