@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, mix, span_hashes, text_blocks
+from .common import Stage, arrow_map, give_back, mix, span_hashes, text_blocks
 
 GRAMS = (3, 4, 5)
 #: Everything but ASCII letters and digits and non-ASCII bytes becomes a space.
@@ -89,54 +89,80 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = 1 << 16, dim: i
         at = at[~((slot < len(known)) & (known[np.minimum(slot, len(known) - 1)] == new))] if len(known) else at
         names = np.concatenate((names, own[at]))
         known = np.sort(names)
-        where, which = (np.concatenate(x) for x in zip(*_grams(data, start[at], end[at], own[at], buckets), strict=True))
-        grams.append(where[np.argsort(which, kind="stable")])
-        share.append(np.bincount(which, minlength=len(at)))
-    counts, words, grams, share = (np.concatenate(x) for x in (counts, words, grams, share))
+        for run in (at[k : k + 4096] for k in range(0, len(at), 4096)):
+            where, which = (np.concatenate(x) for x in zip(*_grams(data, start[run], end[run], own[run], buckets), strict=True))
+            grams.append(where[np.argsort(which, kind="stable")])
+            share.append(np.bincount(which, minlength=len(run)).astype(np.int32))
+    # run by run, as arrays of all words' n-grams are what takes most memory
+    give_back()
     order = np.argsort(names)
-    kind = order[np.searchsorted(names[order], words)].astype(np.int32)
+    texts_of, met_by = np.zeros(len(names), np.int64), np.zeros(buckets)
+    for k, (own, many) in enumerate(zip(words, counts, strict=True)):
+        words[k] = order[np.searchsorted(known, own)].astype(np.int32)
+        met = np.unique(words[k] * np.int64(len(many)) + np.repeat(np.arange(len(many)), many))
+        texts_of += np.bincount(met // len(many), minlength=len(names))
+    del known, order
+    begin = 0
+    for own, each in zip(grams, share, strict=True):
+        met_by += np.bincount(own, np.repeat(texts_of[begin : begin + len(each)], each), minlength=buckets)
+        begin += len(each)
+    usual, held_by = met_by >= 3, []
+    for k, (own, each) in enumerate(zip(grams, share, strict=True)):
+        held = usual[own]
+        held_by.append(np.bincount(np.repeat(np.arange(len(each)), each)[held], minlength=len(each)))
+        grams[k] = own[held]
+    counts, kind, share, held_by = (np.concatenate(x) for x in (counts, words, share, held_by))
     del words
+    grams = np.concatenate(grams)
     text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    met = np.sort(kind * np.int64(len(counts)) + text)
-    texts_of = np.bincount(met[np.flatnonzero(np.diff(met, prepend=-1))] // len(counts), minlength=len(names))
-    del met
-    owner = np.repeat(np.arange(len(names), dtype=np.int32), share)
-    usual = np.bincount(grams, texts_of[owner], minlength=buckets) >= 3
-    held = usual[grams]
-    grams, owner = grams[held], owner[held]
-    live, cut = np.unique(owner, return_index=True)  # words with n-grams that are learnt, and where theirs begin
-    ends = np.append(cut[1:], len(owner))
+    live = np.flatnonzero(held_by)  # words with n-grams that are learnt, how many, and where theirs begin and end
+    some = held_by[live]
+    ends = np.cumsum(some)
+    cut = ends - some
     share = share.astype(np.float32)
     lots = [slice(k, k + 32768) for k in range(0, len(live), 32768)]
-    used = np.isfinite(_pairs(np.zeros(len(kind)), counts))
+    last = np.cumsum(counts)[counts > 0] - 1
+    used = np.ones(len(kind), bool)
+    used[last] = counts[counts > 0] == 1
+    used = np.flatnonzero(used).astype(np.int32)
     text = text[used]
-    partner = np.minimum(np.flatnonzero(used) + 1, len(kind) - 1)
-    partner = np.where(counts[text] == 1, np.flatnonzero(used), partner)
-    left, right = kind[used], kind[partner]
+    left, right = kind[used], kind[np.where(counts[text] == 1, used, np.minimum(used + 1, len(kind) - 1))]
+    del kind, used
+    give_back()
+    parts = [slice(k, k + PART) for k in range(0, len(text), PART)]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (buckets, dim)).astype(np.float32) * usual[:, None], rng.normal(0, 1, dim).astype(np.float32), np.float32([-2.0])]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     y, weight = labels[text].astype(np.float32), np.ones(len(text), np.float32)
     toxic = labels[text] == 1
     kinds = np.zeros((len(names), dim), np.float32)
+    p = np.zeros(len(text), np.float32)
     for step in range(1, steps + 1):
         for lot in lots:
             a, b = cut[lot][0], ends[lot][-1]
             kinds[live[lot]] = np.add.reduceat(params[0][grams[a:b]], cut[lot] - a, axis=0) / share[live[lot], None] * SCALE
         value = kinds @ params[1]
-        p = (value[left] + value[right]) / 2 + params[2][0]
-        p = 1 / (1 + np.exp(-np.clip(p, -30, 30)))
+        for part in parts:
+            logit = (value[left[part]] + value[right[part]]) / 2 + params[2][0]
+            p[part] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if step > steps // 3:
             best = np.zeros(len(counts), np.float32)
-            np.maximum.at(best, text, p)
-            y = (toxic & (p >= np.minimum(best[text], 0.5))).astype(np.float32)
-            weight = np.where(toxic, y, np.maximum(p, 0.05))
-        error = (p - y) * weight / max(1.0, y.sum()) / 2
-        toward = (np.bincount(left, error, minlength=len(names)) + np.bincount(right, error, minlength=len(names))) * SCALE
+            for part in parts:
+                np.maximum.at(best, text[part], p[part])
+            for part in parts:
+                y[part] = toxic[part] & (p[part] >= np.minimum(best[text[part]], 0.5))
+                weight[part] = np.where(toxic[part], y[part], np.maximum(p[part], 0.05))
+        error = p - y
+        error *= weight
+        error /= max(1.0, y.sum())
+        error /= 2
+        toward = np.bincount(left, error, minlength=len(names))
+        toward += np.bincount(right, error, minlength=len(names))
+        toward *= SCALE
         each, down = toward / share, np.zeros(buckets)
         for lot in lots:
             a, b = cut[lot][0], ends[lot][-1]
-            down += np.bincount(grams[a:b], each[owner[a:b]], minlength=buckets)
+            down += np.bincount(grams[a:b], np.repeat(each[live[lot]], some[lot]), minlength=buckets)
         down = down.astype(np.float32)
         grads = [down[:, None] * params[1][None, :], (toward / SCALE @ kinds).astype(np.float32), np.float32([2 * error.sum()])]
         for k, (x, grad) in enumerate(zip(params, grads, strict=True)):
@@ -158,6 +184,10 @@ DECAY = np.float32(0.97)
 SCALE = np.float32(4.0)
 
 
+#: Examples whose scores are reckoned at once.
+PART = 1 << 17
+
+
 def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
     for _, _, block in text_blocks(pa.array(texts, pa.binary())):
         yield block
@@ -240,7 +270,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: in
         return calibrated([], np.zeros(0, np.int64))
     last = [F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(order, first[order].to_numpy(object)[-1].tolist(), strict=True)]
     found = rows.where(F.struct(*order) <= F.struct(*last)).orderBy(*order).limit(len(first)).select("text", "toxic").toArrow()
-    return calibrated(found.column("text").to_pylist(), found.column("toxic").to_numpy().astype(np.int64))
+    texts, toxic = found.column("text").to_pylist(), found.column("toxic").to_numpy().astype(np.int64)
+    del found
+    give_back()
+    model = calibrated(texts, toxic)
+    give_back()
+    return model
 
 
 def held_out(column: str) -> F.Column:
