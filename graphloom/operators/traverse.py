@@ -72,6 +72,11 @@ def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """`df` dealt out over all cores, for work that costs far more than reading its rows: a split of Parquet may hold millions of them."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """Edges as (a, b) in the walk's direction: out, in, or both."""
     out = edges.select(F.col("src_uid").alias("a"), F.col("dst_uid").alias("b"))

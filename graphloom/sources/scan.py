@@ -52,9 +52,12 @@ def payload(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def entities(sources: DataFrame) -> DataFrame:
-    """Parsed rows (path, language, and parse.SCHEMA) of source files, each read alone by a table function; `broken` is the line of a file's first error."""
+    """Parsed rows (path, language, and parse.SCHEMA) of source files, each read alone; `broken` is the line of a file's first error.
+
+    Files are dealt out by path before they are parsed, as a table of millions of them may lie in one split.
+    """
     known = sources.select("path", X.language("path").alias("language"), "content").where("language is not null and content is not null")
-    return known.lateralJoin(parse.ParseSource(F.col("language").outer(), F.col("content").outer())).drop("content")
+    return traverse.spread(known, "path").mapInArrow(parse.batches, parse.ENTITIES)
 
 
 def register(spark: SparkSession) -> None:
