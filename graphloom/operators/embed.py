@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import ClassVar
 
 import numpy as np
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import VECTOR_LABELS
+from . import traverse
 
 DIM = 1024
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _WORD = re.compile(r"[A-Za-z]+|\d+|[^\W\d_]+")
 
 
@@ -25,15 +29,24 @@ def hashed(text: str, dim: int = DIM) -> list[float]:
     It stands in for a trained encoder: equal words make near vectors, meaning does not.
     """
     out = np.zeros(dim)
-    for word in _WORD.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text or "")):
-        w = f"<{word.lower()}>"
-        for gram in (w, *(w[i : i + 3] for i in range(len(w) - 2))):
-            h = zlib.crc32(gram.encode())
-            out[h % dim] += 1.0 if h >> 31 else -1.0
+    words = Counter(_WORD.findall(_CAMEL.sub(r"\1 \2", text or "")))
+    if words:
+        own = [_grams(w, dim) for w in words]
+        # sums of whole numbers, so their order changes nothing
+        many = np.repeat(np.fromiter(words.values(), float, len(words)), [len(at) for at, _ in own])
+        out += np.bincount(np.concatenate([at for at, _ in own]), np.concatenate([sign for _, sign in own]) * many, minlength=dim)
     size = np.linalg.norm(out)
     return (out / size if size else out).astype(np.float32).tolist()
 
 
+@lru_cache(1 << 16)
+def _grams(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of a word and its trigrams."""
+    w = f"<{word.lower()}>"
+    hashes = [zlib.crc32(gram.encode()) for gram in (w, *(w[i : i + 3] for i in range(len(w) - 2)))]
+    return np.array([h % dim for h in hashes], np.int64), np.array([1.0 if h >> 31 else -1.0 for h in hashes])
+
+
 class OnnxEncoder:
     """Masked mean of an ONNX model's token vectors, scaled to length 1. Needs onnxruntime, tokenizers and local files.
 
@@ -94,7 +107,10 @@ def embedding_text() -> Column:
 
 
 def embed(nodes: DataFrame, encoder: OnnxEncoder | None = None, batch: int = 1024, dim: int = DIM) -> DataFrame:
-    """`nodes` with vectors for functions, classes and document sections that have content; other rows keep theirs. An encoder gets `batch` texts at a time."""
+    """`nodes` with vectors for functions, classes and document sections that have content; other rows keep theirs. An encoder gets `batch` texts at a time.
+
+    Nodes are dealt out by uid first, as few splits may hold them all.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,5 +126,7 @@ def embed(nodes: DataFrame, encoder: OnnxEncoder | None = None, batch: int = 102
                         out[i] = v
                 yield pd.Series(out)
 
+    # else a condition on vectors goes below the exchange, and each text is encoded once more for it
+    vectors = vectors.asNondeterministic()
     text = F.when(F.col("label").isin(*VECTOR_LABELS), embedding_text())
-    return nodes.withColumn("_text", text).withColumn("embedding", F.coalesce(vectors("_text"), "embedding")).drop("_text")
+    return traverse.spread(nodes, "uid").withColumn("_text", text).withColumn("embedding", F.coalesce(vectors("_text"), "embedding")).drop("_text")
