@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,14 +13,18 @@ def by_name(nodes: DataFrame, label: str, names: str, targets: tuple[str, ...],
     """Edges from nodes of a label to all nodes of the target labels that bear one of the names listed in a column.
 
     Each name is looked up once for each node that lists it; a name that very many nodes bear
-    or list is one join key, which Spark splits at run time.
+    or list is one join key, which Spark splits at run time. Edges may be far more than nodes, so
+    they are not shuffled to be made distinct, but where a target has several rows of other names.
     """
     asked = nodes.where((F.col("label") == label) & (F.size(names) > 0)).select(F.col("uid").alias("src_uid"), F.explode(names).alias("raw"))
     asked = asked.select("src_uid", (F.col("raw") if key is None else key).alias("name")).distinct()
-    there = nodes.where(F.col("label").isin(*targets)).select(F.col("uid").alias("dst_uid"), "name").distinct()
-    pairs = asked.join(there, "name")
+    there = nodes.where(F.col("label").isin(*targets) & F.col("name").isNotNull()).select(F.col("uid").alias("dst_uid"), "name").distinct()
+    held = there.withColumn("_names", F.count(F.lit(1)).over(Window.partitionBy("dst_uid")))
+    # who bears one name meets a node that asks for it once; only who bears several may meet it again
+    pairs = asked.join(held, "name")
     pairs = pairs.where("src_uid <> dst_uid") if other else pairs
-    return pairs.select("src_uid", "dst_uid", F.lit(type_).alias("type"), F.lit(None).cast("long").alias("line")).distinct()
+    columns = "src_uid", "dst_uid", F.lit(type_).alias("type"), F.lit(None).cast("long").alias("line")
+    return pairs.where("_names = 1").select(*columns).unionByName(pairs.where("_names > 1").select(*columns).distinct())
 
 
 def inherits(nodes: DataFrame) -> DataFrame:
