@@ -32,7 +32,8 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample(spark.read.parquet(table(sf_dir, "documents")), with_ids=False).drop("ids")
+    drawn = sampling.sample(spark.read.parquet(table(sf_dir, "documents")))
+    return drawn.select(*(c for c in drawn.columns if c != "ids"), "ids")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
