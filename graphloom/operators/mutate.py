@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import traverse
+
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Merge by (label, uid): what a new row has replaces, what it lacks stays.
 
-    Of new rows of one key, each property is the last given by `_seq`; where there is no such
+    New rows are dealt out by their key before they are sorted for it, not as they lie in files. Of new rows of one key, each property is the last given by `_seq`; where there is no such
     column they have no order, and the greatest value counts.
     """
     keys = ["label", "uid"]
+    new = new.repartition(*keys)
     if "_seq" in new.columns:
         new = new.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in new.columns if c not in (*keys, "_seq")))
     else:
@@ -26,7 +29,7 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges both of whose ends are nodes."""
     for end in ("src_uid", "dst_uid"):
-        edges = edges.join(nodes.select(F.col("uid").alias(end)), end, "left_semi")
+        edges = edges.join(traverse.apart(nodes.select(F.col("uid").alias(end))), end, "left_semi")
     return edges
 
 
@@ -36,7 +39,7 @@ def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
     keys = ["src_uid", "dst_uid", "type", "line"]
     fresh = sound.select(*edges.columns).dropDuplicates(keys).alias("n")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    return edges.unionByName(fresh.join(edges.select(*keys).alias("o"), same, "left_anti").select(*edges.columns))
+    return edges.unionByName(fresh.join(traverse.apart(edges.select(*keys)).alias("o"), same, "left_anti").select(*edges.columns))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import traverse
+
 RESOLVED = ("INHERITS", "IMPORTS", "REFERENCES")
 
 
@@ -55,15 +57,15 @@ _TARGETS = {"INHERITS": ("Class",), "IMPORTS": ("Module",), "REFERENCES": ("Func
 
 
 def index(nodes: DataFrame) -> DataFrame:
-    """NAMES of nodes, their files and qualified names; an import asks for what follows its last dot."""
-    out = nodes.where(F.col("label").isin("Function", "Class", "Module") & F.col("name").isNotNull()).select("name", F.col("label").alias("kind"), "uid")
-    for kind, (label, names) in _LISTS.items():
-        asked = nodes.where((F.col("label") == label) & (F.size(names) > 0)).select(F.explode(names).alias("raw"), "uid")
-        name = F.substring_index("raw", ".", -1) if kind == "IMPORTS" else F.col("raw")
-        out = out.unionByName(asked.where("raw is not null").select(name.alias("name"), F.lit(kind).alias("kind"), "uid"))
-    out = out.unionByName(nodes.select(F.coalesce("file", "path").alias("name"), F.lit(FILE).alias("kind"), "uid").where("name is not null"))
-    out = out.unionByName(nodes.where("fqn is not null").select(F.col("fqn").alias("name"), F.lit(FQN).alias("kind"), "uid"))
-    return out.distinct()
+    """NAMES of nodes, their files and qualified names, in one pass over the nodes; an import asks for what follows its last dot."""
+    label, kind = F.col("label"), "array<struct<name:string,kind:string>>"
+    held = [(F.when(label.isin("Function", "Class", "Module"), F.col("name")), label), (F.coalesce("file", "path"), F.lit(FILE)), (F.col("fqn"), F.lit(FQN))]
+    lists = [F.array(*(F.struct(name.alias("name"), k.alias("kind")) for name, k in held)).cast(kind)]
+    for type_, (own, names) in _LISTS.items():
+        last = type_ == "IMPORTS"
+        asked = F.transform(names, lambda raw: F.struct((F.substring_index(raw, ".", -1) if last else raw).alias("name"), F.lit(type_).alias("kind")))  # noqa: B023
+        lists.append(F.coalesce(F.when(label == own, asked).cast(kind), F.array().cast(kind)))
+    return nodes.select("uid", F.inline(F.concat(*lists))).where("name is not null").select("name", "kind", "uid").distinct()
 
 
 GRAMS = T.StructType([T.StructField(c, T.StringType()) for c in ("gram", "name")])
@@ -89,7 +91,7 @@ def supported(asks: DataFrame, bears: DataFrame) -> DataFrame:
         fits = fits | ((F.col("type") == kind) & F.col("_label").isin(*labels) & other)
     a = asks.where(F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("src_uid"), F.col("kind").alias("type"))
     b = bears.where(~F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("dst_uid"), F.col("kind").alias("_label"))
-    return a.join(b, "name").where(fits).select("src_uid", "dst_uid", "type")
+    return a.join(traverse.apart(b), "name").where(fits).select("src_uid", "dst_uid", "type")
 
 
 def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,15 +101,16 @@ def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame)
     NAMES before, of at least the names that old or new nodes bear or ask for. Each edge at a
     changed node is counted by the names that support it, before (-1) and after (+1): from changed
     nodes to all, and from unchanged ones to changed. One whose supports before are all gone goes.
+    The counts are written once, and both answers read them.
     """
-    rest = names.join(touched.select("uid").distinct(), "uid", "left_anti")
+    rest = names.join(traverse.sized(touched.select("uid").distinct()), "uid", "left_anti")
     counted = None
     for rows, sign in ((index(old), -1), (index(new), 1)):
         found = supported(rows, rest.unionByName(rows)).unionByName(supported(rest, rows))
         found = found.withColumn("before", F.lit(int(sign < 0))).withColumn("after", F.lit(int(sign > 0)))
         counted = found if counted is None else counted.unionByName(found)
     counted = counted.groupBy("src_uid", "dst_uid", "type").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).withColumn("line", F.lit(None).cast("long"))
-    keys = ["src_uid", "dst_uid", "type", "line"]
+    keys, counted = ["src_uid", "dst_uid", "type", "line"], traverse.cut(counted)
     return counted.where("after > 0").select(*keys), counted.where("before > 0 and after = 0").select(*keys)
 
 

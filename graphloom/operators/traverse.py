@@ -67,9 +67,14 @@ def forget_old(spark: SparkSession, hours: float = 24) -> int:
     return gone
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that is shuffled, never broadcast: Spark goes by the bytes of compressed files, and a column of few of them may hold millions of rows."""
+    return df.hint("merge")
+
+
 def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """`df`, broadcast where it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """`df`, broadcast in a join where it has at most `most` rows, and shuffled else."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else apart(df)
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
