@@ -6,11 +6,10 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ from . import traverse
 DIM = 1024
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _WORD = re.compile(r"[A-Za-z]+|\d+|[^\W\d_]+")
+#: What both find in ASCII, in one pass.
+_PLAIN = re.compile(r"[A-Z]*[a-z]+|[A-Z]+|[0-9]+")
 
 
 def hashed(text: str, dim: int = DIM) -> list[float]:
@@ -28,23 +29,68 @@ def hashed(text: str, dim: int = DIM) -> list[float]:
 
     It stands in for a trained encoder: equal words make near vectors, meaning does not.
     """
-    out = np.zeros(dim)
-    words = Counter(_WORD.findall(_CAMEL.sub(r"\1 \2", text or "")))
-    if words:
-        own = [_grams(w, dim) for w in words]
-        # sums of whole numbers, so their order changes nothing
-        many = np.repeat(np.fromiter(words.values(), float, len(words)), [len(at) for at, _ in own])
-        out += np.bincount(np.concatenate([at for at, _ in own]), np.concatenate([sign for _, sign in own]) * many, minlength=dim)
-    size = np.linalg.norm(out)
-    return (out / size if size else out).astype(np.float32).tolist()
+    return hashed_many([text], dim)[0].tolist()
+
+
+def hashed_many(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """`hashed` of some texts, a row each; grams of a whole block of texts are summed at once."""
+    out = np.empty((len(texts), dim), np.float32)
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if i + 1 == len(texts) or chars > _CHARS or (i + 1 - start) * dim >= _CELLS:
+            out[start : i + 1] = _block(texts[start : i + 1], dim)
+            start, chars = i + 1, 0
+    return out
 
 
-@lru_cache(1 << 16)
-def _grams(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of a word and its trigrams."""
-    w = f"<{word.lower()}>"
-    hashes = [zlib.crc32(gram.encode()) for gram in (w, *(w[i : i + 3] for i in range(len(w) - 2)))]
-    return np.array([h % dim for h in hashes], np.int64), np.array([1.0 if h >> 31 else -1.0 for h in hashes])
+def _block(texts: list[str], dim: int) -> np.ndarray:
+    known: dict[str, int] = {}
+    words: list[int] = []
+    many: list[int] = []
+    each = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = Counter(_PLAIN.findall(text or "") if (text or "").isascii() else _WORD.findall(_CAMEL.sub(r"\1 \2", text)))
+        words += [known.setdefault(w, len(known)) for w in own]
+        many += own.values()
+        each[i] = len(own)
+    out = np.zeros((len(texts), dim))
+    if words:
+        hashes, sizes = _grams(list(known))
+        begin, word = np.cumsum(sizes) - sizes, np.array(words)
+        n = sizes[word]
+        own = hashes[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        row = np.repeat(np.repeat(np.arange(len(texts)), each), n)
+        # sums of whole numbers, so their order changes nothing
+        sums = np.bincount(row * dim + own % dim, np.where(own >> 31, 1.0, -1.0) * np.repeat(many, n), minlength=out.size)
+        out = sums.reshape(out.shape)
+    size = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(size, size, 1)[:, None]
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words and their trigrams, word by word, and how many there are of each word."""
+    marked = [f"<{w.lower()}>" for w in words]
+    plain = np.array([w.isascii() for w in marked])
+    sizes = np.array([len(w) - 1 for w in marked])
+    begin = np.cumsum(sizes) - sizes
+    out = np.empty(sizes.sum(), np.int64)
+    out[begin] = [zlib.crc32(w.encode()) for w in marked]
+    at = np.repeat(begin + 1 - (np.cumsum(sizes - 1) - (sizes - 1)), sizes - 1) + np.arange((sizes - 1).sum())
+    if plain.all():
+        text = np.frombuffer("".join(marked).encode(), np.uint8)
+        first = at - 1 + np.repeat(np.arange(len(words)), sizes - 1)  # a word has one letter more than hashes
+        out[at] = _CRC[0][text[first]] ^ _CRC[1][text[first + 1]] ^ _CRC[2][text[first + 2]]
+    else:
+        out[at] = [zlib.crc32(w[i : i + 3].encode()) for w in marked for i in range(len(w) - 2)]
+    return out, sizes
+
+
+#: Characters and components of the vectors, about, that are hashed at once.
+_CHARS, _CELLS = 1 << 18, 1 << 20
+#: By place and byte: the sums modulo 2 of their entries are the hashes of three bytes, as a checksum's bits are linear but for a constant.
+_ZERO = zlib.crc32(bytes(3))
+_CRC = [np.array([zlib.crc32(bytes(b if i == place else 0 for i in range(3))) ^ (0 if place == 0 else _ZERO) for b in range(256)], np.int64) for place in range(3)]
 
 
 class OnnxEncoder:
@@ -112,19 +158,23 @@ def embed(nodes: DataFrame, encoder: OnnxEncoder | None = None, batch: int = 102
     Nodes are dealt out by uid first, as few splits may hold them all.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+    @F.arrow_udf("array<float>")
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            texts = part.to_pylist()
+            there = [i for i, t in enumerate(texts) if t is not None]
             if encoder is None:
-                yield texts.map(lambda t: None if t is None else hashed(t, dim))
+                sizes = np.zeros(len(texts) + 1, np.int32)
+                sizes[1:][there] = dim
+                values = hashed_many([texts[i] for i in there], dim)
+                yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values.ravel()), mask=part.is_null())
             else:
                 out: list = [None] * len(texts)
-                there = [i for i, t in enumerate(texts) if t is not None]
                 for at in range(0, len(there), batch):
                     some = there[at : at + batch]
-                    for i, v in zip(some, encoder.encode([texts.iloc[i] for i in some]), strict=True):
+                    for i, v in zip(some, encoder.encode([texts[i] for i in some]), strict=True):
                         out[i] = v
-                yield pd.Series(out)
+                yield pa.array(out, pa.list_(pa.float32()))
 
     # else a condition on vectors goes below the exchange, and each text is encoded once more for it
     vectors = vectors.asNondeterministic()

@@ -42,9 +42,14 @@ def references(nodes: DataFrame) -> DataFrame:
     return by_name(nodes, "Document", "code_references", ("Function", "Class"), "REFERENCES", other=False)
 
 
+def within(edges: DataFrame) -> DataFrame:
+    """The edges that are not across files."""
+    return edges.where(~F.col("type").isin(*RESOLVED))
+
+
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`edges` with those across files made anew."""
-    kept = edges.where(~F.col("type").isin(*RESOLVED))
+    kept = within(edges)
     return kept.unionByName(inherits(nodes)).unionByName(imports(nodes)).unionByName(references(nodes))
 
 
@@ -54,10 +59,15 @@ NAMES = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind",
 FILE, FQN = "FILE", "FQN"
 _LISTS = {"INHERITS": ("Class", "base_classes"), "IMPORTS": ("Module", "imports"), "REFERENCES": ("Document", "code_references")}
 _TARGETS = {"INHERITS": ("Class",), "IMPORTS": ("Module",), "REFERENCES": ("Function", "Class")}
+_BORNE = sorted({label for labels in _TARGETS.values() for label in labels})
+
+
+#: Columns of nodes that names are taken from.
+NAMED = ("uid", "label", "name", "file", "path", "fqn", "base_classes", "imports", "code_references")
 
 
 def index(nodes: DataFrame) -> DataFrame:
-    """NAMES of nodes, their files and qualified names, in one pass over the nodes; an import asks for what follows its last dot."""
+    """NAMES of nodes, their files and qualified names, each once a node, in one pass over the nodes; an import asks for what follows its last dot."""
     label, kind = F.col("label"), "array<struct<name:string,kind:string>>"
     held = [(F.when(label.isin("Function", "Class", "Module"), F.col("name")), label), (F.coalesce("file", "path"), F.lit(FILE)), (F.col("fqn"), F.lit(FQN))]
     lists = [F.array(*(F.struct(name.alias("name"), k.alias("kind")) for name, k in held)).cast(kind)]
@@ -65,7 +75,7 @@ def index(nodes: DataFrame) -> DataFrame:
         last = type_ == "IMPORTS"
         asked = F.transform(names, lambda raw: F.struct((F.substring_index(raw, ".", -1) if last else raw).alias("name"), F.lit(type_).alias("kind")))  # noqa: B023
         lists.append(F.coalesce(F.when(label == own, asked).cast(kind), F.array().cast(kind)))
-    return nodes.select("uid", F.inline(F.concat(*lists))).where("name is not null").select("name", "kind", "uid").distinct()
+    return nodes.select("uid", F.inline(F.array_distinct(F.concat(*lists)))).where("name is not null").select("name", "kind", "uid")
 
 
 GRAMS = T.StructType([T.StructField(c, T.StringType()) for c in ("gram", "name")])
@@ -84,14 +94,15 @@ def triples(text: Column) -> Column:
 
 
 def supported(asks: DataFrame, bears: DataFrame) -> DataFrame:
-    """(src_uid, dst_uid, type) of edges for which a name asked for in `asks` is borne in `bears`."""
+    """(src_uid, dst_uid, type, before, after) of edges for which a name asked for in `asks` is borne in `bears`, both before or both after."""
     fits = F.lit(False)
     for kind, labels in _TARGETS.items():
         other = F.lit(True) if kind == "REFERENCES" else F.col("src_uid") != F.col("dst_uid")
         fits = fits | ((F.col("type") == kind) & F.col("_label").isin(*labels) & other)
-    a = asks.where(F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("src_uid"), F.col("kind").alias("type"))
-    b = bears.where(~F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("dst_uid"), F.col("kind").alias("_label"))
-    return a.join(traverse.apart(b), "name").where(fits).select("src_uid", "dst_uid", "type")
+    a = asks.where(F.col("kind").isin(*_TARGETS)).select("name", F.col("uid").alias("src_uid"), F.col("kind").alias("type"), "before", "after")
+    b = bears.where(F.col("kind").isin(*_BORNE)).select("name", F.col("uid").alias("dst_uid"), F.col("kind").alias("_label"), F.col("before").alias("_before"), F.col("after").alias("_after"))
+    both = [(F.col(c) * F.col(f"_{c}")).alias(c) for c in ("before", "after")]
+    return a.join(traverse.apart(b), "name").where(fits).select("src_uid", "dst_uid", "type", *both).where("before + after > 0")
 
 
 def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,14 +112,12 @@ def delta(old: DataFrame, new: DataFrame, touched: DataFrame, names: DataFrame)
     NAMES before, of at least the names that old or new nodes bear or ask for. Each edge at a
     changed node is counted by the names that support it, before (-1) and after (+1): from changed
     nodes to all, and from unchanged ones to changed. One whose supports before are all gone goes.
-    The counts are written once, and both answers read them.
+    Old and new names are marked and joined together; names and counts are written once, and both sides and both answers read them.
     """
-    rest = names.join(traverse.sized(touched.select("uid").distinct()), "uid", "left_anti")
-    counted = None
-    for rows, sign in ((index(old), -1), (index(new), 1)):
-        found = supported(rows, rest.unionByName(rows)).unionByName(supported(rest, rows))
-        found = found.withColumn("before", F.lit(int(sign < 0))).withColumn("after", F.lit(int(sign > 0)))
-        counted = found if counted is None else counted.unionByName(found)
+    mark = lambda rows, before, after: rows.where(F.col("kind").isin(*_TARGETS, *_BORNE)).withColumn("before", F.lit(before)).withColumn("after", F.lit(after))
+    rest = traverse.cut(mark(names.join(traverse.sized(touched.select("uid")), "uid", "left_anti"), 1, 1))
+    rows = traverse.cut(mark(index(old), 1, 0).unionByName(mark(index(new), 0, 1)))
+    counted = supported(rows, rest.unionByName(rows)).unionByName(supported(rest, rows))
     counted = counted.groupBy("src_uid", "dst_uid", "type").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).withColumn("line", F.lit(None).cast("long"))
     keys, counted = ["src_uid", "dst_uid", "type", "line"], traverse.cut(counted)
     return counted.where("after > 0").select(*keys), counted.where("before > 0 and after = 0").select(*keys)

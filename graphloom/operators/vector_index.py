@@ -203,7 +203,7 @@ def build(rows: DataFrame, path: str, id_col: str = "uid", sample: int = SAMPLE,
             vectors = batch.column(batch.schema.get_field_index("embedding"))
             for (label, dim), part in own.groupby(["label", "dim"], dropna=False):
                 first, known = fitted[None if pd.isna(label) else label, int(dim)]
-                units, sound = _units(vectors.take(pa.array(part.index)).to_pylist(), int(dim))
+                units, sound = _units(vectors.take(pa.array(part.index)).flatten().to_numpy(zero_copy_only=False), int(dim))
                 at = part.index.to_numpy()[sound]
                 near = units @ known.T
                 best = near.argmax(axis=1)
@@ -220,9 +220,9 @@ def build(rows: DataFrame, path: str, id_col: str = "uid", sample: int = SAMPLE,
     return index
 
 
-def _units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sound ones of some vectors, of length one, and which those are."""
-    matrix = np.array(vectors, float).reshape(len(vectors), dim)
+def _units(vectors: list | np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sound ones of some vectors, or of their components in a row, of length one, and which those are."""
+    matrix = np.array(vectors, float).reshape(-1, dim)
     with np.errstate(all="ignore"):
         matrix = matrix / np.linalg.norm(matrix, axis=1)[:, None]
     sound = np.isfinite(matrix).all(axis=1)

@@ -121,12 +121,14 @@ class Engine:
     def _graph(self, sources: DataFrame | None, docs: DataFrame | None, repository: str | None) -> tuple[DataFrame, DataFrame]:
         parts = [scan.code_graph(sources)] if sources is not None else []
         parts += [scan.document_graph(docs)] if docs is not None else []
+        # each alone, as rows that are dealt out by uid already are not dealt out again
+        parts = [(embed.embed(n, self.encoder, dim=self.dim), e) for n, e in parts]
         nodes, edges = parts[0]
         for n, e in parts[1:]:
             nodes, edges = nodes.unionByName(n), edges.unionByName(e)
         if repository:
             nodes = nodes.withColumn("repository", F.lit(repository))
-        return embed.embed(nodes, self.encoder, dim=self.dim), edges
+        return nodes, edges
 
     def index_full(self, folder: str, repository: str | None = None) -> dict[str, int]:
         """Scan, parse, embed, write with all edges resolved, documents included; returns what was indexed."""
@@ -136,8 +138,8 @@ class Engine:
         """Write what was made, once, counting it on the way, and commit it; returns nodes by label, vectors, files, edges within files, and edges across them by type."""
         labels = [F.count_if(F.col("label") == x).alias(x.lower()) for x in LABELS]
         seen, linked = traverse.Counts(*labels, F.count("embedding").alias("vectors")), traverse.Counts(F.count(F.lit(1)).alias("edges"))
-        nodes, edges = traverse.cut(seen.of(as_nodes(nodes))), traverse.cut(linked.of(as_edges(edges)))
-        resolved = self.store.ingest(nodes, edges, files)
+        nodes, edges = traverse.together(lambda: traverse.cut(seen.of(as_nodes(nodes))), lambda: traverse.cut(linked.of(as_edges(edges))))
+        resolved = self.store.ingest(nodes, edges, files, whole=True)
         self.store.compact_if_due()
         counts = {k: v for k, v in seen.get(nodes).items() if v or k == "vectors"}
         return counts | {"files": nodes.select(F.coalesce("file", "path").alias("f")).where("f is not null").distinct().count(), "edges": linked.get(edges)["edges"]} | resolved

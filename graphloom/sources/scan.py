@@ -86,7 +86,7 @@ def code_graph(sources: DataFrame, module_identity: str = "path") -> tuple[DataF
         F.when(is_function, F.col("signature")).alias("signature"), F.when(is_function, F.col("snippet")).alias("code_snippet"), F.when(~is_function, F.col("bases")).alias("base_classes"),
         F.nullif(X.java_fqn("path", "name", is_function, "owner"), F.lit("")).alias("fqn"),
     )
-    nodes = as_nodes(module).unionByName(as_nodes(code)).repartition("label", "uid").dropDuplicates(["label", "uid"])
+    nodes = traverse.spread(as_nodes(module).unionByName(as_nodes(code)), "uid").dropDuplicates(["label", "uid"])  # dealt out as embed.embed deals them out, so once
     module_uid = uid(F.lit("Module"), file, X.stem("path"), F.lit(0))
     owners = rows.where("label = 'Class'").groupBy("path", F.col("name").alias("owner")).agg(F.min_by("uid", "pos").alias("owner_uid"))
     contained = rows.join(owners, ["path", "owner"], "left").select(F.when(is_function, F.coalesce("owner_uid", module_uid)).otherwise(module_uid).alias("src_uid"), F.col("uid").alias("dst_uid"), F.lit("CONTAINS").alias("type"))
